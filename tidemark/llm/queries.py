@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, quality, toxicity
+from . import decontaminate, exact_dedup, langid, quality, token_store, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(token_store.stored(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +66,5 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op4_decontamination": op4_decontamination, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op4_decontamination": op4_decontamination, "op7_token_store": op7_token_store, "op10_exact_dedup": op10_exact_dedup}
 ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op10_exact_dedup": OP10_SQL}
