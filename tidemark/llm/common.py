@@ -86,3 +86,86 @@ def ascii_lower_table() -> bytes:
 
 
 ASCII_LOWER = ascii_lower_table()
+
+
+# --- word hashes ----------------------------------------------------------------------------------
+
+_RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
+_PIECE = 1 << 20
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.cumprod(table, dtype=np.uint64)
+    return _powers
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, inside: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes that ``inside``, 256 booleans, admits), and the n + 1 word offsets of the texts."""
+    own = inside[data]
+    before = np.zeros(len(data), bool)
+    before[1:] = own[:-1]
+    first = off[:-1][np.diff(off) > 0]
+    before[first] = False
+    starts = np.flatnonzero(own & ~before)
+    after = np.zeros(len(data), bool)
+    after[:-1] = own[1:]
+    after[off[1:][np.diff(off) > 0] - 1] = False
+    ends = np.flatnonzero(own & ~after) + 1
+    random = _RANDOM[np.frombuffer(ASCII_LOWER, np.uint8)] if lower else _RANDOM
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # pieces of whole words
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _PIECE, "right")))
+        a, b = int(starts[at]), int(ends[to - 1])
+        power, inverse = _power_tables(max(_PIECE, b - a) + 1)
+        running = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(random[data[a:b]] * power[: b - a], out=running[1:])
+        s, e = starts[at:to] - a, ends[at:to] - a
+        out[at:to] = mix((running[e] - running[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out, np.searchsorted(starts, off)
+
+
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words in a text (of the whole text if it has fewer words, but some), and their n + 1 offsets."""
+    counts = np.diff(bounds)
+    n = len(words)
+    end = max(0, n - size + 1)
+    code = np.full(end, size, np.uint64)
+    for k in range(size):
+        code = mix(code * np.uint64(_BASE) + words[k : k + end])
+    owner = np.repeat(np.arange(len(counts)), counts)
+    keep = np.flatnonzero(owner[:end] == owner[size - 1 :]) if end else np.empty(0, np.int64)
+    full = np.maximum(counts - size + 1, 0)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if not len(short):
+        return code[keep], np.concatenate([[0], np.cumsum(full)])
+    extra = np.empty(len(short), np.uint64)
+    for i, text in enumerate(short.tolist()):
+        own = words[bounds[text] : bounds[text + 1]]
+        h = np.full(1, len(own), np.uint64)
+        for k in range(len(own)):
+            h = mix(h * np.uint64(_BASE) + own[k : k + 1])
+        extra[i] = h[0]
+    sizes = full.copy()
+    sizes[short] = 1
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(offsets[-1], np.uint64)
+    is_short = np.zeros(len(out), bool)
+    is_short[offsets[:-1][short]] = True
+    out[is_short], out[~is_short] = extra, code[keep]
+    return out, offsets
