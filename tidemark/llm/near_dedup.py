@@ -196,3 +196,9 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     out = signed.select("doc_id", "n", "node").join(alone, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("name", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without the near duplicates: of each group the document with the smallest doc_id stays, all columns untouched."""
+    dropped = near_groups(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
+    return docs.join(dropped, F.col(doc_id).cast("long") == F.col("_dropped_id"), "left_anti")

@@ -127,36 +127,73 @@ class Discriminant:
     def difference(self, x: np.ndarray) -> np.ndarray:
         return self.log_density(x, 1) - self.log_density(x, 0)
 
+    def scale(self, x: np.ndarray) -> np.ndarray:
+        """The difference on a signed log scale: far outliers differ by hundreds, which no logistic fit would follow."""
+        raw = self.difference(x)
+        return np.sign(raw) * np.log1p(np.abs(raw))
+
+
+def fitted(seen: DataFrame, labels: DataFrame, label: str) -> tuple[Discriminant | None, float, float]:
+    """The model, and slope and intercept of its probabilities, from the vectors (doc_id, vector) of labelled rows."""
+    known = labelled_rows(labels, label, mod=MOD, held_out=HELD_OUT, most=1 << 62)
+    calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    added = seen.join(known.where(~calibrates), "doc_id").select("vector", "label").mapInArrow(_sums, "label int, at int, value double")
+    sums = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
+    for r in added.groupBy("label", "at").agg(F.sum("value").alias("value")).collect():
+        sums[r["label"], r["at"]] = r["value"]
+    if sums[:, 0].min() <= 0:
+        return None, 0.0, 0.0
+    model = Discriminant(sums)
+    shared = seen.sparkSession.sparkContext.broadcast(model)
+    rows = seen.join(known.where(calibrates), "doc_id").select("vector", "label").mapInArrow(_calibration(shared), "x double, label int")
+    return model, *platt(rows)
+
+
+def _calibration(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.scale(_matrix(batch.column("vector")))), batch.column("label")], ["x", "label"])
+
+    return run
+
 
 def _differences(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros(batch.num_rows)
-            if batch.num_rows and model.value is not None:
-                raw = model.value.difference(_matrix(batch.column("vector")))
-                x = np.sign(raw) * np.log1p(np.abs(raw))  # densities of far outliers differ by hundreds; the logistic fit needs a milder scale
+            x = model.value.scale(_matrix(batch.column("vector"))) if batch.num_rows and model.value is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x)], ["doc_id", "x"])
 
     return run
 
 
+def _vectors_of(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(rows.mapInArrow(_features, "doc_id long, vector array<double>"), "quality-vectors")
+
+
 def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, log_density_difference (on a signed log scale), score, predicted."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = written(rows.mapInArrow(_features, "doc_id long, vector array<double>"), "quality-vectors")
-    known = labelled_rows(labels, label, mod=MOD, held_out=HELD_OUT, most=1 << 62)
-    calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    fitted = seen.join(known.where(~calibrates), "doc_id").select("vector", "label").mapInArrow(_sums, "label int, at int, value double")
-    width = 1 + len(FEATURES) + len(FEATURES) ** 2
-    sums = np.zeros((2, width))
-    for r in fitted.groupBy("label", "at").agg(F.sum("value").alias("value")).collect():
-        sums[r["label"], r["at"]] = r["value"]
-    model = spark.sparkContext.broadcast(Discriminant(sums) if sums[:, 0].min() > 0 else None)
-    scored = seen.mapInArrow(_differences(model), "doc_id long, x double")
-    calibration = seen.join(known.where(calibrates), "doc_id").select("doc_id", "vector").mapInArrow(_differences(model), "doc_id long, x double").join(known, "doc_id")
-    slope, intercept = platt(calibration) if sums[:, 0].min() > 0 else (0.0, 0.0)
+    seen = _vectors_of(docs)
+    model, slope, intercept = fitted(seen, labels, label)
+    scored = seen.mapInArrow(_differences(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, x double")
     score = sigmoid(F.lit(slope) * F.col("x") + F.lit(intercept))
     return scored.select(
         "doc_id", (fold("doc_id", MOD) == HELD_OUT).alias("held_out"), F.col("x").alias("log_density_difference"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least the threshold, all columns untouched; all rows if nothing can be learned."""
+    model, slope, intercept = fitted(_vectors_of(docs), labels, label)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model, slope, intercept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, a, b = shared.value
+        for part, data, off in steps(batches, "text"):
+            score = 1 / (1 + np.exp(-(a * own.scale(vectors(data, off)) + b)))
+            yield part.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, langid, near_dedup, quality, token_store, toxicity
+from . import decontaminate, exact_dedup, html_text, langid, mixing, near_dedup, quality, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,59 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated list entries from the events: each concerns the page numbered like its user, by its host, its domain or its path."""
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.col("user_id").alias("page_id"))
+    host, path = url_filter.host_of(F.col("url")), url_filter.steps_of(url_filter.path_of(F.col("url")))
+    kind = F.pmod(F.col("event_id"), F.lit(3))
+    pattern = F.when(kind == 0, host).when(kind == 1, url_filter.domain(host, 3)).otherwise(F.concat_ws("/", host, F.array_join(F.slice(path, 1, 1), "/")))
+    action = F.when(F.col("event_type").isin("click", "error"), "block").when(F.col("event_type") == "purchase", "allow").otherwise("none")
+    return events.join(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id").select(pattern.alias("pattern"), action.alias("action"), F.col("ts").alias("listed_at"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    age = F.make_dt_interval(secs=F.pmod(F.conv(F.substring(F.md5("url"), 1, 7), 16, 10).cast("long"), F.lit(30 * 86400)))
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", (start + age).alias("fetched_at"))
+    return url_filter.evaluated(captures, list_entries(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, url, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+u AS (SELECT page_id, url, lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.$', '')) AS host,
+  list_filter(string_split(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM p),
+e AS (SELECT CASE event_id % 3 WHEN 0 THEN host WHEN 1 THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE concat_ws('/', host, array_to_string(parts[1:1], '/')) END AS pattern,
+  CASE WHEN event_type IN ('click', 'error') THEN 'block' WHEN event_type = 'purchase' THEN 'allow' ELSE 'none' END AS action, ts AS listed_at FROM events JOIN u ON u.page_id = events.user_id),
+o AS (SELECT pattern, listed_at, max(action) AS action FROM e GROUP BY 1, 2),
+g AS (SELECT *, lag(action) OVER (PARTITION BY pattern ORDER BY listed_at) AS before FROM o),
+i AS (SELECT pattern, action, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS valid_to FROM g WHERE before IS NULL OR before <> action),
+c AS (SELECT page_id, url, host, parts, TIMESTAMP '2024-01-01' + to_seconds(CAST(('0x' || substr(md5(url), 1, 7)) AS BIGINT) % (30 * 86400)) AS fetched_at FROM u),
+l AS (SELECT *, string_split(host, '.') AS labels FROM c WHERE host <> ''),
+k AS (SELECT page_id, url, fetched_at, array_to_string(labels[-n:], '.') AS pattern, n AS rank FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS n FROM l)
+  UNION ALL SELECT page_id, url, fetched_at, host || '/' || array_to_string(parts[1:n], '/'), 1000 + n FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS n FROM l)),
+b AS (SELECT page_id, k.url, arg_max(struct_pack(action := action, pattern := i.pattern, valid_from := valid_from), rank) AS best
+  FROM k JOIN i ON k.pattern = i.pattern AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to) GROUP BY 1, 2)
+SELECT c.page_id, c.url, c.fetched_at, coalesce(best.action, 'none') AS decision, best.pattern AS pattern, best.valid_from AS valid_from, coalesce(best.action, 'none') <> 'block' AS kept
+FROM c LEFT JOIN b ON c.page_id = b.page_id AND c.url = b.url
+"""
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, mixing.tempered_weights(docs))
+
+
+OP9_SQL = """
+WITH n AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY 1),
+r AS (SELECT source, w / (SELECT sum(w) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+t AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS k FROM r)),
+d AS (SELECT *, CAST(CAST(('0x' || substr(md5('1|' || doc_id), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
+m AS (SELECT d.doc_id, count(*) FILTER (WHERE t.below <= d.u) AS times FROM d JOIN t ON t.source = d.source GROUP BY 1)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, substr(md5('order1|' || doc_id || '|' || copy), 1, 16) AS order_key
+FROM (SELECT documents.*, unnest(range(1, times + 1)) AS copy FROM documents JOIN m USING (doc_id))
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -87,5 +140,5 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op2_near_dedup": op2_near_dedup, "op3_html_text": op3_html_text, "op4_decontamination": op4_decontamination, "op7_token_store": op7_token_store, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op2_near_dedup": op2_near_dedup, "op3_html_text": op3_html_text, "op4_decontamination": op4_decontamination, "op7_token_store": op7_token_store, "op8_url_filter": op8_url_filter, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
+ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op2_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
