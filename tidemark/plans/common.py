@@ -87,7 +87,7 @@ def chances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PORTFOLIOS_SQL = """SELECT * FROM (SELECT CAST(floor(c_custkey / 15) AS BIGINT) AS portfolio, c_custkey AS entity, CASE WHEN c_custkey % 15 < 2 THEN 'G' WHEN c_custkey % 15 < 7 THEN 'D' WHEN c_custkey % 15 < 12 THEN 'M' ELSE 'F' END AS position,
- c_custkey % 5 AS club, round(c_acctbal / 1000) AS score, round(c_acctbal / 700 + c_custkey % 4) AS rival, CAST(c_custkey % 7 + 4 AS DOUBLE) / 10 AS p_played, CAST(c_custkey % 7 + 2 AS DOUBLE) / 10 AS p_long, CAST(c_custkey % 90 AS DOUBLE) AS exposure,
+ c_custkey % 5 AS club, round(c_acctbal / 1000) + 0.0::DOUBLE AS score, round(c_acctbal / 700 + c_custkey % 4) + 0.0::DOUBLE AS rival, CAST(c_custkey % 7 + 4 AS DOUBLE) / 10 AS p_played, CAST(c_custkey % 7 + 2 AS DOUBLE) / 10 AS p_long, CAST(c_custkey % 90 AS DOUBLE) AS exposure,
  CAST(c_custkey * 7919 % 16 AS DOUBLE) AS actual, CASE WHEN c_custkey * 31 % 5 = 0 THEN 0.0 ELSE 90.0 END AS actual_exposure FROM customer) QUALIFY count(*) OVER (PARTITION BY portfolio) = 15"""
 
 
@@ -104,6 +104,6 @@ def portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(full, "portfolio", "left_semi")
 
 
-def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that the order of summation doesn't show."""
-    return frame.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes))
+def rounded(frame: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, so that the order of summation doesn't show. A nudge keeps exact halves from going either way."""
+    return frame.select(*(F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes))

@@ -221,7 +221,7 @@ def b_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b_coercion",
     """WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '+' || (event_id % 100) WHEN 1 THEN (event_id % 100) || '.0' WHEN 2 THEN 'x' || event_id WHEN 3 THEN '0' || (event_id % 9 + 1) WHEN 4 THEN '-' || (event_id % 9 + 1) ELSE CAST(event_id AS VARCHAR) END AS raw,
  CASE event_id % 4 WHEN 0 THEN 'True' WHEN 1 THEN '0' WHEN 2 THEN 'yes' END AS flag FROM events)
- SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id % 100 WHEN 4 THEN -(event_id % 9 + 1) WHEN 5 THEN event_id END AS as_integer, CASE WHEN event_id % 6 <> 2 THEN CAST(raw AS DOUBLE) END AS as_number, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS as_boolean, event_id % 6 IN (1, 2, 3) AS bad_integer, event_id % 4 = 2 AS bad_boolean,
+ SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id % 100 WHEN 4 THEN -(event_id % 9 + 1) WHEN 5 THEN event_id END AS as_integer, CASE WHEN event_id % 6 <> 2 THEN CAST(raw AS DOUBLE) END AS as_number, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS as_boolean, event_id % 6 IN (1, 2, 3) AS bad_integer, event_id % 4 = 2 AS bad_boolean,
  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM t JOIN events USING (event_id)""",
 )
 def b_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +231,7 @@ def b_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(k % 4 == 0, "True").when(k % 4 == 1, "0").when(k % 4 == 2, "yes")
     rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"), flag.alias("flag"), F.get_json_object("props", "$.k").alias("k"))
     whole, yes = scalars.strict_integer(F.col("raw")), scalars.strict_boolean(F.col("flag"))
-    return rows.select("event_id", whole.alias("as_integer"), scalars.strict_number(F.col("raw")).alias("as_number"), yes.alias("as_boolean"), scalars.unreadable(F.col("raw"), whole).alias("bad_integer"), F.coalesce(scalars.unreadable(F.col("flag"), yes), F.lit(False)).alias("bad_boolean"), scalars.strict_integer(F.col("k")).alias("k"))
+    return rows.select("event_id", whole.alias("as_integer"), scalars.strict_number(F.col("raw")).alias("as_number"), yes.cast("int").alias("as_boolean"), scalars.unreadable(F.col("raw"), whole).alias("bad_integer"), F.coalesce(scalars.unreadable(F.col("flag"), yes), F.lit(False)).alias("bad_boolean"), scalars.strict_integer(F.col("k")).alias("k"))
 
 
 @query(
