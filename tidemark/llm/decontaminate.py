@@ -139,7 +139,7 @@ class SuffixAutomaton:
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(map(tuple, spans)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
