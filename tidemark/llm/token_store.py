@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +35,45 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, texts_of, text_bytes, written
+from .common import ASCII_LOWER, STEP_BYTES, shared_path, steps, written
 
 MAX_BITS = 20
 STRIDE = 128
 BLOCK_TOKENS = 1 << 17
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _MAGIC = b"HUF1"
 
 
 # --- tokens ---------------------------------------------------------------------------------------
 
 
+def _members(codes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+_LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
+_SPACE = _members([9, 10, 11, 12, 13, 32])
+_LETTER = _members(range(97, 123))
+_MARK = _members([*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)])  # no apostrophe: it can begin a word's ending
+
+
+class _Numbers(dict):
+    """Gives each new word the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class WordTokenizer:
-    """Ids of whole texts, by the words between ASCII white space.
+    """Ids of whole texts, by their words: what stands between ASCII white space, cut further between ASCII letters and marks.
 
-    Right for tokenizers that never join across white space and drop it; each distinct word is then tokenised
-    once. Texts that contain a special token's string are tokenised whole.
+    Right for tokenizers that lower-case, drop white space and never join across these places, as the given one does;
+    each distinct word is then tokenised once. Texts that contain a special token's string are tokenised whole.
     """
 
     def __init__(self, path: str):
@@ -64,45 +84,64 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.number = _Numbers()
+        self.pool, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Tokenise words in one text of them all; a token belongs to the word that its offset lies in."""
+        texts = [w.decode() for w in new]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        self.sizes = np.concatenate([self.sizes, np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(new))])
+        self.pool = np.concatenate([self.pool, np.array(found.ids, np.uint32)])
+
+    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, and how many each has."""
+        data = _LOWER[data]
+        letter, mark = _LETTER[data], _MARK[data]
+        cuts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        places = np.sort(np.concatenate([cuts, off[1:]]))
+        spread = np.insert(data, places, 32)
+        moved = off + np.searchsorted(places, off, "right")
+        inside = ~_SPACE[spread]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        running = np.concatenate([[0], np.cumsum(begins)])
+        letters = np.cumsum(inside) - inside  # a word's place once the space is gone
+        ends = np.append(letters[begins], inside.sum()).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(spread[inside])])
+        return words.dictionary_encode(), running[moved[1:]] - running[moved[:-1]]
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        get = self.number.get
-        codes = [[get(w, -1) for w in own] for own in words]
-        new = list(dict.fromkeys(w for own, known in zip(words, codes) for w, k in zip(own, known) if k < 0))
+        raw = data.tobytes()
+        n = len(off) - 1
+        whole = {}
+        if any(s in raw for s in self.special):
+            cut = off.tolist()
+            whole = {i: raw[a:b] for i, (a, b) in enumerate(zip(cut, cut[1:])) if any(s in raw[a:b] for s in self.special)}
+        known = len(self.number)
+        words, counts = self._words(data, off)
+        distinct = words.dictionary.to_pylist()
+        codes = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        new = list(islice(self.number, known, None))
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            start = len(self.number)
-            self.number.update(zip(new, range(start, start + len(new))))
-            self.sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            self.pool.append(np.fromiter((x for ids in found for x in ids), np.uint32, int(self.sizes[-1].sum())))
-            codes = [[get(w) for w in own] if -1 in known else known for own, known in zip(words, codes)]
-        if len(self.pool) > 1:
-            self.pool, self.sizes = [np.concatenate(self.pool)], [np.concatenate(self.sizes)]
-        pool = self.pool[0] if self.pool else np.empty(0, np.uint32)
-        sizes = self.sizes[0] if self.sizes else np.empty(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((k for own in codes for k in own), np.int64, sum(map(len, codes)))
-        per_word = sizes[flat]
-        before = np.concatenate([[0], np.cumsum(per_word)])
-        ids = pool[np.repeat(starts[flat] - before[:-1], per_word) + np.arange(before[-1])]
-        bounds = before[np.concatenate([[0], np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))])]
-        out, counts = [], np.zeros(len(texts), np.int64)
-        end = np.array([end_id], np.uint32)
-        for i in range(len(texts)):
-            own = ids[bounds[i] : bounds[i + 1]]
-            if i in whole:
-                own = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, np.uint32)
-            out += [own, end]
-            counts[i] = len(own) + 1
-        return (np.concatenate(out) if out else np.empty(0, np.uint32)), counts
+            self._learn(new)
+        starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[codes]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
+        bounds = before[np.concatenate([[0], np.cumsum(counts)])]
+        if whole:
+            own = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+            for i, text in whole.items():
+                own[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            ids = np.concatenate(own)
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), np.diff(bounds) + 1
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -110,16 +149,15 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.setdefault(path, WordTokenizer(path)) if path not in _tokenizers else _tokenizers[path]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, n = tokenizer.encode(texts_of(*text_bytes(part.column("text"))), end_id)
-                narrow = ids.astype("<u2") if len(ids) == 0 or ids.max() < 1 << 16 else ids.astype("<u4")
-                off = np.concatenate([[0], np.cumsum(n)])
-                packed = [narrow[a:b].tobytes() for a, b in zip(off.tolist(), off[1:].tolist())]
-                width = pa.array(np.full(part.num_rows, narrow.itemsize, np.int8))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), width, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
+        if path not in _tokenizers:
+            _tokenizers[path] = WordTokenizer(path)
+        for part, data, off in steps(batches, "text", 2 * STEP_BYTES):
+            ids, n = _tokenizers[path].encode(data, off, end_id)
+            narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
+            off = np.concatenate([[0], np.cumsum(n)])
+            packed = [narrow[a:b].tobytes() for a, b in zip(off.tolist(), off[1:].tolist())]
+            width = pa.array(np.full(part.num_rows, narrow.itemsize, np.int8))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), width, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
 
     return run
 
