@@ -436,3 +436,58 @@ def o_confirmation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q, y = F.col("p"), F.col("q"), F.col("y")
     checks = scored(spark, sf_dir).agg((F.avg(F.abs(p - y)) < F.avg(F.abs(q - y))).alias("error_holds"), (F.count(F.lit(1)) > 10).alias("enough_rows"), (F.abs(F.avg(p - y)) < F.abs(F.avg(q - y))).alias("bias_holds"), F.bool_and(y > 0).alias("positive"))
     return gates.confirmation_gate(checks).withColumn("failed", F.array_join("failed", ","))
+
+
+# --- compositions -----------------------------------------------------------------------------------
+
+
+@query(
+    "h_walk_forward",
+    FOLDS_SQL + ", g AS (SELECT fold, position, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1, 2), a AS (SELECT fold, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1) SELECT f.fold, seed, entity, y, status, round(coalesce(g.m, a.m) * (1 + seed / 1000.0::DOUBLE) + 1.3e-6, 4) AS p_mean FROM f JOIN a USING (fold) LEFT JOIN g ON g.fold = f.fold AND g.position = f.position, (SELECT unnest([7, 42]) AS seed) WHERE part = 'test' AND f.fold IN ('w2', 'w5')",
+)
+def h_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def predictor(train: DataFrame, calibration: DataFrame, test: DataFrame, seed: int) -> DataFrame:
+        out = baselines.group_means(train.withColumn("all", F.lit(1)), test.withColumn("all", F.lit(1)), ["all"], ["position"], "y", "m")
+        return out.select("entity", (F.col("m") * (1 + F.lit(seed) / 1000.0)).alias("p_mean"))
+
+    kept = folds.walk_forward(folded(spark, sf_dir), predictor, key=KEY, features=["position"], targets=["y"], retained=["status"], names=["w2", "w5"], seeds=[7, 42])
+    return kept.select("fold", "seed", "entity", "y", "status", F.round(F.col("p_mean") + 1.3e-6, 4).alias("p_mean"))
+
+
+@query(
+    "l_forecast_provenance",
+    "SELECT 'captured not before cutoff' AS rule, CAST(o_orderkey AS VARCHAR) AS key, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS detail FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' UNION ALL SELECT 'state of forecast', CAST(o_orderkey AS VARCHAR), 'missing state with a value' FROM orders WHERE o_orderkey % 5 = 2",
+)
+def l_forecast_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import contracts
+
+    digit = F.col("o_orderkey") % 5
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").alias("captured"), F.lit("2001-01-01 00:00:00").cast("timestamp_ntz").alias("cutoff"), F.when(digit < 3, F.col("o_totalprice")).alias("forecast"), F.when(digit < 2, "value").otherwise("source_unavailable").alias("forecast_state")
+    )
+    return contracts.not_before(rows, "captured", "cutoff", ["o_orderkey"]).unionByName(contracts.state_violations(rows, "forecast", "forecast_state", ["o_orderkey"]))
+
+
+@query(
+    "o_source_comparison",
+    f"WITH s AS ({SCORED_SQL}), c AS (SELECT *, entity % 4 <> 0 AND entity % 3 <> 0 AS complete FROM s), r AS (SELECT 'all' AS rows_used, * FROM c UNION ALL SELECT 'complete', * FROM c WHERE complete), g AS (SELECT rows_used, era, period, count(*) AS n, avg(abs(p - y)) - avg(abs(q - y)) AS d FROM r GROUP BY 1, 2, 3) SELECT rows_used, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, round(avg(d) + 1.3e-6, 4) AS mean_delta FROM g GROUP BY 1",
+)
+def o_source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    marked = rows.withColumns({"a": F.when(F.col("entity") % 4 != 0, F.col("p")), "b": F.when(F.col("entity") % 3 != 0, F.col("q"))})
+    complete = rows.join(marked.where(gates.complete_rows(marked, ["a", "b"])).select("entity"), "entity", "left_semi")
+    both = rows.withColumn("rows_used", F.lit("all")).unionByName(complete.withColumn("rows_used", F.lit("complete")))
+    a, b = (metrics.ranking_metrics(both, ["rows_used", *BY], "y", c, KEY, with_hash=True) for c in ("p", "q"))
+    deltas = compare.paired_deltas(a, b, ["rows_used", *BY], "mae").where("same_rows").join(a.select("rows_used", *BY, "rows"), ["rows_used", *BY])
+    return deltas.groupBy("rows_used").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.round(F.avg("delta") + 1.3e-6, 4).alias("mean_delta"))
+
+
+@query(
+    "n_cohort_probabilities",
+    f"WITH s AS ({CHANCES_SQL}), c AS (SELECT *, unnest(list_filter(['all', CASE WHEN period <= 5 THEN 'early' ELSE 'established' END, CASE WHEN entity % 2 = 0 THEN 'multi' ELSE 'single' END], lambda x: x IS NOT NULL)) AS cohort FROM s), g AS (SELECT cohort, era, period, avg((p - y) * (p - y)) AS b FROM c GROUP BY 1, 2, 3) SELECT cohort, count(*) AS groups, round(avg(b) + 1.3e-9, 6) AS brier FROM g GROUP BY 1",
+)
+def n_cohort_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(F.lit("all"), F.when(F.col("period") <= 5, "early").otherwise("established"), F.when(F.col("entity") % 2 == 0, "multi").otherwise("single"))
+    rows = cohorts.with_cohorts(chances(spark, sf_dir), names)
+    own = metrics.probability_metrics(rows, ["cohort", *BY], "y", "p", KEY)
+    return metrics.mean_over_groups(own, ["cohort"], ["brier"]).select("cohort", "groups", F.round(F.col("brier") + 1.3e-9, 6).alias("brier"))
