@@ -26,6 +26,7 @@ LONG_2 = "It was in the spring of that year that they built the first bridge, an
         (f"<body><header>{LONG}</header><form><p>{LONG}</p></form><aside>{LONG}</aside><p>{LONG}</p><ul><li><a href=1>One link here</a></li><li><a href=2>Another link there</a></li></ul>", LONG),
         (f"<article><p>{LONG}<!-- <p>gone</p> --><p>{LONG_2}</p><p>cut &am", f"{LONG}\n{LONG_2}\ncut &am"),
         (f"<article><div class='ad'>Buy it now, {LONG}</div><p>{LONG}</p><section class='user-comments'><p>{LONG_2}</p></section></article>", LONG),
+        (f"<header><h2>{LONG}</h2></header><article class=post><header><h1>Title</h1></header><p>{LONG}</p></article><article class='comment c1'><p>{LONG_2}</p></article>", f"Title\n{LONG}"),
         ("just text <", "just text <"),
     ],
 )

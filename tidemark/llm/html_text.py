@@ -48,6 +48,11 @@ STOP_WORDS = frozenset(
     "al como con de del el ella en es la las lo los más no para pero por que se sin su una un y".split()
 )
 
+#: An article's own header holds its title.
+TITLE_NAMES = frozenset(["header", "masthead"])
+#: An article element that is named so isn't the page's article.
+NOT_MAIN_NAMES = frozenset("ad ads comment comments promo related replies reply sponsored teaser".split())
+
 #: A block with at least this share of its characters in links is bad.
 MAX_LINKS = 0.3
 #: A block of fewer characters is too short to judge by its words.
@@ -61,9 +66,9 @@ _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _never(tag: str, attributes: str) -> bool:
+def _never(tag: str, attributes: str, main: int) -> bool:
     if tag in NEVER:
-        return True
+        return not (main and tag in TITLE_NAMES)
     if not attributes or tag in ("body", "html"):
         return False
     if _HIDDEN.search(attributes):
@@ -73,7 +78,7 @@ def _never(tag: str, attributes: str) -> bool:
         if name.lower() == "role":
             if NEVER_ROLES.intersection(parts):
                 return True
-        elif tag not in MAIN and NEVER_NAMES.intersection(parts):
+        elif (NOT_MAIN_NAMES if tag in MAIN else NEVER_NAMES - TITLE_NAMES if main else NEVER_NAMES).intersection(parts):
             return True
     return False
 
@@ -137,7 +142,7 @@ def blocks(page: str) -> Iterator[Block]:
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
             stack.append((tag, never, main))
-            never = never or _never(tag, attributes)
+            never = never or _never(tag, attributes, main)
             if tag in MAIN and not never:
                 mains += 1
                 main = mains
