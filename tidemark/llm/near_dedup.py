@@ -10,9 +10,13 @@
 3. Posting lists are merged round by round. A round pairs each list's members with one hub of the list,
    leaving out (skip) members that the components found so far already join to it and sizes that can't
    reach the similarity. Pairs that collide in at least ``match_threshold`` coordinates are confirmed on the
-   full sets, and the components grow. The last round pairs what is still apart: every list's members
-   outside its main component with all members of other components. So no link between components
-   goes untested, yet the pairs within a group are never listed.
+   full sets, and the components grow. The hub is the member whose tokens are the commonest, as an original
+   among its edited copies is; then the same outside of the list's main component.
+4. The last round pairs what is still apart: every list's members outside its main component with all
+   members of other components, so no link between components goes untested. In a long list a pair is
+   left out when it provably can't be linked. Sets y and z differ in exactly the elements in which
+   what they add to the hub, and what they lack of it, differ. Of these the elements that no other set
+   has can't cancel, and the numbers of the others, part by part, tell how many must at least remain.
 
 Hot lists and hubs are joined by plain equi-joins, whose large keys adaptive execution splits; counts are
 aggregated before the shuffle. Tables that several steps read are written to the shared folder.
@@ -38,6 +42,9 @@ from .common import shingle_hashes, steps, word_hashes, written
 COORDINATES = 32
 MISS = 1e-6
 HUB_ROUNDS = 2
+#: Lists of more members are searched with the bound on differences.
+LONG_LIST = 16
+PARTS = 16
 
 
 def _not_space() -> np.ndarray:
@@ -107,15 +114,15 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def _postings(nodes: DataFrame, prefix: int) -> DataFrame:
-    """(token, node, n) for the prefix tokens that at least two nodes have."""
+    """(token, node, n, weight) for the prefix tokens that at least two nodes have; the weight is how common a node's tokens are."""
     tokens = nodes.select("node", "n", F.posexplode("signature").alias("at", "value")).select(
         "node", "n", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("token")
     )
     frequent = tokens.groupBy("token").count().where("count > 1")
     shared = tokens.join(frequent, "token")
-    ranked = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("own"))  # at most one a coordinate
+    ranked = shared.groupBy("node", "n").agg(F.sum("count").alias("weight"), F.sort_array(F.collect_list(F.struct("count", "token"))).alias("own"))  # at most one a coordinate
     room = F.lit(prefix - COORDINATES) + F.size("own")  # tokens of this node alone take the first places
-    return ranked.where(room > 0).select("node", "n", F.explode(F.slice("own", F.lit(1), room)).alias("own")).select(F.col("own.token").alias("token"), "node", "n")
+    return ranked.where(room > 0).select("node", "n", "weight", F.explode(F.slice("own", F.lit(1), room)).alias("own")).select(F.col("own.token").alias("token"), "node", "n", "weight")
 
 
 def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
@@ -125,6 +132,58 @@ def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _main(lists: DataFrame) -> DataFrame:
+    """(token, main): the component with most members of a list."""
+    return lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+
+
+def _central(lists: DataFrame) -> DataFrame:
+    """(token, hub fields) of the member with the commonest tokens."""
+    return lists.groupBy("token").agg(F.max_by(F.struct("node", "n", "component"), F.struct("weight", "node")).alias("hub")).select("token", "hub.*")
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, hub, added, removed, missing): how many shingles the node has that its hub lacks, and the other way round; the latter also by ``PARTS`` residues."""
+    one = sets.select("node", F.col("shingles").alias("own"))
+    two = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other"))
+    lost = pairs.join(one, "node").join(two, "hub").select("node", "hub", F.size("own").alias("size"), F.size("other").alias("hub_size"), F.array_except("other", "own").alias("lost"))
+    removed = F.size("lost")
+    missing = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.size(F.filter("lost", lambda x: F.pmod(x, F.lit(PARTS)) == k)))
+    return lost.select("node", "hub", (F.col("size") - F.col("hub_size") + removed).alias("added"), removed.alias("removed"), missing.alias("missing"))
+
+
+def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of members in different components that may be linked, at least one of them outside a list's main component.
+
+    Long lists are searched by their hub, so members that meet in many lists of one hub meet once.
+    """
+    sized = written(lists.join(_main(lists), "token").join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token"), "lists-sized")
+    short = sized.where(F.col("members") <= LONG_LIST)
+    pairs = _pairs(short.where("component != main"), short, percent)
+    long = sized.where(F.col("members") > LONG_LIST)
+    if not long.limit(1).count():
+        return pairs
+    own = written(sets.join(long.select("node").distinct(), "node", "left_semi"), "sets-apart")
+    single = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    hubbed = long.join(_central(long).select("token", F.col("node").alias("hub")), "token").groupBy("hub", "node", "n", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart"))
+    near = _distances(hubbed.select("node", "hub"), own)
+    placed = hubbed.join(near, ["node", "hub"]).join(alone, "node", "left")
+    # A hub's own single shingles are among what the others lack, so they don't count again.
+    is_hub = F.col("node") == F.col("hub")
+    known = placed.withColumn("alone", F.when(is_hub, 0).otherwise(F.coalesce("alone", F.lit(0)))).withColumn("added", F.col("added") - F.col("alone"))
+    known = written(known.select("hub", "node", "n", "component", "apart", "alone", "added", "removed", "missing"), "lists-placed")
+    one = known.where("apart = 1")
+    two = known.select("hub", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "apart", "alone", "added", "removed", "missing")))
+    least = F.col("alone") + F.col("other_alone") + F.abs(F.col("added") - F.col("other_added"))
+    by_parts = F.aggregate(F.zip_with("missing", "other_missing", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    room = (100 - percent) * (F.col("n") + F.col("other_n"))
+    may = ((100 + percent) * (least + F.abs(F.col("removed") - F.col("other_removed"))) <= room) & ((100 + percent) * (least + by_parts) <= room)
+    once = (F.col("other_apart") == 0) | (F.col("node") < F.col("other_node"))
+    met = one.join(two, "hub").where((F.col("component") != F.col("other_component")) & once & _similar_sizes(F.col("n"), F.col("other_n"), percent) & may)
+    return pairs.union(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))).distinct()
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int, percent: int) -> DataFrame:
     """The pairs that collide often enough and whose full sets are as similar as asked."""
     one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
@@ -171,14 +230,12 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if found is not None:
             apart = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
             lists = written(lists.join(apart, "token"), "lists-apart")
-        if turn < HUB_ROUNDS:
-            # The first hub of a list is its smallest node, which other lists of a group tend to have too; later ones differ from list to list.
-            rank = F.col("node") if turn == 0 else F.xxhash64("node", "token", F.lit(turn))
-            hubs = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "component"), rank).alias("hub")).select("token", "hub.*")
-            pairs = _pairs(lists, hubs, percent)
+        if turn == 0:
+            pairs = _pairs(lists, _central(lists), percent)
+        elif turn < HUB_ROUNDS:
+            pairs = _pairs(lists, _central(lists.join(_main(lists), "token").where("component != main")), percent)
         else:
-            main = lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-            pairs = _pairs(lists, lists.join(main, "token").where("component != main"), percent)
+            pairs = _apart_pairs(lists, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
