@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,20 @@ def shared_root(spark: SparkSession) -> str:
     return kept.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for clusters that don't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, str(file.relative_to(package.parent)))
+    context.addPyFile(str(target))
+    context._tidemark_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/corpus-{uuid.uuid4().hex}/{name}"
 
