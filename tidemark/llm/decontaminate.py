@@ -151,7 +151,7 @@ _built: dict[str, SuffixAutomaton] = {}
 
 
 def _scan(broadcast, window: int, text: str, names: tuple[str, str, str]):
-    """Adds this block's finds to the columns ``names`` (words, spans, items). A worker builds a block's automaton once."""
+    """Adds this block's finds to the columns ``names`` (words, spans, items). A task builds a block's automaton once."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

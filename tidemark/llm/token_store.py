@@ -41,7 +41,7 @@ MAX_BITS = 20
 STRIDE = 128
 BLOCK_TOKENS = 1 << 17
 SHARD_TOKENS = 1 << 24
-#: Words whose ids a worker remembers.
+#: Words whose ids a task remembers.
 REMEMBERED = 400_000
 _MAGIC = b"HUF1"
 
