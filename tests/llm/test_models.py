@@ -112,6 +112,36 @@ def test_filter_has_no_false_negatives():
     assert abs((mask & np.uint64(1)).mean() - wrong[0]) < 1e-3
 
 
+def learned_ids(count, held_out):
+    return [i for i in range(20 * count) if (zlib.crc32(str(i).encode()) % langid.MOD == langid.HELD_OUT) == held_out][:count]
+
+
+def test_every_language_is_learned(spark):
+    texts = [" ".join("".join(chr(0x4E00 + 40 * k + (i * j + j) % 40) for j in range(1, 7)) for i in range(1, 12)) for k in range(70)]
+    rows = [(i, texts[n // 2], f"l{n // 2:02}") for n, i in enumerate(learned_ids(140, False))] + [(i, texts[n], None) for n, i in enumerate(learned_ids(70, True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.languages(df).where("held_out").collect()}
+    assert [got[i] for i in learned_ids(70, True)] == [f"l{n:02}" for n in range(70)]
+
+
+def test_every_gram_is_learned(spark):
+    rng = random.Random(7)
+    text = "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(70_000))
+    rows = [(i, text, "zh") for i in learned_ids(2, False)] + [(learned_ids(1, True)[0], text, None)]
+    (got,) = langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert got["lang_pred"] == "zh" and got["score"] > 0.999
+
+
+def test_filter_grows_and_is_the_same_in_spark(spark):
+    assert langid.filter_size(0) == langid.filter_size(149_000) == langid.ROWS and langid.filter_size(1_000_000) == 1 << 24
+    rng = np.random.default_rng(8)
+    members = [rng.integers(0, 1 << 62, 300).astype(np.uint64) for _ in range(64)]
+    df = spark.createDataFrame([(k, c) for k, own in enumerate(members) for c in own.tolist()], "k long, code long")
+    rows, wrong = langid.build_filter(members)
+    filled, found = langid.summed_filter(df, 64, langid.ROWS)
+    assert (filled[0] == rows).all() and np.allclose(found, wrong)
+
+
 @pytest.mark.parametrize("slope", [0.5, 4.0])
 def test_calibration_fit(slope):
     rng = np.random.default_rng(3)

@@ -6,9 +6,9 @@ language's bit), takes off what the filter's false positives are expected to add
 
 An n-gram belongs to a language if its share there is at least ``min_share`` of its largest share in any
 language: quotations and mixed pages bring every n-gram into every language sooner or later. The counts
-behind this cover all documents with a language outside the held-out fold, summed by Spark. The filter
-has a fixed number of rows (``ROWS`` of 8 bytes), whatever the corpus; at most 64 languages, the most
-frequent ones, get a bit.
+behind this cover all documents with a language outside the held-out fold, summed by Spark. Every member
+and every language enters the filter: it has ``ROOM`` rows for each n-gram of the largest language (``ROWS``
+at least), and a mask word of 8 bytes a row for each 64 languages. Spark sets the bits and ORs them by row.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0. Ties go to the language
 that sorts first. Rows that repeat a doc_id are decided one by one. With nothing learned all are ``und``.
@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import fold, steps, written
 
+#: The least rows of a filter, and the rows for each n-gram of its largest language.
 ROWS = 1 << 21
+ROOM = 14
 HASHES = 3
+#: Bits of a mask word, and filter rows fetched at once.
+WORD, FETCHED = 64, 1 << 21
 ORDERS = (2, 3, 4)
-#: At most so many n-grams a language go into its filter, the most frequent ones: a fifth of its rows.
-MOST_GRAMS = 150_000
-MAX_LANGUAGES = 64
 MOD, HELD_OUT = 4, 2
 
 
@@ -94,16 +95,21 @@ def _rows(lang: str, codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n[at : at + (1 << 16)])], ["lang", "code", "n"])
 
 
-def places(codes: np.ndarray) -> list[np.ndarray]:
+def places(codes: np.ndarray, size: int = ROWS) -> list[np.ndarray]:
     """The filter rows of each n-gram, by double hashing."""
     a = codes * np.uint64(0xD6E8FEB86659FD93)
     a ^= a >> np.uint64(32)
     b = (a * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(17) | np.uint64(1)
-    return [((a + np.uint64(k) * b) & np.uint64(ROWS - 1)).astype(np.int64) for k in range(HASHES)]
+    return [((a + np.uint64(k) * b) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
+
+
+def filter_size(most: int) -> int:
+    """Filter rows, a power of two, for a largest language of so many n-grams."""
+    return max(ROWS, 1 << (ROOM * most - 1).bit_length()) if most else ROWS
 
 
 def build_filter(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bit-sliced filter with language k in bit k, and each language's false positive rate."""
+    """Bit-sliced filter of one mask word with language k in bit k, and each language's false positive rate."""
     rows = np.zeros(ROWS, np.uint64)
     for k, codes in enumerate(members):
         for place in places(codes):
@@ -112,20 +118,48 @@ def build_filter(members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows, fill**HASHES
 
 
+def _bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            k = part.column("k").to_numpy()
+            bit = (np.uint64(1) << (k % WORD).astype(np.uint64)).view(np.int64)
+            for place in places(part.column("code").to_numpy().view(np.uint64), size):
+                yield pa.RecordBatch.from_arrays([pa.array((k // WORD).astype(np.int32)), pa.array(place), pa.array(bit)], ["word", "row", "mask"])
+
+    return run
+
+
+def summed_filter(members: DataFrame, languages: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of (k, code) rows, one array of rows a mask word, and each language's false positive rate."""
+    masks = members.select("k", "code").mapInArrow(_bits(size), "word int, row long, mask long").groupBy("word", "row").agg(F.bit_or("mask").alias("mask"))
+    masks = written(masks, "filter-rows")
+    filled = np.zeros((max(1, -(-languages // WORD)), size), np.uint64)
+    at_once = max(1, FETCHED // len(filled))
+    for at in range(0, size, at_once):
+        table = masks.where((F.col("row") >= at) & (F.col("row") < at + at_once)).toArrow()
+        filled[table.column("word").to_numpy(), table.column("row").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
+    fill = np.array([((filled[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(languages)])
+    return filled, fill**HASHES
+
+
 def _decide(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows, wrong = model.value
+        names, filled, wrong = model.value
         for part, _, _ in steps(batches, "text"):
             points, owner, letters = characters(part)
             n = part.num_rows
             found, total = np.zeros((len(names), n)), np.zeros(n)
             for codes, own in grams(points, owner):
-                mask = None
-                for place in places(codes):
-                    mask = rows[place] if mask is None else mask & rows[place]
                 total += np.bincount(own, minlength=n)
-                for k in range(len(names)):
-                    found[k] += np.bincount(own[(mask >> np.uint64(k)) & np.uint64(1) > 0], minlength=n)
+                at = places(codes, filled.shape[1])
+                for word, rows in enumerate(filled):
+                    mask = rows[at[0]]
+                    for place in at[1:]:
+                        mask = mask & rows[place]
+                    some = int(np.bitwise_or.reduce(mask)) if len(mask) else 0
+                    for k in range(word * WORD, min(len(names), (word + 1) * WORD)):
+                        if some >> (k % WORD) & 1:
+                            found[k] += np.bincount(own[(mask >> np.uint64(k % WORD)) & np.uint64(1) > 0], minlength=n)
             known = (letters > 0) & bool(names)
             if names:
                 right = np.maximum(found - wrong[:, None] * total, 0) / (1 - wrong[:, None])
@@ -145,16 +179,15 @@ def languages(docs: DataFrame, *, min_share: float = 0.5, min_count: int = 2) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     learned = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", MOD) != HELD_OUT))
     counts = written(learned.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "gram-counts")
-    sizes = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES)
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("total"))
     tops = shares.groupBy("code").agg(F.max("share").alias("top"))
     members = shares.join(tops, "code").where((F.col("share") >= min_share * F.col("top")) & (F.col("n") >= min_count))
     names = sorted(x["lang"] for x in sizes.collect())
-    kept = [
-        members.where(F.col("lang") == name).orderBy(F.desc("n"), "code").limit(MOST_GRAMS).select("code").toArrow().column("code").to_numpy().view(np.uint64)
-        for name in names
-    ]
-    filled, wrong = build_filter(kept)
+    order = spark.createDataFrame(list(enumerate(names)), "k long, lang string")
+    kept = written(members.join(F.broadcast(order), "lang").select("k", "code"), "members")
+    most = max((x["count"] for x in kept.groupBy("k").count().collect()), default=0)
+    filled, wrong = summed_filter(kept, len(names), filter_size(most))
     model = spark.sparkContext.broadcast((names, filled, wrong))
     found = rows.select("doc_id", "text").mapInArrow(_decide(model), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (fold("doc_id", MOD) == HELD_OUT).alias("held_out"), "lang_pred", "score")
