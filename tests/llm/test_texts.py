@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 import zlib
 
@@ -151,3 +152,22 @@ def test_mixing(spark):
     with pytest.raises(ValueError):
         mixing.mixed(df, weights, total=1e7)
     assert mixing.mixed(df.limit(0), weights).count() == 0
+
+
+def test_mixing_of_a_rare_source(spark):
+    rows = [(k, "rare" if k < 2 else "few" if k < 10 else "big") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    out = mixing.mixed(df, spark.createDataFrame([("rare", 6.0), ("few", 3.0), ("big", 1.0)], "source string, weight double"))
+    times = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    for k, source in rows[:10]:
+        rate = {"rare": 1800.0, "few": 225.0}[source]
+        u = int(hashlib.md5(f"1|{k}".encode()).hexdigest()[:13], 16) / 2**52
+        below = np.cumsum(np.exp([-rate + x * math.log(rate) - math.lgamma(x + 1) for x in range(4000)]))
+        assert times[k] == (below <= u).sum()
+
+
+@pytest.mark.parametrize("rate", [0.3, 499.0, 501.0, 30_000.0])
+def test_poisson_distribution(spark, rate):
+    low, below = spark.range(1).select(mixing.lowest(F.lit(rate)), mixing.distribution(F.lit(rate))).first()
+    want = np.cumsum(np.exp([-rate + x * math.log(rate) - math.lgamma(x + 1) for x in range(low + len(below))]))
+    assert np.allclose(below, want[low:], atol=1e-9) and below[-1] > 1 - 1e-12 and (not low or want[low - 1] < 1e-25)

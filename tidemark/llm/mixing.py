@@ -11,7 +11,8 @@ a source is broadcast only if there are at most ``MAX_BROADCAST_SOURCES`` of the
 shuffling, where adaptive execution splits a large source.
 
 Defined results: null is a source of its own; a source without a weight, or with a null or negative one,
-has weight 0 and goes; a weight without documents doesn't count. Rows that repeat a doc_id get the same
+has weight 0 and goes; a weight without documents doesn't count. A rate may be any number if the mixture is as
+large as the input; a ``total`` that asks for a rate above MAX_RATE is refused. Rows that repeat a doc_id get the same
 number. A null doc_id counts as the empty string.
 """
 
@@ -24,7 +25,8 @@ from .common import written
 from .decontaminate import free_names
 
 MAX_BROADCAST_SOURCES = 10_000
-#: exp(-rate) must stay far from underflow for the inversion.
+#: Up to this rate the terms start at exp(-rate), far from underflow; above it at the first number that matters.
+#: It is also the most that a caller's own ``total`` may ask for.
 MAX_RATE = 500.0
 
 
@@ -53,32 +55,41 @@ def rates(docs: DataFrame, weights: DataFrame, *, source: str = "source", total:
     return both.select("source", "documents", (F.col("weight") / float(sums["weight"]) * wanted / F.col("documents")).alias("rate"))
 
 
+def lowest(rate: Column) -> Column:
+    """The first number whose probability counts: below it, at rates above MAX_RATE, lies less than a double can tell from 0."""
+    return F.when(rate > MAX_RATE, F.floor(rate - 12 * F.sqrt(rate) - 30)).otherwise(F.lit(0)).cast("int")
+
+
 def distribution(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of the Poisson distribution, as far as a double can tell it from 1."""
-    terms = F.sequence(F.lit(1), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
-    first = F.exp(-rate)
+    """P(X <= k) of the Poisson distribution for k from ``lowest``, as far as a double can tell it from 1. At rates above MAX_RATE the terms are relative to the first one, and divided by their sum at the end."""
+    low = lowest(rate)
+    terms = F.sequence(low + 1, F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"))
+    first = F.when(rate > MAX_RATE, F.lit(1.0)).otherwise(F.exp(-rate))
     start = F.struct(first.alias("p"), first.alias("sum"), F.array(first).alias("all"))
 
     def step(state: Column, k: Column) -> Column:
         p = state["p"] * rate / k
         return F.struct(p.alias("p"), (state["sum"] + p).alias("sum"), F.concat(state["all"], F.array(state["sum"] + p)).alias("all"))
 
-    return F.aggregate(terms, start, step, lambda state: state["all"])
+    def finish(state: Column) -> Column:
+        return F.when(rate > MAX_RATE, F.transform(state["all"], lambda c: c / state["sum"])).otherwise(state["all"])
+
+    return F.aggregate(terms, start, step, finish)
 
 
 def mixed(docs: DataFrame, weights: DataFrame, *, source: str = "source", doc_id: str = "doc_id", total: float | None = None, seed: int = 1) -> DataFrame:
     """The columns of ``docs`` and ``copy`` (1, 2, ...) and ``order_key`` (underscores before these if ``docs`` has such columns); partitions are in the order of the key."""
-    copy, order_key, u, times, key, below = free_names(docs.columns, "copy", "order_key", "u", "times", "mix_source", "below")
+    copy, order_key, u, times, key, low, below = free_names(docs.columns, "copy", "order_key", "u", "times", "mix_source", "low", "below")
     found = rates(docs, weights, source=source, total=total)
     top = found.agg(F.max("rate").alias("rate"), F.count(F.lit(1)).alias("sources")).first()
-    if top["rate"] is not None and top["rate"] > MAX_RATE:
+    if total is not None and top["rate"] is not None and top["rate"] > MAX_RATE:
         raise ValueError(f"a source's documents would be repeated {top['rate']:.0f} times on average; the limit is {MAX_RATE:.0f}")
-    table = found.where("rate > 0").select(F.col("source").alias(key), distribution(F.col("rate")).alias(below))
+    table = found.where("rate > 0").select(F.col("source").alias(key), lowest(F.col("rate")).alias(low), distribution(F.col("rate")).alias(below))
     if top["sources"] <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     placed = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(u, uniform(F.lit(str(seed)), name))
-    counted = placed.withColumn(times, F.size(F.filter(below, lambda c: c <= F.col(u)))).where(F.col(times) > 0)
+    counted = placed.withColumn(times, F.col(low) + F.size(F.filter(below, lambda c: c <= F.col(u)))).where(F.col(times) > 0)
     copies = counted.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
     ordered = copies.withColumn(order_key, F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), name, F.col(copy).cast("string"))), 1, 16))
     return ordered.repartition(order_key).sortWithinPartitions(order_key)
