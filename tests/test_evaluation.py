@@ -236,3 +236,25 @@ def test_files(spark, tmp_path):
     files.write_report(frame, str(tmp_path / "r.csv"), order=["k"])
     with pytest.raises(Exception):
         files.write_report(frame, str(tmp_path / "r.csv"))
+
+
+def test_fits_cover_all_folds(spark, monkeypatch):
+    from tidemark.plans import QUERIES, evaluation
+
+    data = "/root/testdata/sf0.001"
+    tested = sorted(r["entity"] for r in evaluation.folded(spark, data).where("part = 'test'").select("entity").collect())
+    assert sorted(r["entity"] for r in QUERIES["l_linear_models"](spark, data).collect()) == tested
+    options = []
+
+    def regressor(train, calibration, test, label, name, **own):
+        options.append(own)
+        return test.withColumn(name, F.col(label))
+
+    def classifier(train, calibration, frames, label, name, **own):
+        options.append(own)
+        return [x.withColumn(name, F.lit(0.5)) for x in frames]
+
+    monkeypatch.setattr(evaluation.heads, "boosted_regressor", regressor)
+    monkeypatch.setattr(evaluation.heads, "boosted_classifier", classifier)
+    assert sorted(r["entity"] for r in QUERIES["m_boosted_heads"](spark, data).collect()) == tested
+    assert sorted(x.pop("seed") for x in options) == [7] * 8 + [42] * 8 and not any(options)

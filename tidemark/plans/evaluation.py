@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,7 +221,7 @@ def l_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in baselines.history_baselines(last, mean5, F.col("value")).items()))
 
 
-def _prepared(spark: SparkSession, sf_dir: str, fold: str = "w3") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _prepared(spark: SparkSession, sf_dir: str, fold: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training, calibration and test rows of a fold with features fitted on the training part."""
     own = folded(spark, sf_dir).where(F.col("fold") == fold).withColumns({"label": F.col("y") / 1e5, "n_occurrences": F.col("n_occurrences").cast("double"), "q": F.when(F.col("entity") % 29 != 0, F.col("q"))})
     train = own.where(F.col("part") == "train")
@@ -230,24 +232,27 @@ def _prepared(spark: SparkSession, sf_dir: str, fold: str = "w3") -> tuple[DataF
 @query("l_linear_models")
 def l_linear_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: fits. Tests compare the same functions with closed forms."""
-    train, _, test = _prepared(spark, sf_dir)
-    out = baselines.ridge(train, test, "label", "pred")
-    high = F.when(F.col("label") > 2, 1.0).otherwise(0.0)
-    out = baselines.logistic(train.withColumn("high", high), out, "high", "p_high")
-    return out.select("entity", F.round("pred", 6).alias("pred"), F.round(baselines.clipped(F.col("pred"), 0.0), 6).alias("pred_clipped"), F.round("p_high", 6).alias("p_high"))
+    kept = []
+    for fold in TESTS:
+        train, _, test = _prepared(spark, sf_dir, fold)
+        out = baselines.ridge(train, test, "label", "pred")
+        high = F.when(F.col("label") > 2, 1.0).otherwise(0.0)
+        kept.append(baselines.logistic(train.withColumn("high", high), out, "high", "p_high").select("entity", "pred", "p_high"))
+    return reduce(DataFrame.unionByName, kept).select("entity", F.round("pred", 6).alias("pred"), F.round(baselines.clipped(F.col("pred"), 0.0), 6).alias("pred_clipped"), F.round("p_high", 6).alias("p_high"))
 
 
 @query("m_boosted_heads")
 def m_boosted_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: boosted trees. Fits see the training part, stop by the calibration block, and are averaged over two seeds."""
-    train, calibration, test = (x.withColumn("high", (F.col("label") > 2).cast("double")) for x in _prepared(spark, sf_dir))
     kept = []
-    for seed in (42, 7):
-        out = heads.boosted_regressor(train, calibration, test, "label", "raw", seed=seed, rounds=4, depth=3)
-        own, out = heads.boosted_classifier(train, calibration, [calibration, out], "high", "p_raw", seed=seed, rounds=4, depth=3)
-        line = heads.platt_line(own, "high", "p_raw")
-        kept.append(out.select("entity", "fold", F.lit(seed).alias("seed"), "raw", heads.calibrated(F.col("p_raw"), line).alias("p_high")))
-    both = heads.mean_ensemble(kept[0].unionByName(kept[1]), ["entity"], ["raw", "p_high"], lowest=0.0)
+    for fold in TESTS:
+        train, calibration, test = (x.withColumn("high", (F.col("label") > 2).cast("double")) for x in _prepared(spark, sf_dir, fold))
+        for seed in (42, 7):
+            out = heads.boosted_regressor(train, calibration, test, "label", "raw", seed=seed)
+            own, out = heads.boosted_classifier(train, calibration, [calibration, out], "high", "p_raw", seed=seed)
+            line = heads.platt_line(own, "high", "p_raw")
+            kept.append(out.select("entity", "fold", F.lit(seed).alias("seed"), "raw", heads.calibrated(F.col("p_raw"), line).alias("p_high")))
+    both = heads.mean_ensemble(reduce(DataFrame.unionByName, kept), ["entity"], ["raw", "p_high"], lowest=0.0)
     return rounded(heads.collapsed(both, ["entity"], ["fold"], ["raw_mean", "p_high_mean"]).select("entity", "raw_mean", "p_high_mean", "varies"))
 
 
