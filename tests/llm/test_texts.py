@@ -171,3 +171,23 @@ def test_poisson_distribution(spark, rate):
     low, below = spark.range(1).select(mixing.lowest(F.lit(rate)), mixing.distribution(F.lit(rate))).first()
     want = np.cumsum(np.exp([-rate + x * math.log(rate) - math.lgamma(x + 1) for x in range(low + len(below))]))
     assert np.allclose(below, want[low:], atol=1e-9) and below[-1] > 1 - 1e-12 and (not low or want[low - 1] < 1e-25)
+
+
+RUSSIAN = "История реки и города, который она создала, длинная, и её рассказывают те, кто живёт здесь уже много лет подряд."
+CHINESE = "这条河流和它所造就的城市的故事很长,由住在那里的人们讲述。那年春天他们建造了第一座桥,随之而来的是道路和贸易,城市也因此一天天变得更大更热闹起来了。"
+FINNISH = "Joen ja sen synnyttämän kaupungin tarina on pitkä, ja sitä kertovat ihmiset, jotka asuvat siellä yhä tänäkin päivänä."
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE, FINNISH])
+def test_pages_in_other_languages(text):
+    assert html_text.main_text(f"<body><div><p>{text}</p><p>{text}</p></div><ul><li><a href=1>{text}</a></li></ul></body>") == f"{text}\n{text}"
+
+
+def test_other_script_beside_english():
+    assert html_text.main_text(f"<body><p>{LONG}</p><p>{RUSSIAN}</p><p>{LONG_2}</p></body>") == f"{LONG}\n{RUSSIAN}\n{LONG_2}"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "entry tags-politics", "no-comments post", "sidebar-layout"])
+def test_names_that_only_contain_a_word(name):
+    assert html_text.main_text(f"<main><div class='{name}'><p>{LONG}</p></div></main>") == LONG
+    assert html_text.main_text(f"<main><p>{LONG_2}</p><div class='{name}'><p>see</p><p><a href=1>{LONG}</a></p></div></main>") == LONG_2

@@ -7,6 +7,11 @@ length and the share of stop words: good, bad, or short and undecided. A block i
 label of the nearest decided blocks of their element; where the two sides differ, the nearer one, and good
 on a tie. A page with no decided block keeps its undecided ones if they hold no links.
 
+Stop words are of four languages. Where they can't tell (a block mostly in letters outside Latin script, or a
+page on whose longer blocks they are rare), link density and length decide alone. A class or id drops an
+element if one of its names is a name of such elements or ends in one (``user-comments``, but not
+``has-sidebar``); with a name that only contains one, an element goes if its own text is mostly links.
+
 The page is read by a scanner of tags, comments and raw text elements that takes broken markup as it
 comes: tags left open, cut-off pages, stray ends. Its work is in proportion to the page's length.
 
@@ -53,6 +58,11 @@ TITLE_NAMES = frozenset(["header", "masthead"])
 #: An article element that is named so isn't the page's article.
 NOT_MAIN_NAMES = frozenset("ad ads comment comments promo related replies reply sponsored teaser".split())
 
+#: Before a name these say what the element's surroundings have.
+STATES = frozenset("has have no not with without is show hide hidden enable enabled disable disabled".split())
+#: An element whose name only contains such a part.
+SUSPECT = "suspect"
+
 #: A block with at least this share of its characters in links is bad.
 MAX_LINKS = 0.3
 #: A block of fewer characters is too short to judge by its words.
@@ -66,34 +76,51 @@ _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _never(tag: str, attributes: str, main: int) -> bool:
+def _named(value: str, names: frozenset[str]) -> bool | str:
+    """Whether one of the names in an id or class is, or ends in, one of ``names``; SUSPECT if one only contains it."""
+    found: bool | str = False
+    for name in value.lower().split():
+        parts = _PART.findall(name)
+        if names.isdisjoint(parts):
+            continue
+        if parts[-1] in names and STATES.isdisjoint(parts[:-1]):
+            return True
+        found = SUSPECT
+    return found
+
+
+def _never(tag: str, attributes: str, main: int) -> bool | str:
     if tag in NEVER:
         return not (main and tag in TITLE_NAMES)
     if not attributes or tag in ("body", "html"):
         return False
     if _HIDDEN.search(attributes):
         return True
+    names = NOT_MAIN_NAMES if tag in MAIN else NEVER_NAMES - TITLE_NAMES if main else NEVER_NAMES
+    found: bool | str = False
     for name, value in _NAMES.findall(attributes):
-        parts = _PART.findall(value.lower())
+        value = value.strip("\"'")
         if name.lower() == "role":
-            if NEVER_ROLES.intersection(parts):
+            if NEVER_ROLES.intersection(_PART.findall(value.lower())):
                 return True
-        elif (NOT_MAIN_NAMES if tag in MAIN else NEVER_NAMES - TITLE_NAMES if main else NEVER_NAMES).intersection(parts):
+        elif (own := _named(value, names)) is True:
             return True
-    return False
+        else:
+            found = found or own
+    return found
 
 
 class Block:
-    __slots__ = ("label", "linked", "main", "text")
+    __slots__ = ("label", "linked", "main", "suspect", "text")
 
-    def __init__(self, text: str, linked: int, main: int):
-        self.text, self.linked, self.main, self.label = text, linked, main, None
+    def __init__(self, text: str, linked: int, main: int, suspect: int = 0):
+        self.text, self.linked, self.main, self.suspect, self.label = text, linked, main, suspect, None
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """The page's blocks outside of what is never article text, in order. ``main``: 0, or the number of the article or main element around."""
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, never text, main
-    never, main, mains, links = False, 0, 0, 0
+    """The page's blocks outside of what is never article text, in order. ``main``: 0, or the number of the article or main element around; ``suspect`` likewise."""
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: tag, never text, main, suspect
+    never, main, mains, suspect, suspects, links = False, 0, 0, 0, 0, 0
     parts: list[str] = []
     linked = 0
     at, size, low = 0, len(page), None
@@ -101,7 +128,7 @@ def blocks(page: str) -> Iterator[Block]:
     def close() -> Block | None:
         nonlocal parts, linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
-        found = Block(text, linked, main) if text and not never else None
+        found = Block(text, linked, main, suspect) if text and not never else None
         parts, linked = [], 0
         return found
 
@@ -141,8 +168,12 @@ def blocks(page: str) -> Iterator[Block]:
                 continue
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
-            stack.append((tag, never, main))
-            never = never or _never(tag, attributes, main)
+            stack.append((tag, never, main, suspect))
+            how = never or _never(tag, attributes, main)
+            if how == SUSPECT:
+                suspects += 1
+                suspect = suspects
+            never = how is True
             if tag in MAIN and not never:
                 mains += 1
                 main = mains
@@ -154,38 +185,61 @@ def blocks(page: str) -> Iterator[Block]:
             links = 0
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    never, main = stack[depth][1:]
+                    never, main, suspect = stack[depth][1:]
                     del stack[depth:]
                     break
     if found := close():
         yield found
 
 
-def judge(block: Block) -> bool | None:
-    """First pass: True for article text, False for other text, None if too short to tell."""
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()[]") in STOP_WORDS for w in words), len(words)
+
+
+def _foreign(text: str) -> bool:
+    """Whether most letters are outside Latin script."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
+
+
+def judge(block: Block, known: bool = True) -> bool | None:
+    """First pass: True for article text, False for other text, None if too short to tell. ``known``: the page has its share of stop words."""
     n = len(block.text)
     density = block.linked / n
     if density >= MAX_LINKS and (n < SHORT * 4 or density >= 0.6):
         return False
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()[]") in STOP_WORDS for w in words) / len(words)
     if block.main and n >= SHORT:
         return True
     if n < SHORT:
         return None
-    if stops >= STOP_HIGH:
+    stop, words = _stops(block.text)
+    if stop >= STOP_HIGH * words:
         return True
-    if stops >= STOP_LOW:
+    if stop >= STOP_LOW * words:
         return True if n >= 4 * SHORT else None
-    return False
+    return density < MAX_LINKS and (not known or _foreign(block.text))
+
+
+def _without_suspects(found: list[Block]) -> list[Block]:
+    """Blocks of suspect elements go where their own text is mostly links."""
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for b in found:
+        size[b.suspect] = size.get(b.suspect, 0) + len(b.text)
+        linked[b.suspect] = linked.get(b.suspect, 0) + b.linked
+    return [b for b in found if not b.suspect or linked[b.suspect] < MAX_LINKS * size[b.suspect]]
 
 
 def main_text(page: str | None) -> str:
-    found = list(blocks(page or ""))
+    found = _without_suspects(list(blocks(page or "")))
     if any(b.main for b in found):  # a page that says where its article is
         found = [b for b in found if b.main]
+    counts = [_stops(b.text) for b in found if not b.main and len(b.text) >= SHORT and b.linked < MAX_LINKS * len(b.text)]
+    known = sum(stop for stop, _ in counts) >= STOP_LOW * sum(words for _, words in counts)
     for b in found:
-        b.label = judge(b)
+        b.label = judge(b, known)
     decided = [i for i, b in enumerate(found) if b.label is not None]
     if not decided:
         return "\n".join(b.text for b in found if not b.linked)
