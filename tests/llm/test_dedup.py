@@ -94,6 +94,13 @@ def test_near_groups(spark, size, percent):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, component == i)
 
 
+def test_members_that_only_meet_at_a_hub(spark):
+    core = [f"w0x{j}" for j in range(90)]  # the third text is in each list of the other two, and linked with neither
+    rows = [(k, " ".join(core + [f"{name}0y{j}" for j in range(n)])) for k, (name, n) in enumerate((("a", 10), ("b", 10), ("h", 15)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(table(spark, rows), shingle=1).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_near_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, text, 1), (4, text, 2), (2, text.upper(), 3), (2, text, 4), (9, None, 5)], "doc_id long, text string, kept int")

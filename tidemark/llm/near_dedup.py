@@ -230,6 +230,8 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if found is not None:
             apart = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
             lists = written(lists.join(apart, "token"), "lists-apart")
+            if not lists.limit(1).count():
+                break
         if turn == 0:
             pairs = _pairs(lists, _central(lists), percent)
         elif turn < HUB_ROUNDS:
@@ -240,7 +242,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if turn and not pairs.limit(1).count():
-            break
+            continue  # the last round finds pairs that no hub has
         tested = pairs if tested is None else tested.union(pairs)
         new = _confirmed(pairs, nodes, sets, threshold, percent)
         links = written(new if links is None else links.union(new), "confirmed")
