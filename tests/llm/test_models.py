@@ -1,7 +1,10 @@
 """Held-out accuracy of the classifiers, and their defined results for odd rows."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,14 +46,65 @@ def test_toxicity(spark):
     assert accuracy(toxicity.toxicity(df, labels), labels, "toxic") > 0.95
 
 
-def test_toxicity_counts_and_backoff():
-    data = np.frombuffer(b"ab cab", np.uint8)
-    code, owner = toxicity.sequences(data, np.array([0, 2, 6]))
-    assert len(code) == 1 + 2 and owner.tolist() == [0, 1, 1]  # "_ab_"; "__cab_" has its run of space folded
-    seen = np.zeros((toxicity.SYMBOLS,) * 4, bool)
-    seen[1, 2, 3, 4] = seen[5, 2, 3, 4] = seen[1, 2, 3, 6] = True
-    p = toxicity.shared_backoff(seen)
-    assert np.allclose(p.sum(-1), 1) and p[2, 3, 4] > p[2, 3, 6] > p[2, 3, 7] > 0
+def naive_ratio(texts, labels):
+    """Log-ratio a character of each text, from the definitions: Counters of every sequence, no hashing, no joins."""
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    spelt = lambda w: [f" {w} "[max(0, j - 3) : j + 1] for j in range(1, len(w) + 2)]
+    types, own = Counter(), (Counter(), Counter())
+    for w in {w for ws in words for w in ws}:
+        types.update(spelt(w))
+    for ws, label in zip(words, labels):
+        for w in set(ws) if label is not None else ():
+            for g in spelt(w):
+                own[label][g] += round(1024 * min(1, 200 / len(set(ws)))) / 1024
+    level = []
+    for k in (1, 2, 3):
+        n = Counter()
+        for g, t in types.items():
+            if len(g) >= k:
+                n[g[-k:]] += t
+        level.append(n)
+
+    def shared(g):
+        if not g:
+            return 1 / len(level[0])
+        found = level[len(g) - 1]
+        after = {x: c for x, c in found.items() if x[:-1] == g[:-1]}
+        return (found[g] - 0.75 + 0.75 * len(after) * shared(g[1:])) / sum(after.values())
+
+    def p(g, label):
+        after = {x: c for x, c in own[label].items() if x[:-1] == g[:-1]}
+        if not after:
+            return shared(g[-3:])
+        return (max(own[label][g] - 0.75, 0) + sum(min(c, 0.75) for c in after.values()) * shared(g[-3:])) / sum(after.values())
+
+    ratio = {g: math.log(p(g, 1) / p(g, 0)) for g in types}
+    out = []
+    for ws in words:
+        all_ = [g for w in ws for g in spelt(w)]
+        out.append(sum(ratio[g] for g in all_) / len(all_) if all_ else 0.0)
+    return out
+
+
+def test_toxicity_against_the_definitions(spark):
+    rng = random.Random(3)
+    letters = ["ab", "ba", "é", "ж", "語", "𝒳", "x1"]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(rng.choice([1, 5, 400]))) for _ in range(60)] + [None, "", "?!"]
+    labels = {k: int(rng.random() < 0.4) for k in range(60)}
+    learned = {k for k in labels if zlib.crc32(str(k).encode()) % 5}
+    ids = spark.createDataFrame([(k,) for k in learned], "doc_id long").where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
+    learned = {r[0] for r in ids.collect()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    want = naive_ratio(texts, [labels[k] if k in learned else None for k in range(len(texts))])
+    for most in (0, 1 << 20):  # by joins, and by the broadcast table
+        got = {r["doc_id"]: r["log_ratio"] for r in toxicity.toxicity(docs, marked, max_broadcast=most).collect()}
+        assert np.allclose([got[k] for k in range(len(texts))], want, atol=1e-9)
+
+
+def test_toxicity_reads_long_texts_in_pieces():
+    text = "Aa-bb " * (toxicity.PIECE // 4)
+    assert toxicity.spelled(text) == {"aa": toxicity.PIECE // 4, "bb": toxicity.PIECE // 4}
 
 
 def test_toxicity_without_labels(spark):
