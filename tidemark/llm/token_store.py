@@ -1,6 +1,6 @@
 """Token ids in a compact file format: canonical length-limited Huffman codes in independent blocks.
 
-Every text is tokenised once and its ids written; Spark sums the global counts of the ids. From these the
+Every whole text is encoded by the tokenizer as it is and its ids written; Spark sums the global counts of the ids. From these the
 package-merge algorithm makes code lengths of at most ``MAX_BITS``, and the lengths alone fix the
 canonical codes. The documents are then dealt out by ranges of doc_id and written in ascending order.
 
@@ -20,14 +20,16 @@ bits at a time in one table, at all check points of a block at once.
 Spark writes and reads the rows (Parquet is the container), so any store that Spark reaches will do.
 
 Defined results: null text counts as empty and has the end id only. Null doc_ids come first. Documents that
-repeat a doc_id follow one another, in the order of their ids' checksum. An empty table gives no rows.
+repeat a doc_id follow one another, in the order of their ids' checksum. An empty table gives no rows. Columns
+other than doc_id and text are not read. The strings of special tokens in a text get these tokens' ids.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
-from itertools import accumulate, islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,129 +37,43 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, STEP_BYTES, shared_path, steps, written
+from .common import shared_path, steps, written
 
 MAX_BITS = 20
 STRIDE = 128
 BLOCK_TOKENS = 1 << 17
 SHARD_TOKENS = 1 << 24
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Text bytes that go to the tokenizer at once; its result takes some hundred times as much. A longer text goes alone.
+ENCODED_BYTES = 1 << 18
 _MAGIC = b"HUF1"
 
 
 # --- tokens ---------------------------------------------------------------------------------------
 
 
-def _members(codes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(codes)] = True
-    return out
-
-
-_LOWER = np.frombuffer(ASCII_LOWER, np.uint8)
-_SPACE = _members([9, 10, 11, 12, 13, 32])
-_LETTER = _members(range(97, 123))
-_MARK = _members([*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)])  # no apostrophe: it can begin a word's ending
-
-
-class _Numbers(dict):
-    """Gives each new word the next number."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
-
-
-class WordTokenizer:
-    """Ids of whole texts, by their words: what stands between ASCII white space, cut further between ASCII letters and marks.
+_tokenizers: dict[str, object] = {}
 
-    Right for tokenizers that lower-case, drop white space and never join across these places, as the given one does;
-    each distinct word is then tokenised once. Texts that contain a special token's string are tokenised whole.
-    """
 
-    def __init__(self, path: str):
+def tokenizer_of(path: str):
+    """The tokenizer in a file, loaded once a worker. Spark spreads the texts, so the library's own threads stay off."""
+    if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number = _Numbers()
-        self.pool, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Tokenise words in one text of them all; a token belongs to the word that its offset lies in."""
-        texts = [w.decode() for w in new]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-        self.sizes = np.concatenate([self.sizes, np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(new))])
-        self.pool = np.concatenate([self.pool, np.array(found.ids, np.uint32)])
-
-    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """The words of all texts, and how many each has."""
-        data = _LOWER[data]
-        letter, mark = _LETTER[data], _MARK[data]
-        cuts = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
-        places = np.sort(np.concatenate([cuts, off[1:]]))
-        spread = np.insert(data, places, 32)
-        moved = off + np.searchsorted(places, off, "right")
-        inside = ~_SPACE[spread]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        running = np.concatenate([[0], np.cumsum(begins)])
-        letters = np.cumsum(inside) - inside  # a word's place once the space is gone
-        ends = np.append(letters[begins], inside.sum()).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(spread[inside])])
-        return words.dictionary_encode(), running[moved[1:]] - running[moved[:-1]]
-
-    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end id, and the number of ids of each text."""
-        if len(self.number) > REMEMBERED:
-            self._forget()
-        raw = data.tobytes()
-        n = len(off) - 1
-        whole = {}
-        if any(s in raw for s in self.special):
-            cut = off.tolist()
-            whole = {i: raw[a:b] for i, (a, b) in enumerate(zip(cut, cut[1:])) if any(s in raw[a:b] for s in self.special)}
-        known = len(self.number)
-        words, counts = self._words(data, off)
-        distinct = words.dictionary.to_pylist()
-        codes = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
-        new = list(islice(self.number, known, None))
-        if new:
-            self._learn(new)
-        starts = np.cumsum(self.sizes) - self.sizes
-        sizes = self.sizes[codes]
-        before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(starts[codes] - before[:-1], sizes) + np.arange(before[-1])]
-        bounds = before[np.concatenate([[0], np.cumsum(counts)])]
-        if whole:
-            own = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
-            for i, text in whole.items():
-                own[i] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            ids = np.concatenate(own)
-        return np.insert(ids, bounds[1:], np.uint32(end_id)), np.diff(bounds) + 1
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
-        for part, data, off in steps(batches, "text", 2 * STEP_BYTES):
-            ids, n = _tokenizers[path].encode(data, off, end_id)
-            narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")
-            off = np.concatenate([[0], np.cumsum(n)])
-            packed = [narrow[a:b].tobytes() for a, b in zip(off.tolist(), off[1:].tolist())]
-            width = pa.array(np.full(part.num_rows, narrow.itemsize, np.int8))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), width, pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
+        tokenizer = tokenizer_of(path)
+        for part, _, _ in steps(batches, "text", ENCODED_BYTES):
+            texts = part.column("text").fill_null("").to_pylist()
+            ids = [np.array([*x.ids, end_id], np.uint32) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+            kind, width = ("<u2", 2) if max(int(x.max()) for x in ids) < 1 << 16 else ("<u4", 4)
+            n = pa.array([len(x) for x in ids], pa.int64())
+            packed = pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(np.full(len(ids), width, np.int8)), packed], ["doc_id", "n_tokens", "width", "ids"])
 
     return run
 
