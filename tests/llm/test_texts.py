@@ -4,7 +4,9 @@ import datetime as dt
 import hashlib
 import math
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -35,6 +37,90 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+RUSSIAN = "Это длинная история о реке и о городе, который она создала, и её рассказывают те, кто живёт там до сих пор."
+FIGURES = " ".join(["12.5 13.7"] * 9)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><p data-x=it's>{LONG}</p><p>More. It's done.</p></article>", f"{LONG}\nMore. It's done."),
+        (f"<article>x</article><div><p>{LONG}</p><p>{LONG_2}</p></div>", f"x\n{LONG}\n{LONG_2}"),
+        (f"<div><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div>", f"{RUSSIAN}\n{RUSSIAN}"),
+        (f"<p>{'これは川と町についての長い物語です。' * 6}</p>", "これは川と町についての長い物語です。" * 6),
+        (f"<body><div id='main-header-wrapper'><p>{LONG}</p><table><tr><td>{FIGURES}</td></tr></table><p>{LONG_2}</p></div>", f"{LONG}\n{FIGURES}\n{LONG_2}"),
+        (f"<article><p>{LONG}</p><table><tr><td>{FIGURES}</td></tr></table></article>", f"{LONG}\n{FIGURES}"),
+        (f'<main title="a > b" data-y=>{LONG}</main>', LONG),
+    ],
+)
+def test_pages_that_are_easily_lost(page, text):
+    assert html_text.main_text(page) == text
+
+
+class Plain(HTMLParser):
+    """The text of well-formed pages with an article, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+        if tag not in html_text.VOID:
+            self.open.append(f"{tag} {dict(attrs).get('class', '')}")
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+        self.open.pop()
+
+    def handle_data(self, data):
+        names = {x for name in self.open for x in name.split()}
+        if "article" in names and not names & {"nav", "footer", "aside", "script", "style", "form", "comments", "ad"}:
+            self.blocks[-1] += data
+
+    def text(self):
+        return "\n".join(x for x in (" ".join(b.split()) for b in self.blocks) if x)
+
+
+def test_random_pages_against_another_parser():
+    rng = random.Random(5)
+
+    def part(depth):
+        kind = rng.choice(["p", "p", "h2", "ul", "div", "table", "pre", "drop"])
+        body = rng.choice([LONG, LONG_2, "Short &amp; <b>bold</b>\n line.", f"{LONG} <a href='x'>a link</a> <i class=it's>{LONG_2}</i>"])
+        if kind == "drop":
+            return rng.choice([f"<aside>{LONG}</aside>", f"<div class='ad'>{LONG}</div>", "<script>if (a < b) { '</p>' }</script>", f"<form><p>{LONG}</p></form>", f"<section class='comments'><p>{LONG_2}</p></section>"])
+        if kind == "ul":
+            return f"<ul>{''.join(f'<li>{body}</li>' for _ in range(rng.randint(1, 3)))}</ul>"
+        if kind == "table":
+            return f"<table><tr><td>{body}</td><td>17.5</td></tr></table>"
+        if kind == "div" and depth < 4:
+            return f'<div data-k="a>b">{"".join(part(depth + 1) for _ in range(rng.randint(1, 3)))}</div>'
+        return f"<{kind if kind != 'div' else 'p'}>{body}</{kind if kind != 'div' else 'p'}>"
+
+    for _ in range(300):
+        inner = "".join(part(0) for _ in range(rng.randint(1, 8)))
+        page = f"<html><head><title>t</title></head><body><nav><a href=1>Home</a></nav><article><h1>Title</h1><p>{LONG}</p>{inner}</article><footer>(c) {LONG}</footer></body></html>"
+        plain = Plain()
+        plain.feed(page)
+        assert html_text.main_text(page) == plain.text(), page
+
+
+def test_stray_ends_are_read_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_text.main_text("<div>" * n + "</p>" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_no_pages(spark):
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", f"<article><p>É {LONG}</p></article>", "x"), (1, "u", None, "x"), (None, None, "", "x")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_text.extracted(df).collect()), key=str)

@@ -2,10 +2,10 @@
 
 First pass: the page is cut into blocks of text at block-level tags. A block inside an element that is
 never article text (by its tag, role, id or class) is dropped; the others are judged by link density,
-length and the share of stop words: good, bad, or short and undecided. A block inside an ``article`` or
-``main`` element that holds text needs no stop words to be good. Second pass: undecided blocks take the
-label of the nearest decided blocks of their element; where the two sides differ, the nearer one, and good
-on a tie. A page with no decided block keeps its undecided ones if they hold no links.
+length and the share of stop words: good, bad, or undecided. Where ``article`` or ``main`` elements hold the
+page's text, only their blocks count, and one with few stop words (a table, say) is undecided, not bad.
+Second pass: undecided blocks take the label of the nearest decided blocks; where the two sides differ, the
+nearer one, and good on a tie. A page with no decided block keeps its undecided ones if they hold no links.
 
 Stop words are of four languages. Where they can't tell (a block mostly in letters outside Latin script, or a
 page on whose longer blocks they are rare), link density and length decide alone. A class or id drops an
@@ -16,7 +16,7 @@ The page is read by a scanner of tags, comments and raw text elements that takes
 comes: tags left open, cut-off pages, stray ends. Its work is in proportion to the page's length.
 
 Defined results: null html counts as empty, and gives an empty text. Rows are treated one by one, so
-repeated rows give repeated results. Columns other than the three are not read.
+repeated rows give repeated results; an empty table gives no rows. Columns other than the three are not read.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ MAX_LINKS = 0.3
 SHORT = 60
 STOP_LOW, STOP_HIGH = 0.08, 0.2
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(id|class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
@@ -124,6 +124,7 @@ def blocks(page: str) -> Iterator[Block]:
     parts: list[str] = []
     linked = 0
     at, size, low = 0, len(page), None
+    opened: dict[str, int] = {}  # how many of a tag are open
 
     def close() -> Block | None:
         nonlocal parts, linked
@@ -168,7 +169,9 @@ def blocks(page: str) -> Iterator[Block]:
                 continue
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                 stack.pop()
+                opened[tag] -= 1
             stack.append((tag, never, main, suspect))
+            opened[tag] = opened.get(tag, 0) + 1
             how = never or _never(tag, attributes, main)
             if how == SUSPECT:
                 suspects += 1
@@ -183,10 +186,10 @@ def blocks(page: str) -> Iterator[Block]:
             if found := close():
                 yield found
             links = 0
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    never, main, suspect = stack[depth][1:]
-                    del stack[depth:]
+            while opened.get(tag):
+                name, never, main, suspect = stack.pop()
+                opened[name] -= 1
+                if name == tag:
                     break
     if found := close():
         yield found
@@ -204,24 +207,36 @@ def _foreign(text: str) -> bool:
     return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
 
 
+def _lettered(text: str) -> bool:
+    """Whether letters are at least half of what isn't white space."""
+    return 2 * sum(map(str.isalpha, text)) >= len(text) - text.count(" ")
+
+
 def judge(block: Block, known: bool = True) -> bool | None:
-    """First pass: True for article text, False for other text, None if too short to tell. ``known``: the page has its share of stop words."""
+    """First pass: True for article text, False for other text, None if it can't tell. ``known``: the page has its share of stop words."""
     n = len(block.text)
     density = block.linked / n
     if density >= MAX_LINKS and (n < SHORT * 4 or density >= 0.6):
         return False
-    if block.main and n >= SHORT:
-        return True
     if n < SHORT:
         return None
     stop, words = _stops(block.text)
     if stop >= STOP_HIGH * words:
         return True
     if stop >= STOP_LOW * words:
-        return True if n >= 4 * SHORT else None
+        return True if n >= 4 * SHORT or block.main else None
+    if block.main or not _lettered(block.text):
+        return None  # a table, a formula, another language: what stands around it tells
     return density < MAX_LINKS and (not known or _foreign(block.text))
 
 
+def _marked(found: list[Block]) -> bool:
+    """Whether the page's article and main elements hold its text: at least a quarter of what stands in longer blocks outside of them."""
+    inside = sum(len(b.text) for b in found if b.main)
+    outside = sum(len(b.text) for b in found if not b.main and len(b.text) >= SHORT and b.linked < MAX_LINKS * len(b.text))
+    return inside > 0 and 4 * inside >= outside
+
+
 def _without_suspects(found: list[Block]) -> list[Block]:
     """Blocks of suspect elements go where their own text is mostly links."""
     size: dict[int, int] = {}
@@ -234,8 +249,11 @@ def _without_suspects(found: list[Block]) -> list[Block]:
 
 def main_text(page: str | None) -> str:
     found = _without_suspects(list(blocks(page or "")))
-    if any(b.main for b in found):  # a page that says where its article is
+    if _marked(found):  # a page that says where its article is
         found = [b for b in found if b.main]
+    else:
+        for b in found:
+            b.main = 0
     counts = [_stops(b.text) for b in found if not b.main and len(b.text) >= SHORT and b.linked < MAX_LINKS * len(b.text)]
     known = sum(stop for stop, _ in counts) >= STOP_LOW * sum(words for _, words in counts)
     for b in found:
