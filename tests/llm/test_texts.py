@@ -214,6 +214,43 @@ def test_url_lists(spark):
     assert url_filter.evaluated(df, listed.limit(0)).where("decision != 'none'").count() == 0
 
 
+def test_url_lists_with_clashing_columns_and_long_hosts(spark):
+    day = lambda k: dt.datetime(2024, 1, k)
+    rows = [("http://" + "a." * 3000 + "x.org/" + "p/" * 3000, day(3), "own", "best", 1), ("http://y.org", day(3), "own", "best", 2)]
+    captures = spark.createDataFrame(rows, "url string, fetched_at timestamp, decision string, best string, pattern int")
+    listed = spark.createDataFrame([("x.org", "block", day(1)), ("a.x.org", "allow", day(2))], "pattern string, action string, listed_at timestamp")
+    got = url_filter.evaluated(captures, listed)
+    assert got.columns == ["url", "fetched_at", "decision", "best", "pattern", "_decision", "_pattern", "valid_from", "kept"]
+    assert {(r["pattern"], r["_decision"], r["_pattern"], r["valid_from"]) for r in got.collect()} == {(1, "allow", "a.x.org", day(2)), (2, "none", None, None)}
+    assert url_filter.evaluated(captures.limit(0), listed).count() == 0
+
+
+def test_url_lists_against_force(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    when = lambda: start + dt.timedelta(seconds=rng.choice([rng.randrange(20), rng.randrange(86_400 * 4) // 600 * 600]))
+    names = ["hot.org"] * 6 + ["a.hot.org", "b.a.hot.org", "hot.org/x", "a.hot.org/x/y", "cold.net"]
+    entries = [(rng.choice(names), rng.choice(["allow", "block", "none"]), when()) for _ in range(500)]
+    pages = [(k, f"http://{rng.choice(['', 'a.', 'b.a.', 'c.'])}{rng.choice(['hot.org', 'hot.org', 'cold.net'])}/{rng.choice(['', 'x', 'x/y', 'z'])}", when()) for k in range(600)]
+    want = {}
+    for k, url, at in pages:
+        host, _, path = url[7:].partition("/")
+        labels, steps = host.split("."), [x for x in path.split("/") if x]
+        covers = [".".join(labels[-n:]) for n in range(1, len(labels) + 1)] + [f"{host}/{'/'.join(steps[:n])}" for n in range(1, len(steps) + 1)]
+        for pattern in covers:
+            own = sorted((t, a) for p, a, t in entries if p == pattern and t <= at)
+            if own:
+                action, since = own[-1][1], own[-1][0]
+                for t, a in reversed([(t, max(b for u, b in own if u == t)) for t in sorted({t for t, _ in own})]):
+                    if a != action:
+                        break
+                    since = t
+                want[k] = (action, pattern, since)
+        want.setdefault(k, ("none", None, None))
+    got = url_filter.evaluated(spark.createDataFrame(pages, "k long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "pattern string, action string, listed_at timestamp"))
+    assert {r["k"]: (r["decision"], r["pattern"], r["valid_from"]) for r in got.collect()} == want
+
+
 def test_mixing(spark):
     rows = [(k, f"t{k}", "big" if k % 3 else ["a", "b", None][k // 3 % 3]) for k in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit(0))

@@ -62,6 +62,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with underscores put before those that a column has already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, texts_of
+from .common import free_names, steps, texts_of
 
 BLOCK_BYTES = 8 << 20
 
@@ -188,17 +188,6 @@ def _scan(broadcast, window: int, text: str, names: tuple[str, str, str]):
     return run
 
 
-def free_names(columns: list[str], *wanted: str) -> tuple[str, ...]:
-    """The wanted names, with underscores put before those that a column has already."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return tuple(out)
-
-
 def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text") + F.length("item") + 64)).first()[0] or 0

@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .decontaminate import free_names
+from .common import free_names, written
 
 MAX_BROADCAST_SOURCES = 10_000
 #: Up to this rate the terms start at exp(-rate), far from underflow; above it at the first number that matters.
