@@ -101,6 +101,56 @@ def test_members_that_only_meet_at_a_hub(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_links_that_no_hub_has(spark):
+    """Trios whose hub shares the lists of the other two but is linked with neither; in half of them the other two are linked."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(340):
+        cut, extra = (94, 12) if k % 2 else (rng.randrange(60, 120), rng.randrange(6, 20))
+        z, b, c, e = ([f"{name}{k}x{j}" for j in range(n)] for name, n in (("z", 189), ("b", extra), ("c", extra), ("e", 27)))
+        split = z[:cut] + b + z[cut:]
+        rows += [(3 * k + 1, " ".join(split + c + e)), (3 * k + 2, " ".join(split)), (3 * k + 3, " ".join(z + c))]
+    want = {}
+    for k in range(0, len(rows), 3):
+        want |= near_by_force(rows[k : k + 3], 3, 85)
+    assert len({c for _, c in want.values()}) not in (340, 1020)
+    got = near_dedup.near_groups(table(spark, rows), shingle=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    one = rows[:3]
+    got = near_dedup.near_groups(table(spark, one), shingle=3, percent=85).collect()  # no pair of the table is found by a hub
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_by_force(one, 3, 85)
+
+
+def test_templates_below_the_threshold(spark):
+    """Many texts share most of a page with one hub and differ in places of their own; some of them are linked."""
+    rng = random.Random(12)
+    page = [f"t{k}" for k in range(300)]
+    rows = []
+    for k in range(60):
+        own, at = [f"o{k}x{j}" for j in range(rng.choice([20, 45, 80]))], rng.randrange(250)
+        text = page[:at] + own + page[at:]
+        rows += [(4 * k + j, " ".join(text[: len(text) - drop])) for j, drop in enumerate(rng.sample([0, 10, 30, 55], rng.randint(1, 3)))]
+    rows.append((-1, " ".join(page)))
+    got = near_dedup.near_groups(table(spark, rows), shingle=3, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_by_force(rows, 3, 85)
+
+
+def test_sets_with_one_first_half_are_told_apart(spark):
+    signed = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 1), (5, None, None)], "doc_id long, node long, half long")
+    clashes = near_dedup._clashes(signed)
+    got = {r["doc_id"]: r["node"] for r in near_dedup._told_apart(signed, clashes).collect()}
+    assert got[1] == got[3] and len({got[1], got[2], got[4]}) == 3 and got[4] == 8 and got[5] is None
+    assert near_dedup._clashes(signed.where("half = 1")) is None
+
+
+def test_near_groups_of_long_texts(spark):
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long)), (2, edited(rng, long, 50)), (3, " ".join(long[:150_000]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(table(spark, rows), shingle=3, percent=85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, text, 1), (4, text, 2), (2, text.upper(), 3), (2, text, 4), (9, None, 5)], "doc_id long, text string, kept int")

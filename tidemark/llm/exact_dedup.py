@@ -11,7 +11,9 @@ Defined results: null text counts as empty. Texts are equal when identical after
 row with the largest doc_id stays; rows that repeat that doc_id are indistinguishable and all marked
 kept. A null doc_id never wins over a number; a group of null ids only has a null keep_id and is kept.
 Spill files are private to the task that writes them and gone when it ends, like Spark's own sort
-spill; a task that is run again elsewhere starts afresh.
+spill; a task that is run again elsewhere starts afresh. An empty table gives no rows. A text longer than a
+table has room for is a table of its own. Only doc_id and text are read; ``deduplicated`` keeps all other
+columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, steps, texts_of
+from .common import ASCII_LOWER, free_names, steps, texts_of
 
 LOCAL_BYTES = 24 << 20
 TABLE_BYTES = 64 << 20
@@ -179,6 +181,7 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns untouched (rows that repeat the id and text that stay all do)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    keep = exact_groups(docs, doc_id=doc_id, text=text).where("kept").select(F.col("keep_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    kept_id, kept_sha = free_names(docs.columns, "kept_id", "kept_sha")
+    keep = exact_groups(docs, doc_id=doc_id, text=text).where("kept").select(F.col("keep_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), upper, lower).cast("binary"), 256)
-    return docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("_keep_id")) & (digest == F.col("_keep_sha")), "left_semi")
+    return docs.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col(kept_id)) & (digest == F.col(kept_sha)), "left_semi")

@@ -1,8 +1,9 @@
 """Near-duplicate groups by an inverted join on MinHash signature coordinates.
 
-1. One pass over the texts makes, per document, its set of word shingles: size, a digest of the whole set,
-   and a signature of ``COORDINATES`` minima. Equal sets become one node at once, so copies cost nothing
-   more, however many there are.
+1. One pass over the texts makes, per document, its set of word shingles (64-bit hashes of them, in which two
+   different shingles of a pair of documents of 10^5 words agree with probability 10^-9): size, a digest of
+   128 bits of the whole set, and a signature of ``COORDINATES`` minima. Equal sets become one node at once,
+   so copies cost nothing more, however many there are.
 2. Every node has one token (coordinate, value) per coordinate. Spark counts the tokens. Two sets as similar
    as asked share at least ``match_threshold`` tokens except with probability ``MISS``; so among each
    node's rarest coordinates - ``match_threshold`` + 1 tokens there is a common one (prefix), and only those
@@ -18,12 +19,17 @@
    what they add to the hub, and what they lack of it, differ. Of these the elements that no other set
    has can't cancel, and the numbers of the others, part by part, tell how many must at least remain.
 
-Hot lists and hubs are joined by plain equi-joins, whose large keys adaptive execution splits; counts are
-aggregated before the shuffle. Tables that several steps read are written to the shared folder.
+   Hubs are searched in bands of sizes and of distances from the hub, which differ too much in sets that
+   can't be linked; a set with too many shingles of its own is left out altogether.
+
+Collisions are counted on the signatures of the pairs that the posting lists bring together. Hot lists and
+hubs are joined by plain equi-joins with written tables, whose large keys adaptive execution splits; counts
+are aggregated before the shuffle. Tables that several steps read are written to the shared folder.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing. A null
 doc_id is never linked and has a null component. Rows that repeat a doc_id are separate sets; the smallest
-doc_id of a component names it.
+doc_id of a component names it. An empty table gives no rows. A text of any length is one set, which one
+task holds. Only doc_id and text are read; ``distinct_documents`` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, steps, word_hashes, written
+from .common import free_names, shingle_hashes, steps, word_hashes, written
 
 COORDINATES = 32
 MISS = 1e-6
@@ -72,8 +78,10 @@ def _sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return shingle_hashes(*word_hashes(data, off, INSIDE), size)
 
 
-def _node(own: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(own: np.ndarray) -> tuple[int, int]:
+    """The two halves of a 128-bit digest."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _sign(size: int):
@@ -85,13 +93,14 @@ def _sign(size: int):
             minima = np.zeros((n, COORDINATES), np.uint64)
             for k in range(COORDINATES) if len(filled) else ():
                 minima[filled, k] = np.minimum.reduceat((codes ^ _SEEDS[0, k]) * _SEEDS[1, k], bounds[:-1][filled])
-            sizes, nodes = np.zeros(n, np.int64), [None] * n
+            sizes, nodes, halves = np.zeros(n, np.int64), [None] * n, [None] * n
             for i in filled.tolist():
                 own = np.unique(codes[bounds[i] : bounds[i + 1]])
-                sizes[i], nodes[i] = len(own), _node(own)
+                sizes[i] = len(own)
+                nodes[i], halves[i] = _node(own)
             values = (minima >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1)
             signature = pa.ListArray.from_arrays(pa.array(np.arange(0, n * COORDINATES + 1, COORDINATES), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), signature], ["doc_id", "n", "node", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), pa.array(halves, pa.int64()), signature], ["doc_id", "n", "node", "half", "signature"])
 
     return run
 
@@ -104,11 +113,26 @@ def _full_sets(size: int):
             own = [x for x in own if len(x)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in own], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
+            nodes = [_node(x) for x in own]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "half", "shingles"])
 
     return run
 
 
+def _told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """Different sets whose first 64 bits are the same (some in 10^10 documents) become nodes named by a hash of both halves."""
+    if clashes is None:
+        return rows.drop("half")
+    both = rows.join(clashes, "node", "left")
+    return both.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "half")).otherwise(F.col("node"))).drop("half", "clash")
+
+
+def _clashes(signed: DataFrame) -> DataFrame | None:
+    """(node, clash) of the nodes that stand for several sets; None if there are none."""
+    found = written(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("half").alias("low"), F.max("half").alias("high")).where("low != high").select("node", F.lit(True).alias("clash")), "clashes")
+    return found if found.limit(1).count() else None
+
+
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -152,12 +176,29 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return lost.select("node", "hub", (F.col("size") - F.col("hub_size") + removed).alias("added"), removed.alias("removed"), missing.alias("missing"))
 
 
+def _banded(rows: DataFrame, percent: int, spread: bool) -> DataFrame:
+    """The rows under every (low, high, place) in which a set that may be linked can stand.
+
+    Linked sets are in the same band of sizes or in bands next to each other (low, high), and what they add
+    to the hub and lack of it, taken together, differs by at most the largest difference of two linked sets of
+    these bands: so they have the same place in steps of that width, or places next to each other (``spread``).
+    """
+    grows = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / grows))
+    pair = F.explode(F.array(*(F.struct(F.least(F.col("band"), F.col("band") + d).alias("low"), F.greatest(F.col("band"), F.col("band") + d).alias("high")) for d in (-1, 0, 1))))
+    rows = rows.withColumn("_pair", pair).withColumns({"low": F.col("_pair.low"), "high": F.col("_pair.high")}).drop("_pair")
+    width = F.floor(2 * (100 - percent) / (100 + percent) * F.exp((F.col("high") + 1) * grows)) + 1
+    place = F.floor((F.col("added") + F.col("alone") + F.col("removed")) / width)
+    return rows.withColumn("place", F.explode(F.array(place - 1, place, place + 1)) if spread else place)
+
+
 def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs of members in different components that may be linked, at least one of them outside a list's main component.
 
     Long lists are searched by their hub, so members that meet in many lists of one hub meet once.
     """
-    sized = written(lists.join(_main(lists), "token").join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("members")), "token"), "lists-sized")
+    of_list = written(lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members")), "lists-main")
+    sized = written(lists.join(of_list, "token"), "lists-sized")
     short = sized.where(F.col("members") <= LONG_LIST)
     pairs = _pairs(short.where("component != main"), short, percent)
     long = sized.where(F.col("members") > LONG_LIST)
@@ -166,21 +207,25 @@ def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = written(sets.join(long.select("node").distinct(), "node", "left_semi"), "sets-apart")
     single = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
     alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    hubbed = long.join(_central(long).select("token", F.col("node").alias("hub")), "token").groupBy("hub", "node", "n", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart"))
+    hubbed = long.join(written(_central(long).select("token", F.col("node").alias("hub")), "lists-hubs"), "token").groupBy("hub", "node", "n", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart"))
     near = _distances(hubbed.select("node", "hub"), own)
     placed = hubbed.join(near, ["node", "hub"]).join(alone, "node", "left")
     # A hub's own single shingles are among what the others lack, so they don't count again.
     is_hub = F.col("node") == F.col("hub")
     known = placed.withColumn("alone", F.when(is_hub, 0).otherwise(F.coalesce("alone", F.lit(0)))).withColumn("added", F.col("added") - F.col("alone"))
     known = written(known.select("hub", "node", "n", "component", "apart", "alone", "added", "removed", "missing"), "lists-placed")
-    one = known.where("apart = 1")
-    two = known.select("hub", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "apart", "alone", "added", "removed", "missing")))
+    # What no other set has is in the difference to any set: too much of it, and the node has no partner at all.
+    largest = F.col("n") * (1 + 100 / percent)
+    known = known.where(is_hub | ((100 + percent) * F.col("alone") <= (100 - percent) * largest + 1))
+    one, two = _banded(known.where("apart = 1"), percent, True), _banded(known, percent, False)
+    two = two.select("hub", "low", "high", "place", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "apart", "alone", "added", "removed", "missing", "band")))
     least = F.col("alone") + F.col("other_alone") + F.abs(F.col("added") - F.col("other_added"))
     by_parts = F.aggregate(F.zip_with("missing", "other_missing", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
     room = (100 - percent) * (F.col("n") + F.col("other_n"))
     may = ((100 + percent) * (least + F.abs(F.col("removed") - F.col("other_removed"))) <= room) & ((100 + percent) * (least + by_parts) <= room)
     once = (F.col("other_apart") == 0) | (F.col("node") < F.col("other_node"))
-    met = one.join(two, "hub").where((F.col("component") != F.col("other_component")) & once & _similar_sizes(F.col("n"), F.col("other_n"), percent) & may)
+    banded = (F.least("band", "other_band") == F.col("low")) & (F.greatest("band", "other_band") == F.col("high"))
+    met = one.join(two, ["hub", "low", "high", "place"]).where(banded & (F.col("component") != F.col("other_component")) & once & _similar_sizes(F.col("n"), F.col("other_n"), percent) & may)
     return pairs.union(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))).distinct()
 
 
@@ -214,28 +259,32 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (doc_id = component_id). Sets are linked if 100 * intersection >= percent * union."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, n long, node long, signature array<int>"), "signatures")
+    signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, n long, node long, half long, signature array<int>"), "signatures")
+    clashes = _clashes(signed)
+    signed = _told_apart(signed, clashes)
     known = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     threshold = match_threshold(percent)
     postings = written(_postings(nodes, COORDINATES - threshold + 1), "postings")
-    active = written(postings.join(postings.groupBy("token").count().where("count > 1").select("token"), "token", "left_semi"), "lists")
+    repeated = written(postings.groupBy("token").count().where("count > 1").select("token"), "tokens")
+    active = written(postings.join(repeated, "token"), "lists")
     wanted = nodes.join(active.select("node").distinct(), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
     chosen = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(chosen.mapInArrow(_full_sets(shingle), "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), "node long, half long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = found = tested = None
     for turn in range(HUB_ROUNDS + 1):
         lists = active.withColumn("component", F.col("node")) if found is None else active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if found is not None:
-            apart = lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+            apart = written(lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens-apart")
             lists = written(lists.join(apart, "token"), "lists-apart")
             if not lists.limit(1).count():
                 break
         if turn == 0:
-            pairs = _pairs(lists, _central(lists), percent)
+            pairs = _pairs(lists, written(_central(lists), "hubs"), percent)
         elif turn < HUB_ROUNDS:
-            pairs = _pairs(lists, _central(lists.join(_main(lists), "token").where("component != main")), percent)
+            outside = lists.join(written(_main(lists), "lists-main"), "token").where("component != main")
+            pairs = _pairs(lists, written(_central(outside), "hubs"), percent)
         else:
             pairs = _apart_pairs(lists, sets, percent)
         if tested is not None:
@@ -259,5 +308,6 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 def distinct_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without the near duplicates: of each group the document with the smallest doc_id stays, all columns untouched."""
-    dropped = near_groups(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(dropped, F.col(doc_id).cast("long") == F.col("_dropped_id"), "left_anti")
+    (name,) = free_names(docs.columns, "dropped_id")
+    dropped = near_groups(docs, doc_id=doc_id, text=text, **options).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col(doc_id).cast("long") == F.col(name), "left_anti")
