@@ -120,20 +120,114 @@ def test_coherence(spark):
     assert sum(bad) == 0
 
 
-def test_gates(spark):
-    made = [("f1", "discovery", "a", 0.9, 0.5, 1.0, 1.0, 0.1, 0.5, 1.0), ("f1", "discovery", "b", 0.8, 0.5, 1.1, 1.0, 0.2, 0.5, 1.0), ("f2", "confirmation", "a", 0.7, 0.5, 1.0, 1.0, 0.1, 0.5, 1.0), ("f2", "confirmation", "b", 0.8, 0.5, 1.1, 1.0, 0.2, 0.5, 1.0)]
-    report = spark.createDataFrame(made, "fold string, role string, model string, ndcg double, spearman double, mae double, rmse double, mean_bias double, top_overlap double, top1_hit double")
-    noise = spark.createDataFrame([("f1", 0.01), ("f2", 0.01)], "fold string, range double")
-    assert gates.promotion(gates.fold_gate(report, noise, "a", "b")).first()["decision"] == "INCONCLUSIVE"
-    assert gates.promotion(gates.fold_gate(report, noise.withColumn("range", F.lit(0.5)), "a", "b")).first()["decision"] == "REJECT"
-    deltas = spark.createDataFrame([("x", "f", 2.0), ("y", "f", 2.0), ("z", "f", -1.0), ("v", "f", 0.1)], "arm string, fold string, delta double")
-    noise = spark.createDataFrame([(a, "f", 1.0) for a in "xyzv"], "arm string, fold string, range double")
-    gate = gates.candidate_gate(deltas, noise, "base")
+REPORT = "fold string, role string, model string, ndcg double, spearman double, mae double, mean_bias double"
+
+
+def checks_of(spark, rows, noise=0.01, **options):
+    """``fold_checks`` of model a against b; a row is (fold, role, gain, spearman gain, error change, a's bias)."""
+    report = [x for f, r, g, s, m, bias in rows for x in ((f, r, "a", 0.5 + g, 0.5 + s, 1.0 + m, bias), (f, r, "b", 0.5, 0.5, 1.0, -0.2))]
+    ranges = spark.createDataFrame([(f, m, noise) for f, *_ in rows for m in "ab"], "fold string, model string, range double")
+    return gates.fold_checks(spark.createDataFrame(report, REPORT), ranges, "b", ["a"], **options)
+
+
+GOOD, WITHIN = (0.1, 0.0, 0.0, 0.2), (0.005, 0.0, 0.0, 0.2)
+
+
+@pytest.mark.parametrize(
+    "bad,condition",
+    [((0.0, 0.0, 0.0, 0.2), "gains"), (WITHIN, "above_noise"), ((0.1, -0.01, 0.0, 0.2), "spearman_holds"), ((0.1, 0.0, 0.01, 0.2), "error_holds"), ((0.1, 0.0, 0.0, -0.3), "bias_holds")],
+)
+def test_each_condition_of_a_fold(spark, bad, condition):
+    r = checks_of(spark, [("f", "discovery", *bad)]).first()
+    assert not r["passed"] and not r[condition]
+    assert checks_of(spark, [("f", "discovery", *GOOD)]).first()["passed"]
+
+
+def test_what_is_missing_passes_nothing(spark):
+    rows = [("f", "discovery", *GOOD)]
+    assert not checks_of(spark, rows, noise=None).first()["passed"]
+    assert checks_of(spark, rows, noise=None, unknown_noise=0.0).first()["passed"]
+    low = spark.createDataFrame([("f", "a", -0.1)], "fold string, model string, low double")
+    assert not checks_of(spark, rows, intervals=low).first()["interval_holds"] and not checks_of(spark, rows, intervals=low.limit(0)).first()["passed"]
+    assert checks_of(spark, rows, intervals=low.withColumn("low", F.lit(0.0))).first()["passed"]
+    one = spark.createDataFrame([("f", "discovery", "a", 0.9, None, 1.0, 0.0)], REPORT)
+    noise = spark.createDataFrame([("f", "a", 0.0)], "fold string, model string, range double")
+    assert not gates.fold_checks(one, noise, "b", ["a"]).first()["passed"]
+    assert not gates.fold_checks(one, noise, "b", ["a"], noise_of_both=True).first()["above_noise"]
+
+
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([("f1", "discovery", *GOOD), ("f2", "confirmation", *GOOD)], (True, "passed", "KEEP")),
+        ([("f1", "discovery", *GOOD), ("f2", "confirmation", *WITHIN)], (True, "failed", "REJECT")),
+        ([("f1", "discovery", *WITHIN), ("f2", "confirmation", *GOOD)], (False, "passed", "REJECT")),
+        ([("f1", "discovery", *WITHIN)], (False, "not_available", "REJECT")),
+        ([("f1", "discovery", *GOOD)], (True, "not_available", "INCONCLUSIVE")),
+        ([("f2", "confirmation", *GOOD)], (False, "passed", "INCONCLUSIVE")),
+    ],
+)
+def test_promotion(spark, rows, want):
+    assert tuple(gates.promotion(checks_of(spark, rows)).first()) == want
+
+
+def test_head_decisions(spark):
+    rows = [("k", "f1", "discovery", True), ("k", "f2", "confirmation", True), ("r", "f1", "discovery", True), ("r", "f2", "confirmation", False), ("i", "f1", "discovery", True)]
+    got = gates.head_decisions(spark.createDataFrame(rows, "head string, fold string, role string, passed boolean"))
+    assert dict(map(tuple, got.collect())) == {"k": "KEEP", "r": "REJECT", "i": "INCONCLUSIVE"}
+
+
+def test_confirmed_selection(spark):
+    kind = "model string, fold string, role string, ndcg_gain double, passed boolean"
+    def of(*rows):
+        return tuple(gates.confirmed_selection(spark.createDataFrame(list(rows), kind)).first())
+
+    x, y = ("x", "f1", "discovery", 0.2, True), ("y", "f1", "discovery", 0.2, True)
+    assert of(x, y, ("y", "f2", "confirmation", 0.1, True)) == ("y", 0.2, "passed", "PROMOTE_Y")  # the larger name on a tie
+    assert of(x, ("x", "f2", "confirmation", 0.1, False)) == ("x", 0.2, "failed", "KEEP_BASE")
+    assert of(x) == ("x", 0.2, "not_available", "KEEP_BASE")
+    assert of(("x", "f1", "discovery", 0.2, False), ("x", "f2", "confirmation", 0.1, True)) == (None, None, "not_applicable", "KEEP_BASE")
+
+
+def test_arm_gates(spark):
+    rows = [(m, f, g, 1.0, p) for m, g, p in (("x", 2.0, True), ("y", 2.0, True), ("z", -1.0, False), ("v", 0.1, False)) for f in ("f1", "f2")]
+    checks = spark.createDataFrame(rows, "model string, fold string, ndcg_gain double, noise_floor double, passed boolean")
+    gate = gates.candidate_gate(checks)
     chosen = gates.selected_arm(gate, "base")
     assert chosen.first()["selected"] == "y"
     verdicts = gates.ablation_verdicts(gate, chosen)
     assert {r["arm"]: r["verdict"] for r in verdicts.collect()} == {"x": "NOT_SELECTED", "y": "SELECTED", "z": "REJECT", "v": "INCONCLUSIVE"}
     assert gates.negative_results(verdicts).count() == 3
+    exact = spark.createDataFrame([("y", 0.1), ("y", -0.1), ("x", -0.1), ("z", None)], "arm string, delta double")
+    assert {r["arm"] for r in gates.candidate_gate(checks, exact).where("passed").collect()} == {"x"}
+    assert gates.selected_arm(gate.where("arm = 'z'"), "base").first()["selected"] == "base"
+    assert not gates.base_gate(checks.limit(0)).first()["passed"] and gates.base_gate(checks.where("passed")).first()["passed"]
+
+
+def test_confirmation_needs_all_nine(spark):
+    low = spark.createDataFrame([("f", "a", 0.0)], "fold string, model string, low double")
+    checks = checks_of(spark, [("f", "confirmation", *GOOD)], intervals=low)
+    yes, no = (spark.createDataFrame([(v,)], "passed boolean") for v in (True, False))
+    observed = yes.select((~F.col("passed")).alias("confirmation_observed"))
+
+    def decided(**other):
+        parts = {"selection": observed, "discovery": yes, "calibration": yes, "audit": yes} | other
+        return gates.confirmation_gate(gates.confirmation_checks(parts.pop("checks", checks), **parts)).first()
+
+    assert decided()["decision"] == "PROMOTE" and len(decided()) == 11
+    for name, failed in (("discovery", "discovery_passed"), ("calibration", "calibrated"), ("audit", "reproducible")):
+        for bad in (no, no.limit(0)):
+            assert (decided(**{name: bad})["decision"], decided(**{name: bad})["failed"]) == ("HOLD", [failed])
+    assert decided(selection=observed.withColumn("confirmation_observed", F.lit(True)))["failed"] == ["selected_on_discovery_only"]
+    assert decided(checks=checks_of(spark, [("f", "confirmation", 0.1, -0.1, 0.1, 0.3)], intervals=low))["failed"] == ["confirmation_spearman_holds", "confirmation_error_holds", "confirmation_bias_holds"]
+
+
+def test_bootstrap_by_group(spark):
+    rows = spark.createDataFrame([(g, k, float(k * (1 if g == "a" else 3))) for g in "ab" for k in range(6)], "g string, k int, delta double")
+    both = {r["g"]: r for r in compare.bootstrap(rows, ["k"], by=["g"], samples=200).collect()}
+    alone = compare.bootstrap(rows.where("g = 'a'"), ["k"], samples=200).first()
+    assert all(both["a"][c] == alone[c] for c in ("mean", "groups", "low", "high")) and abs(both["b"]["low"] - 3 * both["a"]["low"]) < 1e-9
+    assert compare.bootstrap(rows.limit(0), ["k"]).first()["groups"] == 0
 
 
 KIND = "portfolio int, entity string, position string, club int, score double, p_played double, p_long double, exposure double, actual double, actual_exposure double"

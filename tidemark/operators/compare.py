@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,18 +32,25 @@ def drawn(seed: int, sample: Column, place: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
 
 
-def bootstrap(deltas: DataFrame, order: Sequence[str], delta: str = "delta", *, samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """One row: mean, deviation of the resampled means, and their percentile interval. Whole groups are drawn; a group's delta is one number, so there are as many as periods."""
-    from pyspark.sql import Window
-
-    numbered = deltas.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("place"), F.col(delta).cast("double").alias("value"))
-    n = numbered.agg(F.count(F.lit(1)).alias("n"))
-    draws = F.broadcast(n).select("n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("n", "sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at"))
-    picked = draws.select("sample", drawn(seed, F.col("sample"), F.col("at"), F.col("n")).alias("place"))
-    means = picked.join(F.broadcast(numbered), "place").groupBy("sample").agg(F.avg("value").alias("mean"))
+def bootstrap(deltas: DataFrame, order: Sequence[str], delta: str = "delta", *, by: Sequence[str] = (), samples: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """Per ``by`` (one row without): mean, deviation of the resampled means, and their percentile interval. Whole groups are drawn; a group's delta is one number, so there are as many as periods."""
+    by = list(by)
+    own = deltas if by else deltas.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    place = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+    numbered = own.select(*keys, place.alias("place"), F.col(delta).cast("double").alias("value"))
+    totals = numbered.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("groups"))
+    draws = totals.select(*keys, "groups", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("at"))
+    picked = draws.select(*keys, "sample", drawn(seed, F.col("sample"), F.col("at"), F.col("groups")).alias("place"))
+    means = picked.join(numbered, [*keys, "place"]).groupBy(*keys, "sample").agg(F.avg("value").alias("mean"))
     tail = (1 - confidence) / 2
-    resampled = means.agg(F.stddev_samp("mean").alias("deviation"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
-    return numbered.agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("groups")).join(resampled)  # one row each
+    resampled = means.groupBy(*keys).agg(F.stddev_samp("mean").alias("deviation"), F.percentile("mean", F.lit(tail)).alias("low"), F.percentile("mean", F.lit(1 - tail)).alias("high"))
+    found = totals.join(resampled, keys)
+    if by:
+        return found
+    # Without deltas there is still one row.
+    one = found.agg(F.max("mean").alias("mean"), F.coalesce(F.max("groups"), F.lit(0).cast("long")).alias("groups"), *(F.max(c).alias(c) for c in ("deviation", "low", "high")))
+    return one
 
 
 def seed_summary(metrics: DataFrame, by: Sequence[str], metric: str, *, higher_is_better: bool = True, seed: str = "seed") -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,46 +62,91 @@ def comparison_or_unavailable(deltas: DataFrame, order: Sequence[str], **options
     return found.select(F.when(F.col("missing") > 0, "unavailable").otherwise("available").alias("status"), "groups", *(F.when(F.col("missing") == 0, F.col(c)).alias(c) for c in wanted))
 
 
-def fold_gate(report: DataFrame, noise: DataFrame, candidate: str, base: str) -> DataFrame:
-    """Per fold (report: fold, role, model, metrics; noise: fold, range of the candidate's NDCG over seeds): which conditions hold."""
-    def of(model: str, prefix: str) -> DataFrame:
-        return report.where(F.col("model") == model).select("fold", "role", *(F.col(c).alias(f"{prefix}_{c}") for c in RANKING))
-
-    both = of(candidate, "a").join(of(base, "b"), ["fold", "role"]).join(noise, "fold", "left")
-    gain = F.col("a_ndcg") - F.col("b_ndcg")
-    return both.select(
-        "fold",
-        "role",
-        (gain > 0).alias("gains"),
-        (gain > F.coalesce("range", F.lit(0.0))).alias("above_noise"),
-        (F.coalesce(F.col("a_spearman") - F.col("b_spearman"), F.lit(0.0)) >= 0).alias("spearman_holds"),
-        (F.col("a_mae") <= F.col("b_mae")).alias("error_holds"),
-        (F.abs("a_mean_bias") <= F.abs("b_mean_bias")).alias("bias_holds"),
+#: Conditions of a fold, in this order; the interval's only where there are intervals.
+CONDITIONS = ("gains", "above_noise", "interval_holds", "spearman_holds", "error_holds", "bias_holds")
+
+
+def fold_checks(
+    report: DataFrame,
+    noise: DataFrame,
+    base: str,
+    candidates: Sequence[str],
+    *,
+    intervals: DataFrame | None = None,
+    noise_of_both: bool = False,
+    unknown_noise: float | None = None,
+    least_spearman: float = 0.0,
+    most_error: float = 0.0,
+    most_bias: float = 0.0,
+) -> DataFrame:
+    """Per candidate and fold: what it gains on the base model, the noise floor, which conditions hold, and whether all do.
+
+    ``report``: fold, role, model and metrics; ``noise``: fold, model, range of its NDCG over seeds; ``intervals``:
+    fold, model, low end of its paired interval. A fold without the base model or without a noise floor (and no
+    ``unknown_noise`` to stand for it) passes nothing, nor does a metric that is NULL. ``noise_of_both`` takes the larger
+    range of the two models.
+    """
+    own = report.where(F.col("model").isin(*candidates)).select("fold", "role", "model", *(F.col(c).alias(f"a_{c}") for c in ("ndcg", "spearman", "mae", "mean_bias")))
+    other = report.where(F.col("model") == base).select("fold", *(F.col(c).alias(f"b_{c}") for c in ("ndcg", "spearman", "mae", "mean_bias")))
+    both = own.join(other, "fold", "left").join(noise.select("fold", "model", F.col("range").alias("own_range")), ["fold", "model"], "left")
+    both = both.join(noise.where(F.col("model") == base).select("fold", F.col("range").alias("base_range")), "fold", "left")
+    if intervals is not None:
+        both = both.join(intervals.select("fold", "model", "low"), ["fold", "model"], "left")
+    own_range, base_range = (F.coalesce(c, F.lit(unknown_noise).cast("double")) for c in ("own_range", "base_range"))
+    floor = F.when(own_range.isNotNull() & base_range.isNotNull(), F.greatest(own_range, base_range)) if noise_of_both else own_range
+    gains = both.select(
+        "*",
+        (F.col("a_ndcg") - F.col("b_ndcg")).alias("ndcg_gain"),
+        (F.col("a_spearman") - F.col("b_spearman")).alias("spearman_gain"),
+        (F.col("a_mae") - F.col("b_mae")).alias("mae_change"),
+        (F.abs("a_mean_bias") - F.abs("b_mean_bias")).alias("bias_change"),
+        floor.alias("noise_floor"),
     )
+    holds = {
+        "gains": F.col("ndcg_gain") > 0,
+        "above_noise": F.col("ndcg_gain") > F.col("noise_floor"),
+        **({"interval_holds": F.col("low") >= 0} if intervals is not None else {}),
+        "spearman_holds": F.col("spearman_gain") >= least_spearman,
+        "error_holds": F.col("mae_change") <= most_error,
+        "bias_holds": F.col("bias_change") <= most_bias,
+    }
+    checked = gains.select("model", "fold", "role", "ndcg_gain", "spearman_gain", "mae_change", "bias_change", "noise_floor", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in holds.items()))
+    return checked.withColumn("passed", reduce(and_, (F.col(n) for n in holds)))
 
 
-CONDITIONS = ("gains", "above_noise", "spearman_holds", "error_holds", "bias_holds")
+def _in(role: str) -> Column:
+    return F.col("role") == role
 
 
-def promotion(gate: DataFrame) -> DataFrame:
-    """KEEP if all conditions hold in all folds of both roles, REJECT if some fail in discovery, else INCONCLUSIVE."""
-    holds = F.lit(True)
-    for c in CONDITIONS:
-        holds = holds & F.col(c)
+def _confirmation(passed: Column, available: Column) -> Column:
+    return F.when(~available, "not_available").when(passed, "passed").otherwise("failed")
 
-    def within(role: str) -> Column:
-        return F.coalesce(F.bool_and(F.when(F.col("role") == role, holds)), F.lit(False))
 
-    return gate.agg(within("discovery").alias("discovery"), within("confirmation").alias("confirmation")).withColumn(
-        "decision", F.when(F.col("discovery") & F.col("confirmation"), "KEEP").when(~F.col("discovery"), "REJECT").otherwise("INCONCLUSIVE")
-    )
+def promotion(checks: DataFrame) -> DataFrame:
+    """One row: KEEP if every discovery and confirmation fold passes, REJECT if one of either fails, INCONCLUSIVE without folds of a role (a failed discovery is rejected all the same)."""
+    n, failed = (lambda r: F.count_if(_in(r))), (lambda r: F.count_if(_in(r) & ~F.col("passed")))
+    own = checks.agg(n("discovery").alias("d"), failed("discovery").alias("d_failed"), n("confirmation").alias("c"), failed("confirmation").alias("c_failed"))
+    discovery = (F.col("d") > 0) & (F.col("d_failed") == 0)
+    result = _confirmation(F.col("c_failed") == 0, F.col("c") > 0)
+    decision = F.when(F.col("d_failed") > 0, "REJECT").when((F.col("d") == 0) | (F.col("c") == 0), "INCONCLUSIVE").when(F.col("c_failed") > 0, "REJECT").otherwise("KEEP")
+    return own.select(discovery.alias("discovery"), result.alias("confirmation"), decision.alias("decision"))
 
 
-def probability_gate(reports: DataFrame, candidate: str, base: str, *, strict: bool = True) -> DataFrame:
-    """Per fold and overall: the candidate's Brier score is below (or, not strict, at most) the base's."""
+def probability_gate(reports: DataFrame, candidate: str, base: str, *, strict: bool = True, deltas: DataFrame | None = None, order: Sequence[str] = (), **options) -> DataFrame:
+    """Per fold: whether the candidate's Brier score is below (or, not strict, at most) the base's; with ``deltas`` (fold, order, delta per period) also their resampled interval."""
     wide = reports.where(F.col("model").isin(candidate, base)).groupBy("fold").agg(F.max(F.when(F.col("model") == candidate, F.col("brier"))).alias("candidate"), F.max(F.when(F.col("model") == base, F.col("brier"))).alias("base"))
     passed = (F.col("candidate") < F.col("base")) if strict else (F.col("candidate") <= F.col("base"))
-    return wide.select("fold", "candidate", "base", F.coalesce(passed, F.lit(False)).alias("passed"))
+    found = wide.select("fold", "candidate", "base", F.coalesce(passed, F.lit(False)).alias("passed"))
+    if deltas is None:
+        return found
+    return found.join(bootstrap(deltas, order, by=["fold"], **options).select("fold", "deviation", "low", "high"), "fold", "left")
+
+
+def head_decisions(gate: DataFrame) -> DataFrame:
+    """Per head (gate: head, fold, role, passed): KEEP if all folds of both roles pass, REJECT if not, INCONCLUSIVE without folds of a role."""
+    have = (F.count_if(_in("discovery")) > 0) & (F.count_if(_in("confirmation")) > 0)
+    failed = F.count_if(F.col("role").isin("discovery", "confirmation") & ~F.col("passed"))
+    return gate.groupBy("head").agg(F.when(~have, "INCONCLUSIVE").when(failed == 0, "KEEP").otherwise("REJECT").alias("decision"))
 
 
 def single_valued(frame: DataFrame, by: Sequence[str], column: str) -> DataFrame:
@@ -107,15 +154,16 @@ def single_valued(frame: DataFrame, by: Sequence[str], column: str) -> DataFrame
     return frame.groupBy(*by).agg(F.min(column).alias(column), (F.count_distinct(column) == 1).alias("single"))
 
 
-def confirmed_selection(deltas: DataFrame) -> DataFrame:
-    """Discovery selects the name with the largest mean delta that is positive in all its folds (ties by name); confirmation must be positive again."""
-    own = deltas.groupBy("name").agg(
-        F.avg(F.when(F.col("role") == "discovery", F.col("delta"))).alias("mean"),
-        F.coalesce(F.bool_and(F.when(F.col("role") == "discovery", F.col("delta") > 0)), F.lit(False)).alias("passed"),
-        F.coalesce(F.bool_and(F.when(F.col("role") == "confirmation", F.col("delta") > 0)), F.lit(False)).alias("again"),
+def confirmed_selection(checks: DataFrame) -> DataFrame:
+    """One row: of the models that pass every discovery fold the one with the largest mean gain (the larger name on a tie), how it fares in confirmation, and the decision."""
+    own = checks.groupBy("model").agg(
+        F.avg(F.when(_in("discovery"), F.col("ndcg_gain"))).alias("mean_gain"),
+        ((F.count_if(_in("discovery")) > 0) & (F.count_if(_in("discovery") & ~F.col("passed")) == 0)).alias("passes"),
+        _confirmation(F.count_if(_in("confirmation") & ~F.col("passed")) == 0, F.count_if(_in("confirmation")) > 0).alias("confirmation"),
     )
-    best = F.max_by(F.struct("name", "mean", "again"), F.when(F.col("passed"), F.struct("mean", "name")))
-    return own.agg(best.alias("best")).select(F.col("best.name").alias("selected"), F.col("best.mean").alias("mean_delta"), F.coalesce("best.again", F.lit(False)).alias("confirmed"))
+    best = F.max_by(F.struct("model", "mean_gain", "confirmation"), F.when(F.col("passes"), F.struct("mean_gain", "model")))
+    found = own.agg(best.alias("best")).select(F.col("best.model").alias("selected"), F.col("best.mean_gain").alias("mean_gain"), F.coalesce("best.confirmation", F.lit("not_applicable")).alias("confirmation"))
+    return found.withColumn("decision", F.when(F.col("confirmation") == "passed", F.concat(F.lit("PROMOTE_"), F.upper("selected"))).otherwise("KEEP_BASE"))
 
 
 def complete_rows(frame: DataFrame, signals: Sequence[str]) -> Column:
@@ -140,13 +188,22 @@ def arm_deltas(scores: DataFrame, base: str, by: Sequence[str], metric: str) ->
     return joined.select("arm", *by, (F.col("_a") - F.col("_b")).alias("delta"), ((F.col("rows") == F.col("_rows")) & (F.col("key_hash") == F.col("_hash"))).alias("same_rows"))
 
 
-def candidate_gate(deltas: DataFrame, noise: DataFrame, base: str) -> DataFrame:
-    """Per arm (deltas: arm, fold, delta; noise: arm, fold, range): its mean gain, the larger seed range of the two arms, whether it passes in all folds."""
-    own = deltas.groupBy("arm", "fold").agg(F.avg("delta").alias("gain"))
-    base_noise = noise.where(F.col("arm") == base).select("fold", F.col("range").alias("base_range"))
-    joined = own.join(noise, ["arm", "fold"], "left").join(base_noise, "fold", "left")
-    floor = F.greatest(F.coalesce("range", F.lit(0.0)), F.coalesce("base_range", F.lit(0.0)))
-    return joined.groupBy("arm").agg(F.avg("gain").alias("mean_gain"), F.max(floor).alias("noise_floor"), F.bool_and(F.col("gain") > floor).alias("passed"))
+def candidate_gate(checks: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+    """Per arm (``fold_checks`` of the discovery folds, with intervals): its mean gain, the largest noise floor, whether it passes in all folds.
+
+    ``exact`` (arm, delta): what the full source gains on the arm on the rows that it has, per fold. An arm that leaves
+    the source out passes only if there are such deltas, and none is above zero.
+    """
+    gate = checks.groupBy(F.col("model").alias("arm")).agg(F.avg("ndcg_gain").alias("mean_gain"), F.max("noise_floor").alias("noise_floor"), F.bool_and("passed").alias("passed"))
+    if exact is None:
+        return gate
+    guard = exact.groupBy("arm").agg(F.coalesce(F.bool_and(F.coalesce(F.col("delta") <= 0, F.lit(False))), F.lit(False)).alias("_exact"))
+    return gate.join(guard, "arm", "left").select("arm", "mean_gain", "noise_floor", (F.col("passed") & F.coalesce("_exact", F.lit(True))).alias("passed"))
+
+
+def base_gate(checks: DataFrame) -> DataFrame:
+    """One row: whether the selected arm passes every fold against the standing model."""
+    return checks.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
 
 
 def selected_arm(gate: DataFrame, base: str) -> DataFrame:
@@ -165,6 +222,28 @@ def negative_results(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.col("verdict") != "SELECTED").select("arm", "verdict", "mean_gain")
 
 
+def confirmation_checks(checks: DataFrame, *, selection: DataFrame, discovery: DataFrame, calibration: DataFrame, audit: DataFrame) -> DataFrame:
+    """One row of the nine checks of a confirmation.
+
+    ``checks``: ``fold_checks`` of the confirmation folds, with intervals; ``selection``: confirmation_observed;
+    ``discovery``: passed against the standing model; ``calibration``: passed, a row for every head and fold of both
+    roles; ``audit``: passed. What is missing doesn't hold.
+    """
+
+    def every(frame: DataFrame, condition: Column, name: str) -> DataFrame:
+        return frame.agg(F.coalesce(F.bool_and(F.coalesce(condition, F.lit(False))), F.lit(False)).alias(name))
+
+    own = checks.agg(*(F.coalesce(F.bool_and(c), F.lit(False)).alias(f"confirmation_{c}") for c in ("above_noise", "interval_holds", "spearman_holds", "error_holds", "bias_holds")))
+    parts = [
+        every(selection, ~F.col("confirmation_observed"), "selected_on_discovery_only"),
+        every(discovery, F.col("passed"), "discovery_passed"),
+        own,
+        every(calibration, F.col("passed"), "calibrated"),
+        every(audit, F.col("passed"), "reproducible"),
+    ]
+    return reduce(lambda x, y: x.join(y), parts)  # one row each
+
+
 def confirmation_gate(checks: DataFrame) -> DataFrame:
     """One row of booleans: the decision and the names of those that fail."""
     names = checks.columns

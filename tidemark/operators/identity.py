@@ -45,15 +45,17 @@ def backfilled(observed: DataFrame, known: DataFrame, key: Sequence[str], period
 def as_of(rows: DataFrame, intervals: DataFrame, key: Sequence[str], period: str, wanted: Sequence[str]) -> DataFrame:
     """``rows`` with the wanted columns of the interval that covers their period, and ``matches``: how many did. More or less than one is an error for the caller.
 
-    An equi-join on the key with the range as a condition; a key's versions are few.
+    Each distinct key and period is looked up once, by an equi-join with the range as a condition (a key's versions are
+    few), and joined back; so rows that repeat each stay, and only keys are shuffled for the look-up.
     """
-    spans = intervals.select(*key, "valid_from", F.coalesce("valid_to", F.lit(OPEN)).alias("_to"), *wanted)
-    cover = (F.col(period) >= F.col("valid_from")) & (F.col(period) <= F.col("_to"))
-    by = [F.col(f"_r.{k}").eqNullSafe(F.col(f"_i.{k}")) for k in key]
-    joined = rows.alias("_r").join(spans.alias("_i"), [*by, cover], "left")
-    out = joined.select("_r.*", *(F.col(f"_i.{c}").alias(c) for c in wanted), F.col("_i.valid_from").isNotNull().cast("long").alias("_hit"))
-    grouped = out.groupBy(*rows.columns).agg(F.sum("_hit").alias("matches"), *(F.max(c).alias(c) for c in wanted))
-    return grouped.select(*rows.columns, *(F.when(F.col("matches") == 1, F.col(c)).alias(c) for c in wanted), "matches")
+    asked = rows.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col(period).alias("_at")).distinct()
+    spans = intervals.select(*(F.col(k).alias(f"_s{i}") for i, k in enumerate(key)), F.col("valid_from").alias("_from"), F.coalesce("valid_to", F.lit(OPEN)).alias("_to"), *(F.col(c).alias(f"_w{i}") for i, c in enumerate(wanted)))
+    cover = (F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))
+    met = asked.join(spans, [*(F.col(f"_k{i}").eqNullSafe(F.col(f"_s{i}")) for i in range(len(key))), cover])
+    names = [*(f"_k{i}" for i in range(len(key))), "_at"]
+    found = met.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), *(F.max(f"_w{i}").alias(f"_w{i}") for i in range(len(wanted))))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*key, period], names)]
+    return rows.join(found, same, "left").select(*(F.col(c) for c in rows.columns), *(F.when(F.col("_n") == 1, F.col(f"_w{i}")).alias(c) for i, c in enumerate(wanted)), F.coalesce("_n", F.lit(0)).cast("long").alias("matches"))
 
 
 def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:

@@ -64,30 +64,25 @@ def best_line_up(rows: DataFrame, by: Sequence[str], score: str = "score") -> Da
     return sums.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
 
 
-def risk_flags(*, p_played: Column, p_long: Column, exposure: Column, status: Column, n_occurrences: Column, chance: Column) -> Column:
-    """The flags that apply, ``|`` between them, or NONE."""
+def risk_flags(*, p_played: Column, p_long: Column, exposure: Column, status: Column, n_occurrences: Column, chance: Column, quality: Column, low_played: float = 0.6, low_long: float = 0.5, low_exposure: float = 45.0) -> Column:
+    """The flags that apply, ``|`` between them, or NONE. What isn't known (NULL) raises none but that of the data's quality."""
     flags = F.concat_ws(
         "|",
         F.when(n_occurrences == 0, "BLANK"),
-        F.when(n_occurrences > 1, "MULTI"),
-        F.when(status != "a", "STATUS"),
-        F.when(chance < 75, "CHANCE"),
-        F.when(p_played < 0.6, "MAY_NOT_PLAY"),
-        F.when((p_long < 0.5) & (p_played >= 0.6), "MAY_BE_SHORT"),
-        F.when(exposure < 45, "LOW_EXPOSURE"),
+        F.when(F.lower(status) != "a", F.concat(F.lit("STATUS_"), F.upper(status))),
+        F.when(chance < 100, "CHANCE_BELOW_100"),
+        F.when(p_played < low_played, "MAY_NOT_PLAY"),
+        F.when(p_long < low_long, "MAY_BE_SHORT"),
+        F.when(exposure < low_exposure, "LOW_EXPOSURE"),
+        F.when(~F.coalesce(F.upper(quality).isin("OK", "COMPLETE"), F.lit(False)), "DATA_QUALITY"),
     )
     return F.when(flags == "", "NONE").otherwise(flags)
 
 
 def data_quality(*states: Column) -> Column:
-    """The worst of the value states."""
-    every = F.array(*states)
-    return (
-        F.when(F.array_contains(every, "acquisition_failure"), "FAILED")
-        .when(F.array_contains(every, "source_unavailable"), "PARTIAL")
-        .when(F.exists(every, lambda x: x.isNull()), "UNKNOWN")
-        .otherwise("COMPLETE")
-    )
+    """The worst of the value states, in any case; those that are NULL say nothing."""
+    every = F.array(*(F.lower(c) for c in states))
+    return F.when(F.exists(every, lambda x: x == "acquisition_failure"), "ACQUISITION_FAILURE").when(F.exists(every, lambda x: x == "source_unavailable"), "SOURCE_UNAVAILABLE").otherwise("OK")
 
 
 def decided(rows: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -60,15 +60,19 @@ def p_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p_risk_flags",
-    f"""WITH pf AS ({PORTFOLIOS_SQL}), q AS (SELECT portfolio, entity, concat_ws('|', CASE WHEN entity % 3 = 0 THEN 'BLANK' END, CASE WHEN entity % 3 > 1 THEN 'MULTI' END, CASE WHEN entity % 4 = 0 THEN 'STATUS' END, CASE WHEN entity % 100 < 75 THEN 'CHANCE' END, CASE WHEN p_played < 0.6 THEN 'MAY_NOT_PLAY' END, CASE WHEN p_long < 0.5 AND p_played >= 0.6 THEN 'MAY_BE_SHORT' END, CASE WHEN exposure < 45 THEN 'LOW_EXPOSURE' END) AS f FROM pf)
- SELECT portfolio, entity, CASE WHEN f = '' THEN 'NONE' ELSE f END AS flags, CASE entity % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'UNKNOWN' ELSE 'COMPLETE' END AS quality, CASE entity % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'D' ELSE NULL END AS position FROM q""",
+    f"""WITH pf AS ({PORTFOLIOS_SQL}), z AS (SELECT *, CASE entity % 4 WHEN 0 THEN 'ACQUISITION_FAILURE' WHEN 1 THEN 'SOURCE_UNAVAILABLE' ELSE 'OK' END AS quality FROM pf),
+ q AS (SELECT portfolio, entity, quality, concat_ws('|', CASE WHEN entity % 3 = 0 THEN 'BLANK' END, CASE entity % 4 WHEN 0 THEN 'STATUS_I' WHEN 1 THEN 'STATUS_D' END, CASE WHEN entity % 5 > 0 AND entity % 101 < 100 THEN 'CHANCE_BELOW_100' END,
+  CASE WHEN p_played < 0.6 THEN 'MAY_NOT_PLAY' END, CASE WHEN p_long < 0.5 THEN 'MAY_BE_SHORT' END, CASE WHEN exposure < 45 THEN 'LOW_EXPOSURE' END, CASE WHEN quality <> 'OK' THEN 'DATA_QUALITY' END) AS f FROM z)
+ SELECT portfolio, entity, CASE WHEN f = '' THEN 'NONE' ELSE f END AS flags, quality, CASE entity % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'D' ELSE NULL END AS position FROM q""",
 )
 def p_risk_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("entity")
-    flags = select.risk_flags(p_played=F.col("p_played"), p_long=F.col("p_long"), exposure=F.col("exposure"), status=F.when(k % 4 == 0, "i").otherwise("a"), n_occurrences=k % 3, chance=k % 100)
-    second = F.when(k % 4 == 0, "acquisition_failure").when(k % 4 == 1, "source_unavailable").when(k % 4 == 3, "value")
+    second = F.when(k % 4 == 0, "Acquisition_Failure").when(k % 4 == 1, "source_unavailable").when(k % 4 == 3, "value")
+    quality = select.data_quality(F.lit("value"), second)
+    status = F.when(k % 4 == 0, "i").when(k % 4 == 1, "d").when(k % 4 == 2, "A")
+    flags = select.risk_flags(p_played=F.col("p_played"), p_long=F.col("p_long"), exposure=F.col("exposure"), status=status, n_occurrences=k % 3, chance=F.when(k % 5 > 0, k % 101), quality=F.col("quality"))
     name = F.when(k % 3 == 0, " gk ").when(k % 3 == 1, "2").otherwise("coach")
-    return portfolios(spark, sf_dir).select("portfolio", "entity", flags.alias("flags"), select.data_quality(F.lit("value"), second).alias("quality"), select.position_of(name).alias("position"))
+    return portfolios(spark, sf_dir).withColumn("quality", quality).select("portfolio", "entity", flags.alias("flags"), "quality", select.position_of(name).alias("position"))
 
 
 def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:

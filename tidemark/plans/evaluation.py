@@ -162,11 +162,11 @@ def k_paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "k_bootstrap",
     DELTA
-    + """, x AS (SELECT b.s, ('0x' || substr(md5('42|' || b.s || '|' || d.place), 1, 8))::BIGINT % d.n AS pick FROM d, (SELECT unnest(range(0, 500)) AS s) b), m AS (SELECT x.s, avg(d.delta) AS m FROM x JOIN d ON d.place = x.pick GROUP BY 1)
+    + """, x AS (SELECT b.s, ('0x' || substr(md5('42|' || b.s || '|' || d.place), 1, 8))::BIGINT % d.n AS pick FROM d, (SELECT unnest(range(0, 2000)) AS s) b), m AS (SELECT x.s, avg(d.delta) AS m FROM x JOIN d ON d.place = x.pick GROUP BY 1)
  SELECT (SELECT round(avg(delta), 4) FROM d) AS mean, (SELECT count(*) FROM d) AS groups, round(stddev_samp(m), 4) AS deviation, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""",
 )
 def k_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.bootstrap(_deltas(spark, sf_dir), BY, samples=500), 4)
+    return rounded(compare.bootstrap(_deltas(spark, sf_dir), BY), 4)
 
 
 SEEDED = f"WITH s AS ({SCORED_SQL}), z AS (SELECT era, seed, avg(abs(p * (1 + seed / 100.0::DOUBLE) - y)) AS mae, avg(p * (1 + seed / 100.0::DOUBLE) - y) AS b FROM s, (SELECT unnest([1, 2, 3]) AS seed) GROUP BY 1, 2)"
@@ -353,33 +353,6 @@ def n_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.sanity(scored(spark, sf_dir).withColumn("zero", F.lit(0.0)), KEY, zero="zero", actual="y")
 
 
-@query("n_fold_gate", MODELS + " SELECT a.fold, CASE WHEN a.fold < 'w4' THEN 'discovery' ELSE 'confirmation' END AS role, a.ndcg - b.ndcg > 0 AS gains, a.ndcg - b.ndcg > 0.001 AS above_noise, a.mae <= b.mae AS error_holds, abs(a.mean_bias) <= abs(b.mean_bias) AS bias_holds FROM rep a JOIN rep b ON a.fold = b.fold AND a.model = 'p' AND b.model = 'q'")
-def n_fold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gate(spark, sf_dir).drop("spearman_holds")
-
-
-def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _report(spark, sf_dir).withColumn("role", F.when(F.col("fold") < "w4", "discovery").otherwise("confirmation"))
-    noise = report.select("fold").distinct().withColumn("range", F.lit(0.001))
-    return gates.fold_gate(report, noise, "p", "q")
-
-
-@query(
-    "n_promotion",
-    MODELS.replace("avg(v - y) AS mean_bias FROM r", "avg(v - y) AS mean_bias, CASE WHEN min(av) < max(av) THEN covar_pop(av, ay) / nullif(stddev_pop(av) * stddev_pop(ay), 0) END AS sp FROM r").replace("least(count(*) OVER (PARTITION BY fold, model, era, period), 10) AS k FROM l", "least(count(*) OVER (PARTITION BY fold, model, era, period), 10) AS k, rank() OVER (PARTITION BY fold, model, era, period ORDER BY v) + (count(*) OVER (PARTITION BY fold, model, era, period, v) - 1) / 2.0::DOUBLE AS av, rank() OVER (PARTITION BY fold, model, era, period ORDER BY y) + (count(*) OVER (PARTITION BY fold, model, era, period, y) - 1) / 2.0::DOUBLE AS ay FROM l").replace("avg(mean_bias) AS mean_bias FROM m", "avg(mean_bias) AS mean_bias, avg(sp) AS sp FROM m")
-    + """, g AS (SELECT a.fold, a.ndcg - b.ndcg > 0.001 AND a.mae <= b.mae AND abs(a.mean_bias) <= abs(b.mean_bias) AND coalesce(a.sp - b.sp, 0) >= 0 AS ok FROM rep a JOIN rep b ON a.fold = b.fold AND a.model = 'p' AND b.model = 'q'), d AS (SELECT bool_and(ok) FILTER (WHERE fold < 'w4') AS discovery, bool_and(ok) FILTER (WHERE fold >= 'w4') AS confirmation FROM g)
- SELECT discovery, confirmation, CASE WHEN discovery AND confirmation THEN 'KEEP' WHEN NOT discovery THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS decision FROM d""",
-)
-def n_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.promotion(_gate(spark, sf_dir))
-
-
-@query("n_probability_gate", f"WITH s AS ({CHANCES_SQL}), g AS (SELECT era, period, avg((p - y) * (p - y)) AS a, avg((q - y) * (q - y)) AS b FROM s GROUP BY 1, 2), f AS (SELECT 'y' || era AS fold, avg(a) AS a, avg(b) AS b FROM g GROUP BY 1) SELECT fold, round(a, 6) AS candidate, round(b, 6) AS base, a < b AS passed FROM f")
-def n_probability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chances(spark, sf_dir).withColumn("fold", F.concat(F.lit("y"), F.col("era").cast("string")))
-    return rounded(gates.probability_gate(gates.probability_report(rows, ["fold"], ["p", "q"], "y", KEY), "p", "q"))
-
-
 @query("n_single_valued", "SELECT o_orderpriority, min(o_orderstatus) AS o_orderstatus, count(DISTINCT o_orderstatus) = 1 AS single FROM orders GROUP BY 1")
 def n_single_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.single_valued(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus")
@@ -390,39 +363,6 @@ def n_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gates.comparison_or_unavailable(_deltas(spark, sf_dir), BY, samples=200).select("status", "groups", "mean"), 4)
 
 
-CONFIRM = f"WITH s AS ({SCORED_SQL}), n AS (SELECT position AS name, CASE WHEN era < 1999 THEN 'discovery' ELSE 'confirmation' END AS role, era, avg(abs(q - y)) - avg(abs(p - y)) AS delta FROM s GROUP BY position, era)"
-
-
-@query("n_confirmed", CONFIRM + ", g AS (SELECT name, avg(delta) FILTER (WHERE role = 'discovery') AS m, coalesce(bool_and(delta > 0) FILTER (WHERE role = 'discovery'), false) AS ok, coalesce(bool_and(delta > 0) FILTER (WHERE role = 'confirmation'), false) AS again FROM n GROUP BY 1), b AS (SELECT arg_max(name, (m, name)) FILTER (WHERE ok) AS s FROM g) SELECT b.s AS selected, round(g.m, 4) AS mean_delta, coalesce(g.again, false) AS confirmed FROM b LEFT JOIN g ON g.name = b.s")
-def n_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = scored(spark, sf_dir).groupBy(F.col("position").alias("name"), "era").agg((F.avg(F.abs(F.col("q") - F.col("y"))) - F.avg(F.abs(F.col("p") - F.col("y")))).alias("delta"))
-    return rounded(gates.confirmed_selection(own.withColumn("role", F.when(F.col("era") < 1999, "discovery").otherwise("confirmation"))), 4)
-
-
-ARMS = f"WITH s AS ({SCORED_SQL}), a AS (SELECT era, period, 'y' || (era % 2) AS fold, avg(abs(p - y)) AS base, avg(abs(q - y)) AS alt, avg(abs((p + q) / 2 - y)) AS mix FROM s GROUP BY 1, 2), l AS (SELECT fold, arm, base - v AS gain FROM (SELECT fold, base, base AS b0, alt, mix FROM a) UNPIVOT (v FOR arm IN (alt, mix))), g AS (SELECT fold, arm, avg(gain) AS gain FROM l GROUP BY 1, 2), d AS (SELECT arm, avg(gain) AS mean_gain, bool_and(gain > 100.0) AS passed FROM g GROUP BY 1)"
-
-
-def _arm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("mix", (F.col("p") + F.col("q")) / 2)
-    long = gates.long_predictions(rows.withColumnsRenamed({"p": "base", "q": "alt"}), ["era", "period", "entity", "y"], ["base", "alt", "mix"])
-    scores = metrics.ranking_metrics(long, ["model", "era", "period"], "y", "prediction", KEY, with_hash=True)
-    own = scores.select(F.col("model").alias("arm"), "era", "period", F.concat(F.lit("y"), (F.col("era") % 2).cast("string")).alias("fold"), (-F.col("mae")).alias("value"), "rows", "key_hash")
-    deltas = gates.arm_deltas(own, "base", ["fold", "era", "period"], "value").where("same_rows")
-    noise = own.select("arm", "fold").distinct().withColumn("range", F.lit(100.0))
-    return gates.candidate_gate(deltas, noise, "base")
-
-
-@query("o_arm_gate", ARMS + " SELECT arm, round(mean_gain, 4) AS mean_gain, 100.0::DOUBLE AS noise_floor, passed FROM d")
-def o_arm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_arm_gate(spark, sf_dir), 4)
-
-
-@query("o_verdicts", ARMS + ", s2 AS (SELECT coalesce(arg_max(arm, (mean_gain, arm)) FILTER (WHERE passed), 'base') AS selected FROM d) SELECT arm, round(mean_gain, 4) AS mean_gain, 100.0::DOUBLE AS noise_floor, passed, CASE WHEN arm = selected THEN 'SELECTED' WHEN passed THEN 'NOT_SELECTED' WHEN mean_gain <= 0 THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS verdict FROM d, s2")
-def o_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = _arm_gate(spark, sf_dir)
-    return rounded(gates.ablation_verdicts(gate, gates.selected_arm(gate, "base")), 4)
-
-
 @query("o_complete_rows", f"WITH s AS ({SCORED_SQL}) SELECT era, count(*) AS rows, count(*) FILTER (WHERE entity % 4 <> 0 AND entity % 3 <> 0) AS complete FROM s GROUP BY 1")
 def o_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir).withColumns({"a": F.when(F.col("entity") % 4 != 0, F.col("p")), "b": F.when(F.col("entity") % 3 != 0, F.col("q"))})
@@ -436,26 +376,19 @@ def o_same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.arm_differences(rows, ["entity"], "y").select("entity", "fold", F.col("n").cast("int").alias("n"), F.col("targets").cast("int").alias("targets"))
 
 
-@query("o_confirmation_gate", f"WITH s AS ({SCORED_SQL}), c AS (SELECT avg(abs(p - y)) < avg(abs(q - y)) AS error_holds, count(*) > 10 AS enough_rows, abs(avg(p - y)) < abs(avg(q - y)) AS bias_holds, bool_and(y > 0) AS positive FROM s) SELECT *, array_to_string(list_filter([CASE WHEN NOT error_holds THEN 'error_holds' END, CASE WHEN NOT enough_rows THEN 'enough_rows' END, CASE WHEN NOT bias_holds THEN 'bias_holds' END, CASE WHEN NOT positive THEN 'positive' END], lambda x: x IS NOT NULL), ',') AS failed, CASE WHEN error_holds AND enough_rows AND bias_holds AND positive THEN 'PROMOTE' ELSE 'HOLD' END AS decision FROM c")
-def o_confirmation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, q, y = F.col("p"), F.col("q"), F.col("y")
-    checks = scored(spark, sf_dir).agg((F.avg(F.abs(p - y)) < F.avg(F.abs(q - y))).alias("error_holds"), (F.count(F.lit(1)) > 10).alias("enough_rows"), (F.abs(F.avg(p - y)) < F.abs(F.avg(q - y))).alias("bias_holds"), F.bool_and(y > 0).alias("positive"))
-    return gates.confirmation_gate(checks).withColumn("failed", F.array_join("failed", ","))
-
-
 # --- compositions -----------------------------------------------------------------------------------
 
 
 @query(
     "h_walk_forward",
-    FOLDS_SQL + ", g AS (SELECT fold, position, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1, 2), a AS (SELECT fold, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1) SELECT f.fold, seed, entity, y, status, round(coalesce(g.m, a.m) * (1 + seed / 1000.0::DOUBLE) + 1.3e-6, 4) AS p_mean FROM f JOIN a USING (fold) LEFT JOIN g ON g.fold = f.fold AND g.position = f.position, (SELECT unnest([7, 42]) AS seed) WHERE part = 'test' AND f.fold IN ('w2', 'w5')",
+    FOLDS_SQL + ", g AS (SELECT fold, position, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1, 2), a AS (SELECT fold, avg(y) AS m FROM f WHERE part = 'train' GROUP BY 1) SELECT f.fold, seed, entity, y, status, round(coalesce(g.m, a.m) * (1 + seed / 1000.0::DOUBLE) + 1.3e-6, 4) AS p_mean FROM f JOIN a USING (fold) LEFT JOIN g ON g.fold = f.fold AND g.position = f.position, (SELECT unnest([7, 42]) AS seed) WHERE part = 'test'",
 )
 def h_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     def predictor(train: DataFrame, calibration: DataFrame, test: DataFrame, seed: int) -> DataFrame:
         out = baselines.group_means(train.withColumn("all", F.lit(1)), test.withColumn("all", F.lit(1)), ["all"], ["position"], "y", "m")
         return out.select("entity", (F.col("m") * (1 + F.lit(seed) / 1000.0)).alias("p_mean"))
 
-    kept = folds.walk_forward(folded(spark, sf_dir), predictor, key=KEY, features=["position"], targets=["y"], retained=["status"], names=["w2", "w5"], seeds=[7, 42])
+    kept = folds.walk_forward(folded(spark, sf_dir), predictor, key=KEY, features=["position"], targets=["y"], retained=["status"], names=TESTS, seeds=[7, 42])
     return kept.select("fold", "seed", "entity", "y", "status", F.round(F.col("p_mean") + 1.3e-6, 4).alias("p_mean"))
 
 

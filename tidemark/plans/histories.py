@@ -315,11 +315,11 @@ def d_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d_as_of",
-    VERSIONS_SQL + ", q AS (SELECT DISTINCT o_custkey AS entity, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INTEGER) AS gp FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT q.entity, q.gp, CASE WHEN count(v.entity) = 1 THEN max(grp) END AS grp, count(v.entity) AS matches FROM q LEFT JOIN v ON v.entity = q.entity AND q.gp BETWEEN valid_from AND coalesce(valid_to, 2147483647) GROUP BY 1, 2",
+    VERSIONS_SQL + ", q AS (SELECT o_custkey AS entity, row_number() OVER () AS k, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INTEGER) AS gp FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT q.entity, q.gp, CASE WHEN count(v.entity) = 1 THEN max(grp) END AS grp, count(v.entity) AS matches FROM q LEFT JOIN v ON v.entity = q.entity AND q.gp BETWEEN valid_from AND coalesce(valid_to, 2147483647) GROUP BY q.entity, q.gp, q.k",
 )
 def d_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     gp = (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entity"), gp.alias("gp")).distinct()
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("entity"), gp.alias("gp"))
     return identity.as_of(rows, identity.versions(observed(spark, sf_dir), ["entity"], "gp", "grp"), ["entity"], "gp", ["grp"])
 
 
