@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +204,16 @@ def test_contamination(spark):
             assert (got[i]["n_words"], got[i]["n_hit"], list(got[i]["items"])) == leaks_by_force(t, items)
 
 
+def test_automaton_is_small():
+    rng = random.Random(9)
+    items = [(str(k), [f"w{rng.randrange(3000)}".encode() for _ in range(50)]) for k in range(400)]
+    tracemalloc.start()
+    automaton = decontaminate.SuffixAutomaton(items, 10)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 60 * sum(len(w) + 1 for _, own in items for w in own) and len(automaton.link) > 20_000
+
+
 def test_decontaminated_text(spark):
     item = " ".join(f"i{k}" for k in range(12))
     around = " ".join(f"o{k}" for k in range(40))
@@ -211,5 +222,8 @@ def test_decontaminated_text(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == df.columns and set(got) == {1, 3, 4}
     assert got[1]["text"] == f"{around}. ! {around}" and got[1]["n_chars"] == len(got[1]["text"]) and got[3]["text"] == around and got[4]["text"] is None
+    several = decontaminate.decontaminated(df, spark.createDataFrame([(1, item), (2, "x y z " * 9), (3, "p q " * 9)], "item_id int, text string"), block_bytes=60)
+    assert {r["doc_id"]: r["text"] for r in several.collect()} == {i: r["text"] for i, r in got.items()} and several.columns == df.columns
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.decontaminated(df, none).count() == 4
+    assert decontaminate.decontaminated(df.limit(0), none).count() == 0 and decontaminate.contamination(df.limit(0), none).count() == 0

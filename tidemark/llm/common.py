@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at once; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def fold(doc_id: str, mod: int) -> Column:
@@ -120,7 +120,7 @@ ASCII_LOWER = ascii_lower_table()
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.empty(0, np.uint64)] * 2
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

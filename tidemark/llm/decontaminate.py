@@ -4,19 +4,23 @@ The training words stream through the automaton, which tracks the longest match
 A match of at least ``window`` words covers windows of an item; a shorter item counts when it occurs
 whole. Runs of words that are too short to hold a window of benchmark vocabulary are passed over.
 
-The items are read in blocks whose bytes are counted first, so what a task holds is bounded whatever the
-benchmark's size; a document passes the blocks one after another and gathers its spans. Documents are
-never shuffled.
+The items are read in blocks whose bytes are counted first, and a worker holds the automaton of one block at
+a time, so its memory doesn't grow with the benchmark. With one block the documents are never shuffled; with
+several, what each finds is brought together by the digest of the text.
 
 Defined results: null text has no words; an item without words is never found; a null item id counts as
-the empty string; items with equal ids count once. Overlapping spans are merged.
+the empty string; items with equal ids count once. Overlapping spans are merged. Rows that repeat are treated
+one by one; an empty table of documents gives no rows, an empty benchmark finds nothing. A text of any length
+is read whole. ``decontaminated`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, steps, texts_of
+from .common import free_names, steps, texts_of, written
 
-BLOCK_BYTES = 8 << 20
+#: Some 60 bytes of automaton for each byte of a block.
+BLOCK_BYTES = 2 << 20
 
 
 def _word_table() -> bytes:
@@ -45,69 +50,97 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of the items' word sequences. ``hits`` finds the spans of windows and the items they belong to."""
+    """Of the items' word sequences. ``hits`` finds the spans of windows and the items they belong to.
+
+    A state keeps four integers: its link, its length, and its first transition's word and target. Most states have no
+    other; the rest are in one dictionary for all states. Items are numbered.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        sequences = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for name, words in items if words]
+        self.link, self.length, self.word, self.target = array("i"), array("i"), array("i"), array("i")
+        self.more: dict[int, int] = {}  # state and word: target
+        self.words_of: dict[int, list[int]] = {}  # the other words of a state
+        self._state(-1, 0)
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        sequences = [(number[name], array("i", [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words])) for name, words in items if words]
         for _, sequence in sequences:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-        self.owners: list[set[str]] = [set() for _ in self.next]
-        self.whole: list[list[tuple[int, str]]] = [[] for _ in self.next]
+        self.owner = array("i", [-1]) * len(self.link)  # the item of a state's windows, and the others if there are several
+        self.owners: dict[int, set[int]] = {}
+        self.whole: dict[int, list[tuple[int, int]]] = {}
         for name, sequence in sequences:
             state, length = 0, 0
             for word in sequence:
                 state, length = self.step(state, length, word)
                 if length >= window:
-                    self.owners[self._holder(state)].add(name)
+                    holder = self._holder(state)
+                    if self.owner[holder] < 0:
+                        self.owner[holder] = name
+                    elif self.owner[holder] != name:
+                        self.owners.setdefault(holder, set()).add(name)
             if len(sequence) < window:
-                self.whole[state].append((len(sequence), name))
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            self.whole[state] = self.whole[state] + self.whole[self.link[state]]
+                self.whole.setdefault(state, []).append((len(sequence), name))
+        # The nearest state up the links, itself included, at which a short item ends; 0 if there is none.
+        self.nearest = array("i", [0]) * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.nearest[state] = state if state in self.whole else self.nearest[self.link[state]]
         self.shortest = min((len(s) for _, s in sequences), default=window)
 
+    def _after(self, state: int, word: int) -> int:
+        """The target of a transition, -1 if there is none."""
+        return self.target[state] if self.word[state] == word else self.more.get(state << 32 | word, -1)
+
+    def _lead(self, state: int, word: int, target: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.target[state] = word, target
+            return
+        key = state << 32 | word
+        if key not in self.more:
+            self.words_of.setdefault(state, []).append(word)
+        self.more[key] = target
+
     def _extend(self, last: int, word: int) -> int:
-        found = self.next[last].get(word)
-        if found is not None:
+        found = self._after(last, word)
+        if found >= 0:
             return found if self.length[found] == self.length[last] + 1 else self._clone(last, word, found)
-        state = self._state({}, -1, self.length[last] + 1)
+        state = self._state(0, self.length[last] + 1)
         at = last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = state
+        while at >= 0 and (found := self._after(at, word)) < 0:
+            self._lead(at, word, state)
             at = self.link[at]
-        if at < 0:
-            self.link[state] = 0
-        else:
-            found = self.next[at][word]
+        if at >= 0:
             self.link[state] = found if self.length[found] == self.length[at] + 1 else self._clone(at, word, found)
         return state
 
     def _clone(self, at: int, word: int, found: int) -> int:
-        twin = self._state(dict(self.next[found]), self.link[found], self.length[at] + 1)
+        twin = self._state(self.link[found], self.length[at] + 1)
+        self.word[twin], self.target[twin] = self.word[found], self.target[found]
+        for other in self.words_of.get(found, ()):
+            self._lead(twin, other, self.more[found << 32 | other])
         self.link[found] = twin
-        while at >= 0 and self.next[at].get(word) == found:
-            self.next[at][word] = twin
+        while at >= 0 and self._after(at, word) == found:
+            self._lead(at, word, twin)
             at = self.link[at]
         return twin
 
-    def _state(self, after: dict[int, int], link: int, length: int) -> int:
-        self.next.append(after)
-        self.link.append(link)
-        self.length.append(length)
-        return len(self.next) - 1
+    def _state(self, link: int, length: int) -> int:
+        for column, value in ((self.link, link), (self.length, length), (self.word, -1), (self.target, -1)):
+            column.append(value)
+        return len(self.link) - 1
 
     def step(self, state: int, length: int, word: int) -> tuple[int, int]:
         """The longest suffix of what was read that occurs in an item."""
-        while state and word not in self.next[state]:
+        while (after := self._after(state, word)) < 0:
+            if not state:
+                return 0, 0
             state = self.link[state]
             length = self.length[state]
-        after = self.next[state].get(word)
-        return (0, 0) if after is None else (after, length + 1)
+        return after, length + 1
 
     def _holder(self, state: int) -> int:
         while self.length[self.link[state]] >= self.window:
@@ -118,23 +151,28 @@ class SuffixAutomaton:
         """Spans [from, to) that windows cover, merged, and the items with windows there."""
         state = length = 0
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         for at, word in enumerate(ids, 1):
             state, length = self.step(state, length, word)
             reach = 0
             if length >= self.window:
                 reach = length
-                found |= self.owners[self._holder(state)]
-            for size, name in self.whole[state]:
-                if size <= length:
-                    reach = max(reach, size)
-                    found.add(name)
+                holder = self._holder(state)
+                found.add(self.owner[holder])
+                found |= self.owners.get(holder, set())
+            short = self.nearest[state]
+            while short:
+                for size, name in self.whole[short]:
+                    if size <= length:
+                        reach = max(reach, size)
+                        found.add(name)
+                short = self.nearest[self.link[short]]
             if reach:
                 start = at - reach
                 while spans and spans[-1][1] >= start:
                     start = min(start, spans.pop()[0])
                 spans.append((start, at))
-        return spans, found
+        return spans, {self.names[k] for k in found}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,40 +188,81 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _built: dict[str, SuffixAutomaton] = {}
 
 
-def _scan(broadcast, window: int, text: str, names: tuple[str, str, str]):
-    """Adds this block's finds to the columns ``names`` (words, spans, items). A task builds a block's automaton once."""
+def _automaton(key: str, broadcast, window: int) -> SuffixAutomaton:
+    """A worker holds one block's automaton at a time."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = SuffixAutomaton([(name, words_of(x)) for name, x in broadcast.value], window)
+    return _built[key]
+
+
+def _finds(automaton: SuffixAutomaton, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
+    """Of each text: the number of words, the merged spans and the items found."""
+    get, least = automaton.vocabulary.get, min(automaton.window, automaton.shortest)
+    words = [words_of(x) for x in texts_of(data, off)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    ids = np.full(starts[-1] + 1, -1, np.int32)
+    for start, size, own in zip(starts.tolist(), sizes.tolist(), words):
+        ids[start : start + size] = [get(w, -1) for w in own]
+    edge = np.diff(np.concatenate([[False], ids >= 0, [False]]).astype(np.int8))
+    runs = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
+    runs = runs[runs[:, 1] - runs[:, 0] >= least]
+    owner = np.searchsorted(starts, runs[:, 0], "right") - 1
+    spans: list[list[tuple[int, int]]] = [[] for _ in words]
+    items: list[set[str]] = [set() for _ in words]
+    for k, (a, b) in zip(owner.tolist(), runs.tolist()):
+        got, found = automaton.hits(ids[a:b].tolist())
+        base = a - int(starts[k])
+        spans[k] += [(base + x, base + y) for x, y in got]
+        items[k] |= found
+    return sizes, [merged(x) for x in spans], items
+
+
+def _scan(broadcast, window: int, text: str, finish):
+    """Every row with what the only block finds in it."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = SuffixAutomaton([(name, words_of(x)) for name, x in broadcast.value], window)
-        automaton = _built[key]
-        get, least = automaton.vocabulary.get, min(window, automaton.shortest)
+        automaton = _automaton(key, broadcast, window)
         for part, data, off in steps(batches, text):
-            words = [words_of(x) for x in texts_of(data, off)]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-            ids = np.full(starts[-1] + 1, -1, np.int64)
-            for start, size, own in zip(starts.tolist(), sizes.tolist(), words):
-                ids[start : start + size] = [get(w, -1) for w in own]
-            edge = np.diff(np.concatenate([[False], ids >= 0, [False]]).astype(np.int8))
-            runs = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
-            runs = runs[runs[:, 1] - runs[:, 0] >= least]
-            owner = np.searchsorted(starts, runs[:, 0], "right") - 1
-            spans = [np.frombuffer(x or b"", np.int32).reshape(-1, 2).tolist() for x in part.column(names[1]).to_pylist()]
-            items = [set(x or ()) for x in part.column(names[2]).to_pylist()]
-            for k, (a, b) in zip(owner.tolist(), runs.tolist()):
-                got, found = automaton.hits(ids[a:b].tolist())
-                base = a - int(starts[k])
-                spans[k] += [(base + x, base + y) for x, y in got]
-                items[k] |= found
-            new = {
-                names[0]: pa.array(sizes, pa.int64()),
-                names[1]: pa.array([np.array(merged(x), np.int32).tobytes() for x in spans], pa.binary()),
-                names[2]: pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-            }
-            yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(part.schema.names)], part.schema.names)
+            yield finish(part, *_finds(automaton, data, off))
+
+    return run
+
+
+SPANS = "array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def span_column(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS)
+
+
+def _hits(broadcast, window: int):
+    """(key, spans, items) of the texts in which one of several blocks finds something."""
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(key, broadcast, window)
+        for part, data, off in steps(batches, "text"):
+            _, spans, items = _finds(automaton, data, off)
+            hit = [i for i, x in enumerate(spans) if x]
+            columns = [part.column("key").take(pa.array(hit, pa.int64())), span_column([spans[i] for i in hit]), pa.array([sorted(items[i]) for i in hit], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "spans", "items"])
+
+    return run
+
+
+def _finish(text: str, names: tuple[str, str], finish):
+    """Every row with what all blocks together found in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in steps(batches, text):
+            sizes = np.fromiter((len(words_of(x)) for x in texts_of(data, off)), np.int64, part.num_rows)
+            spans = [merged([(x["start"], x["end"]) for x in own or ()]) for own in part.column(names[0]).to_pylist()]
+            items = [set(x or ()) for x in part.column(names[1]).to_pylist()]
+            yield finish(part.drop_columns(list(names)), sizes, spans, items)
 
     return run
 
@@ -197,51 +276,52 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterato
         yield [(x["item"], bytes(x["text"])) for x in block.collect()]
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, tuple[str, str, str]]:
-    """``docs`` with three more columns (their names are returned): words, spans as packed int32 pairs of word numbers, sorted item ids."""
-    names = free_names(docs.columns, "n_words", "spans", "items")
-    out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(b""), names[2]: F.array().cast("array<string>")})
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), window, text, names), out.schema)
-    return out, names
+def scanned(docs: DataFrame, benchmark: DataFrame, finish, schema, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``finish`` of every row, its number of words, its spans of word numbers and its items. With several blocks each passes over the texts on its own, and what they find is brought together by the text's digest."""
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = [share(block) for block in _blocks(benchmark, item_id, item_text, block_bytes)]
+    if len(blocks) == 1:
+        return docs.mapInArrow(_scan(blocks[0], window, text, finish), schema)
+    key, spans, items = free_names(docs.columns, "text_key", "spans", "items")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keyed = docs.select(digest.alias("key"), F.col(text).alias("text"))
+    found = reduce(DataFrame.union, [keyed.mapInArrow(_hits(block, window), f"key string, spans {SPANS}, items array<string>") for block in blocks])
+    # Copies of a text find the same, so a set is no larger than what the blocks find in one text.
+    own = written(found.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_set("items"))).alias(items)), "benchmark-hits")
+    both = docs.withColumn(key, digest).join(own.withColumnRenamed("key", key), key, "left").drop(key)
+    return both.select(*docs.columns, spans, items).mapInArrow(_finish(text, (spans, items), finish), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted array), spans (array of [from, to) word numbers)."""
-    rows, (n_words, spans, items) = scanned(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, text="text", **options)
+    """One row per document: doc_id, n_words, n_hit, items (sorted array), spans (array of [from, to) word numbers). Other columns are not read."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column("spans").to_pylist()]
-            hit = [int((x[:, 1] - x[:, 0]).sum()) for x in pairs]
-            lists = pa.array([[{"start": a, "end": b} for a, b in x.tolist()] for x in pairs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("items"), lists], ["doc_id", "n_words", "n_hit", "items", "spans"])
+    def finish(part: pa.RecordBatch, sizes: np.ndarray, spans: list, items: list) -> pa.RecordBatch:
+        hit = pa.array([sum(b - a for a, b in x) for x in spans], pa.int64())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), hit, pa.array([sorted(x) for x in items], pa.list_(pa.string())), span_column(spans)], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    kept = rows.select("doc_id", F.col(n_words).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return kept.mapInArrow(unpack, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    return scanned(rows, benchmark, finish, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans {SPANS}", text="text", **options)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", n_chars: str | None = "n_chars", max_coverage: float = 0.5, min_span: int = 10, **options) -> DataFrame:
     """The columns of ``docs``. A document of which windows cover more than ``max_coverage`` goes; from the others every
     span of at least ``min_span`` words is cut out, with what stands between its words. ``n_chars`` follows the text."""
-    rows, (n_words, spans, items) = scanned(docs, benchmark, text=text, **options)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, packed = batch.column(n_words).to_pylist(), batch.column(spans).to_pylist()
-            pairs = [np.frombuffer(x, np.int32).reshape(-1, 2).tolist() for x in packed]
-            keep = [i for i, x in enumerate(pairs) if sum(b - a for a, b in x) <= max_coverage * sizes[i]]
-            at = batch.schema.names.index(text)
-            texts = batch.column(at).to_pylist()
-            for i in keep:
-                if any(b - a >= min_span for a, b in pairs[i]):
-                    texts[i] = _without(texts[i], [x for x in pairs[i] if x[1] - x[0] >= min_span])
-            arrays = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i, c in enumerate(batch.schema.names) if c not in (n_words, spans, items)]
-            names = [c for c in batch.schema.names if c not in (n_words, spans, items)]
-            yield pa.RecordBatch.from_arrays(arrays, names).take(pa.array(keep, pa.int64()))
-
-    out = rows.mapInArrow(cut, docs.schema)
+
+    def finish(part: pa.RecordBatch, sizes: np.ndarray, spans: list, items: list) -> pa.RecordBatch:
+        keep = [i for i, x in enumerate(spans) if sum(b - a for a, b in x) <= max_coverage * int(sizes[i])]
+        at = part.schema.names.index(text)
+        texts = part.column(at)
+        long = {i: own for i in keep if (own := [x for x in spans[i] if x[1] - x[0] >= min_span])}
+        if long:
+            texts = texts.to_pylist()
+            for i, own in long.items():
+                texts[i] = _without(texts[i], own)
+            texts = pa.array(texts, part.schema.field(at).type)
+        arrays = [texts if i == at else part.column(i) for i in range(part.num_columns)]
+        return pa.RecordBatch.from_arrays(arrays, part.schema.names).take(pa.array(keep, pa.int64()))
+
+    out = scanned(docs, benchmark, finish, docs.schema, text=text, **options)
     if n_chars in docs.columns:
         kind = docs.schema[n_chars].dataType
         out = out.withColumn(n_chars, F.when(F.col(text).isNull(), F.col(n_chars)).otherwise(F.length(text).cast(kind if isinstance(kind, T.IntegralType) else "long")))
