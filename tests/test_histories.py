@@ -1,6 +1,8 @@
 """Contracts, snapshots, identities, facts, features and audits on hand-computed cases."""
 
 import datetime as dt
+import re
+import unicodedata
 import uuid
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import contracts, facts, features, identity, leakage, snapshots
+from tidemark.sources import files
 
 T0 = dt.datetime(2026, 8, 15, 10)
 MICRO = dt.timedelta(microseconds=1)
@@ -183,3 +186,84 @@ def test_leaks_are_found(spark):
     assert [(r["feature"], r["target"]) for r in leakage.suspicious_features(proxy, ["copy", "other", "same"], ["t"]).collect()] == [("copy", "t")]
     keys = spark.range(6)
     assert rows(leakage.fit_violations(keys.where("id < 3"), keys.where("id in (0, 1, 4)"), keys.where("id >= 3"), ["id"])) == [(2, "in training but not fitted"), (4, "fitted but not in training"), (4, "held out but fitted")]
+
+
+def plain_by_force(value):
+    base = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+    return " ".join(re.sub(r"[^\w]+", " ", base.casefold()).split())
+
+
+def test_plain_names(spark):
+    names = ["Čech Şükrü Žižek Ğ", "Ødegård-Smith_2", "Straße ẞ", "Kovačić  ő", "ﬁn Ĳ ǆ", "Ǻ ệ İ", "Ｆｕｌｌ １２", "Ζωή Ή", "Ёж", "o'Neil", "Jośe"]
+    got = spark.createDataFrame([(n,) for n in names], "v string").select("v", scalars.plain_name(F.col("v")).alias("p")).collect()
+    assert {r["v"]: r["p"] for r in got} == {n: plain_by_force(n) for n in names}
+
+
+def test_as_of_keeps_rows_that_repeat(spark):
+    spans = spark.createDataFrame([("a", 1, 5, "x"), ("a", 6, None, "y"), ("b", 1, None, "z"), ("b", 3, None, "w"), (None, 1, None, "n")], "k string, valid_from int, valid_to int, v string")
+    asked = spark.createDataFrame([("a", 2, 1), ("a", 2, 1), ("a", 6, 1), ("b", 1, 1), ("b", 3, 1), ("c", 1, 1), (None, 1, 1), ("a", None, 1)], "k string, period int, _n int")
+    got = identity.as_of(asked.select("k", "period"), spans, ["k"], "period", ["v"])
+    assert rows(got) == sorted([("a", 2, "x", 1), ("a", 2, "x", 1), ("a", 6, "y", 1), ("b", 1, "z", 1), ("b", 3, None, 2), ("c", 1, None, 0), (None, 1, "n", 1), ("a", None, None, 0)], key=str)
+
+
+def test_resolved_entities(spark):
+    aliases = spark.createDataFrame([(1, 1, 5, "a"), (1, 6, None, "b"), (2, 1, None, "c"), (2, 4, None, "d")], "alias int, valid_from int, valid_to int, entity string")
+    cases = [(None, None, 1), (1, None, 5), (1, None, 6), (1, "b", 5), (1, "a", 5), (2, None, 4), (3, "z", 1), (None, "z", 1)]
+    got = identity.resolved(spark.createDataFrame(cases, "alias int, supplied string, period int"), aliases, alias="alias", supplied="supplied", period="period", entity="entity")
+    want = [("no identity", None), (None, "a"), (None, "b"), ("alias of another entity", None), (None, "a"), ("alias not known then", None), ("alias not known then", None), (None, "z")]
+    assert rows(got) == sorted([(*c, *w) for c, w in zip(cases, want)], key=str)
+    registry = spark.createDataFrame([("p", "a"), ("p", "a"), ("q", "a"), ("q", "b"), (None, "c")], "code string, entity string")
+    asked = spark.createDataFrame([("p",), ("q",), ("r",), (None,)], "code string")
+    assert rows(identity.by_code(asked, registry, "code", "entity")) == sorted([("p", "a", 1), ("q", None, 2), ("r", None, 0), (None, None, 0)], key=str)
+
+
+def test_registry_violations(spark):
+    made = [(1, 5, 4, "code", "exact", None, "x"), (2, 1, None, "manual", "exact", "", "x"), (3, 1, None, "unresolved", "exact", None, None), (4, 1, None, "code", "exact", None, None), (5, 1, 1, "unresolved", "unresolved", None, None)]
+    frame = spark.createDataFrame(made, "k int, valid_from int, valid_to int, method string, confidence string, note string, other string")
+    got = {(r["k"], r["rule"]) for r in identity.registry_violations(frame, ["k"], foreign_id="other").collect()}
+    assert got == {(1, "inverted interval"), (2, "no audit note"), (3, "method and confidence disagree"), (4, "unresolved and the id disagree")}
+
+
+def test_what_contexts_leave_out_is_reported(spark):
+    hour = dt.timedelta(hours=1)
+    made = [(1, 1, 1, T0 + hour, 7, 8, T0 - hour, 2, 2), (2, 1, 1, T0, 7, 9, T0 - MICRO, 2, 2), (3, 1, 1, T0 + hour, 9, 7, T0, 2, 2)]
+    schedule = spark.createDataFrame(made, "occurrence_id int, era int, period int, kickoff timestamp, home int, away int, available_at timestamp, home_difficulty int, away_difficulty int")
+    snapshot = spark.createDataFrame([(1, 1, "e", 7, T0, T0 - hour)], "era int, period int, entity string, own_group int, cutoff timestamp, captured_at timestamp")
+    got = {(r["occurrence_id"], r["rule"]) for r in facts.context_violations(snapshot, schedule).collect()}
+    assert got == {(2, "starts before the cutoff"), (3, "not announced before the cutoff")}
+    assert [r["occurrence_id"] for r in facts.context(snapshot, schedule).collect()] == [1]
+
+
+def test_row_invariants(spark):
+    base = {"era": 1, "period": 1, "cutoff": T0, "captured_at": T0 - MICRO, "known_at": T0 - MICRO, "n_occurrences": 2, "n_home": 1, "occurrence_ids": [1, 2], "is_blank": False}
+    made = {"y_outcome": 7, "y_exposure": 60, "y_played": 1, "y_long": 1, "y_high5": 1, "y_high10": 0, "y_outcome_if_played": 7}
+    changes = [
+        ({}, None),
+        ({"captured_at": T0}, "captured after the cutoff"),
+        ({"known_at": T0}, "known after the cutoff"),
+        ({"occurrence_ids": [1, 1]}, "repeated ids"),
+        ({"n_occurrences": 3}, "ids disagree with the count"),
+        ({"y_long": 0}, "y_long disagrees"),
+        ({"y_high10": 1}, "y_high10 disagrees"),
+        ({"y_outcome_if_played": None}, "y_outcome_if_played disagrees"),
+    ]
+    kind = "entity int, era int, period int, cutoff timestamp, captured_at timestamp, known_at timestamp, n_occurrences long, n_home long, occurrence_ids array<int>, is_blank boolean"
+    targets = ", y_outcome long, y_exposure long, y_played int, y_long int, y_high5 int, y_high10 int, y_outcome_if_played long"
+    frame = spark.createDataFrame([{"entity": k} | base | made | change for k, (change, _) in enumerate(changes)], kind + targets)
+    assert {(r["entity"], r["rule"]) for r in facts.row_violations(frame).collect()} == {(k, rule) for k, (_, rule) in enumerate(changes) if rule}
+    empty = {"n_occurrences": 0, "occurrence_ids": [], "is_blank": True}
+    blank = spark.createDataFrame([{"entity": 0} | base | made | empty], kind + targets)
+    assert {r["rule"] for r in facts.row_violations(blank).collect()} == {"blank with an outcome"}
+    assert {r["rule"] for r in facts.row_violations(frame.limit(1).drop("y_played")).collect()} == {"partial targets"}
+    assert facts.row_violations(frame.limit(1).select(*(c for c in frame.columns if not c.startswith("y_")))).count() == 0
+    contexts = spark.createDataFrame([(1, 1, k, T0 + (MICRO if k == 2 else MICRO * 0), "home", T0 - MICRO * (1 + j * (k == 1))) for k in range(3) for j in range(2 if k < 2 else 1)], "era int, period int, entity int, cutoff timestamp, side string, known_at timestamp")
+    got = {(r["entity"], r["rule"]) for r in facts.input_violations(frame.where("entity < 3").withColumn("n_occurrences", F.lit(2)), contexts).collect()}
+    home = {(k, "other number of home contexts") for k in (0, 1)}
+    assert got == home | {(1, "several instants of knowledge"), (2, "other number of contexts"), (2, "contexts of another cutoff")}
+
+
+def test_digest_sees_nulls_and_not_order(spark):
+    kind = "a string, b string"
+    digest = lambda made: files.table_digest(spark.createDataFrame(made, kind)).first()["digest"]
+    assert digest([(None, "a")]) != digest([("a", None)]) and digest([("a", "b"), ("c", None)]) == digest([("c", None), ("a", "b")])
+    assert digest([("a", "b")]) != digest([("a", "b"), ("a", "b")]) and digest([]) == "0-0-0-0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 import uuid
 
 from pyspark.sql import Column
@@ -11,9 +13,24 @@ from pyspark.sql import functions as F
 VALUE, GENUINE_ZERO, UNAVAILABLE, FAILED = "value", "genuine_zero", "source_unavailable", "acquisition_failure"
 STATES = (VALUE, GENUINE_ZERO, UNAVAILABLE, FAILED)
 
-# Accented letters and their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BASE = "aaaaaaceeeeiiiinooooouuuuyy"
+def _decomposed() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters and digits whose compatibility decomposition, without marks, is another: the single ones, what they become, and those that become several."""
+    single, several = {}, []
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        if not (c.isalnum() or unicodedata.combining(c)) or 0xAC00 <= code <= 0xD7A3:  # Hangul syllables fall into parts by a rule of their own
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if base != c.casefold() or base != c.lower():
+            if len(base) == 1:
+                single[c] = base
+            elif base:
+                several.append((c, base))
+    return "".join(single), "".join(single.values()), several
+
+
+#: Made once from the standard library's tables: Spark has no decomposition.
+ACCENTED, BASE, LIGATURES = _decomposed()
 
 
 def strict_integer(text: Column) -> Column:
@@ -75,9 +92,14 @@ def uuid5(namespace: uuid.UUID, name: Column) -> Column:
 
 
 def plain_name(name: Column) -> Column:
-    """Lower case without accents; everything but letters, digits and underscores is one space."""
-    base = F.regexp_replace(F.translate(F.lower(name), ACCENTED, BASE), r"\p{M}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(base, "ß", "ss"), r"[^\p{L}\p{N}_]+", " "))
+    """Case-folded, decomposed, without marks; everything but letters, digits and underscores is one space."""
+    pairs = [F.lit(x) for pair in LIGATURES for x in pair]
+    several = F.create_map(*pairs)
+    kinds = "[" + "".join(c for c, _ in LIGATURES) + "]"
+    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(several[c], c)), "")
+    whole = F.when(name.rlike(kinds), spelled).otherwise(name)
+    base = F.regexp_replace(F.translate(F.lower(F.translate(whole, ACCENTED, BASE)), ACCENTED, BASE), r"\p{M}", "")
+    return F.trim(F.regexp_replace(base, r"[^\p{L}\p{N}_]+", " "))
 
 
 def period_ordinal(first_year: Column, period: Column, periods: int) -> Column:

@@ -67,6 +67,17 @@ def context(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
     return rows.join(latest, list(KEY)).withColumn("known_at", F.greatest("captured_at", "_latest")).drop("_latest")
 
 
+def context_violations(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(rule, key, occurrence_id) of what a snapshot's group has in its period but can't be known, which ``context`` leaves out: announced too late, begun too early, or captured too late."""
+    rows = snapshots.join(sides(schedule), ["era", "period", "own_group"])
+    rules = F.array(
+        F.when(F.col("available_at") >= F.col("cutoff"), "not announced before the cutoff"),
+        F.when(F.col("kickoff") <= F.col("cutoff"), "starts before the cutoff"),
+        F.when(F.col("captured_at") >= F.col("cutoff"), "captured after the cutoff"),
+    )
+    return rows.select(F.explode(rules).alias("rule"), *KEY, "occurrence_id").where("rule IS NOT NULL")
+
+
 def period_rows(snapshots: DataFrame, contexts: DataFrame) -> DataFrame:
     """One row for every snapshot, also without an occurrence: counts, ordered ids, difficulty only where complete, sources."""
     order = F.struct("kickoff", "occurrence_id")
@@ -84,6 +95,46 @@ def period_rows(snapshots: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.withColumns(zero | {"occurrence_ids": ids, "is_blank": F.coalesce("n_occurrences", F.lit(0)) == 0})
 
 
+def row_violations(rows: DataFrame) -> DataFrame:
+    """(rule, key) of period rows (with cutoff, captured_at, known_at, counts, ids and, if they are there, all targets) that break an invariant."""
+    made = set(targets(F.lit(0), F.lit(0)))
+    present = made & set(rows.columns)
+    same = F.col("is_blank").eqNullSafe(F.col("n_occurrences") == 0)
+    rules = {
+        "captured after the cutoff": ~(F.col("captured_at") < F.col("cutoff")),
+        "known after the cutoff": ~(F.col("known_at") < F.col("cutoff")),
+        "blank disagrees with the count": ~same,
+        "ids disagree with the count": F.size("occurrence_ids") != F.col("n_occurrences"),
+        "repeated ids": F.size(F.array_distinct("occurrence_ids")) != F.size("occurrence_ids"),
+    }
+    if present == made:
+        exposure, outcome = F.col("y_exposure"), F.col("y_outcome")
+        rules["negative exposure"] = ~F.coalesce(exposure >= 0, F.lit(False))
+        rules |= {f"{name} disagrees": ~F.col(name).eqNullSafe(c.cast(rows.schema[name].dataType)) for name, c in targets(exposure, outcome).items() if name not in ("y_exposure", "y_outcome")}
+        rules["blank with an outcome"] = F.col("is_blank") & ((exposure != 0) | (outcome != 0))
+    elif present:
+        rules["partial targets"] = F.lit(True)
+    found = F.array(*(F.when(F.coalesce(c, F.lit(True)), n) for n, c in rules.items()))
+    return rows.select(F.explode(found).alias("rule"), *KEY).where("rule IS NOT NULL")
+
+
+def input_violations(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(rule, key) of period rows whose contexts disagree with them: in number, in home ones, in the cutoff or in one instant of knowledge."""
+    own = contexts.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("side") == "home").alias("_home"), F.min("cutoff").alias("_low"), F.max("cutoff").alias("_high"), F.count_distinct("known_at").alias("_anchors"), F.max("known_at").alias("_known")
+    )
+    both = rows.join(own, list(KEY), "left")
+    zero = F.lit(0).cast("long")
+    found = F.array(
+        F.when(F.col("n_occurrences") != F.coalesce("_n", zero), "other number of contexts"),
+        F.when(F.col("n_home") != F.coalesce("_home", zero), "other number of home contexts"),
+        F.when((F.col("_low") != F.col("cutoff")) | (F.col("_high") != F.col("cutoff")), "contexts of another cutoff"),
+        F.when(F.col("_anchors") > 1, "several instants of knowledge"),
+        F.when(F.col("_known") >= F.col("cutoff"), "known after the cutoff"),
+    )
+    return both.select(F.explode(found).alias("rule"), *KEY).where("rule IS NOT NULL")
+
+
 def rolled_up(fact_rows: DataFrame) -> DataFrame:
     """Facts summed to entity and period."""
     return fact_rows.groupBy(*KEY).agg(F.sum("outcome").alias("outcome"), F.sum("exposure").alias("exposure"), F.array_sort(F.collect_list("occurrence_id")).alias("fact_ids"))
@@ -115,7 +166,10 @@ def reconciled(fact_rows: DataFrame, labelled_rows: DataFrame) -> DataFrame:
     def number(condition: Column) -> Column:
         return F.sum(F.coalesce(condition, F.lit(False)).cast("long"))
 
-    return both.agg(
+    twice = fact_rows.groupBy(*KEY, "occurrence_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_facts"))
+    again = labelled_rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
+    listed = labelled_rows.agg(F.count_if(F.size(F.array_distinct("occurrence_ids")) < F.size("occurrence_ids")).alias("rows_with_repeated_ids"))
+    counts = both.agg(
         number(F.col("f_outcome").isNotNull()).alias("fact_keys"),
         number(F.col("y_outcome").isNotNull()).alias("row_keys"),
         number(F.col("y_outcome").isNull()).alias("facts_without_row"),
@@ -128,6 +182,7 @@ def reconciled(fact_rows: DataFrame, labelled_rows: DataFrame) -> DataFrame:
         number(F.coalesce("f_outcome", zero) != F.coalesce("y_outcome", zero)).alias("keys_with_other_outcome"),
         number(F.col("row_ids").isNotNull() & (F.size("row_ids") > 0) & ~F.col("row_ids").eqNullSafe(F.col("fact_ids"))).alias("keys_with_other_ids"),
     )
+    return counts.join(twice).join(again).join(listed)  # one row each
 
 
 def anchor_violations(contexts: DataFrame, key: Sequence[str], anchors: Sequence[str]) -> DataFrame:

@@ -58,6 +58,25 @@ def as_of(rows: DataFrame, intervals: DataFrame, key: Sequence[str], period: str
     return rows.join(found, same, "left").select(*(F.col(c) for c in rows.columns), *(F.when(F.col("_n") == 1, F.col(f"_w{i}")).alias(c) for i, c in enumerate(wanted)), F.coalesce("_n", F.lit(0)).cast("long").alias("matches"))
 
 
+def by_code(rows: DataFrame, registry: DataFrame, code: str, entity: str) -> DataFrame:
+    """``rows`` with the entity of their code, and ``matches``: how many entities have it. NULL unless it is one."""
+    known = registry.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("_code")).agg(F.count_distinct(entity).alias("_n"), F.min(entity).alias("_entity"))
+    joined = rows.join(known, F.col(code) == F.col("_code"), "left")
+    return joined.select(*(F.col(c) for c in rows.columns), F.when(F.col("_n") == 1, F.col("_entity")).alias(entity), F.coalesce("_n", F.lit(0)).cast("long").alias("matches"))
+
+
+def resolved(rows: DataFrame, aliases: DataFrame, *, alias: str, supplied: str, period: str, entity: str) -> DataFrame:
+    """``rows`` with the entity that they supply, or that their alias has in their period, and ``problem``: NULL if one of them is known and they agree."""
+    found = as_of(rows, aliases.withColumnRenamed(entity, "_alias_entity"), [alias], period, ["_alias_entity"])
+    by_alias = F.when(F.col(alias).isNotNull(), F.col("_alias_entity"))
+    problem = (
+        F.when(F.col(alias).isNull() & F.col(supplied).isNull(), "no identity")
+        .when(F.col(alias).isNotNull() & (F.col("matches") != 1), "alias not known then")
+        .when(F.col(alias).isNotNull() & (F.col(supplied) != by_alias), "alias of another entity")
+    )
+    return found.withColumn("problem", problem).select(*rows.columns, "problem", F.when(F.col("problem").isNull(), F.coalesce(supplied, by_alias)).alias(entity))
+
+
 def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
     """(left_id, candidates, status): unmatched, candidate or ambiguous by normalised name. Nothing is accepted here."""
     names = right.groupBy(plain_name(F.col(right_name)).alias("_name")).agg(F.array_sort(F.collect_set(right_id)).alias("_found"))
@@ -67,5 +86,17 @@ def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_nam
     return joined.select(left_id, found.alias("candidates"), status.alias("status"))
 
 
+def registry_violations(registry: DataFrame, key: Sequence[str], *, foreign_id: str, audited: Sequence[str] = ("manual", "audited")) -> DataFrame:
+    """(rule, key) of versions (method, confidence, note, a foreign id) that break a rule: inverted intervals, audited matches without a note, and unresolved ones that aren't so in all three."""
+    unresolved = F.col("method") == "unresolved"
+    rules = F.array(
+        F.when(F.col("valid_to") < F.col("valid_from"), "inverted interval"),
+        F.when(F.col("method").isin(*audited) & (F.coalesce("note", F.lit("")) == ""), "no audit note"),
+        F.when(unresolved != (F.col("confidence") == "unresolved"), "method and confidence disagree"),
+        F.when(unresolved != F.col(foreign_id).isNull(), "unresolved and the id disagree"),
+    )
+    return registry.select(F.explode(rules).alias("rule"), *key, "valid_from").where("rule IS NOT NULL")
+
+
 def registry_dump(registry: DataFrame, era: str, key: str) -> DataFrame:
     return registry.orderBy(era, key, "valid_from")

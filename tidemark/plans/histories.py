@@ -342,11 +342,11 @@ def d_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d_matches",
-    """WITH n AS (SELECT p_name AS nm, list_sort(list(DISTINCT p_partkey)) AS ids FROM part WHERE p_partkey <= 40 GROUP BY 1) SELECT p_partkey, coalesce(array_to_string(ids, ','), '') AS candidates, CASE WHEN ids IS NULL THEN 'unmatched' WHEN len(ids) = 1 THEN 'candidate' ELSE 'ambiguous' END AS status FROM part LEFT JOIN n ON n.nm = p_name""",
+    """WITH n AS (SELECT p_name AS nm, list_sort(list(DISTINCT p_partkey)) AS ids FROM part GROUP BY 1) SELECT p_partkey, coalesce(array_to_string(ids, ','), '') AS candidates, CASE WHEN ids IS NULL THEN 'unmatched' WHEN len(ids) = 1 THEN 'candidate' ELSE 'ambiguous' END AS status FROM part LEFT JOIN n ON n.nm = p_name""",
 )
 def d_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    other = part.where("p_partkey <= 40").select(F.col("p_partkey").alias("other_id"), F.upper("p_name").alias("other_name"))
+    other = part.select(F.col("p_partkey").alias("other_id"), F.upper("p_name").alias("other_name"))
     found = identity.match_proposals(part, other, left_id="p_partkey", left_name="p_name", right_id="other_id", right_name="other_name")
     return found.withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
 
@@ -359,6 +359,35 @@ def d_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name", scalars.plain_name(F.col("c_name")).alias("plain"), F.sha1(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).cast("binary")).alias("probe"))
 
 
+@query(
+    "d_by_code",
+    "SELECT code, CASE WHEN count(DISTINCT entity) = 1 THEN min(entity) END AS entity, count(DISTINCT entity) AS matches FROM (SELECT unnest([c_name, CAST(c_nationkey AS VARCHAR)]) AS code, c_custkey AS entity FROM customer) GROUP BY 1",
+)
+def d_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that name one customer (names) and codes that don't (nations)."""
+    codes = F.explode(F.array(F.col("c_name"), F.col("c_nationkey").cast("string"))).alias("code")
+    registry = table(spark, sf_dir, "customer").select(codes, F.col("c_custkey").alias("entity"))
+    return identity.by_code(registry.select("code").distinct(), registry, "code", "entity")
+
+
+RESOLVED_SQL = """WITH al AS (SELECT c_custkey AS alias, 1 AS valid_from, 36 AS valid_to, c_custkey AS entity FROM customer UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 36 ELSE 37 END, NULL, c_custkey + 1 FROM customer),
+ o AS (SELECT o_orderkey, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS gp, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS alias, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS supplied FROM orders),
+ r AS (SELECT o_orderkey, any_value(alias) AS alias, any_value(supplied) AS supplied, count(al_entity) AS matches, max(al_entity) AS found FROM (SELECT o.*, al.entity AS al_entity FROM o LEFT JOIN al USING (alias) WHERE al.alias IS NULL OR gp BETWEEN valid_from AND coalesce(valid_to, 2147483647) UNION ALL SELECT o.*, NULL FROM o) GROUP BY 1)
+ SELECT o_orderkey, CASE WHEN alias IS NULL AND supplied IS NULL THEN 'no identity' WHEN alias IS NOT NULL AND matches <> 1 THEN 'alias not known then' WHEN alias IS NOT NULL AND supplied <> found THEN 'alias of another entity' END AS problem, CASE WHEN (alias IS NULL OR matches = 1) AND (alias IS NULL OR supplied IS NULL OR supplied = found) THEN coalesce(supplied, found) END AS entity FROM r"""
+
+
+@query("e_resolved", RESOLVED_SQL)
+def e_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that name their customer, an alias of it, both, or none; aliases pass to the next customer after period 36, some too early."""
+    k, customer = F.col("o_orderkey"), F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    first = customers.select(customer.alias("alias"), F.lit(1).alias("valid_from"), F.lit(36).alias("valid_to"), customer.alias("entity"))
+    then = customers.select(customer.alias("alias"), F.when(customer % 10 == 0, 36).otherwise(37).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"), (customer + 1).alias("entity"))
+    gp = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", gp.alias("gp"), F.when(k % 7 != 0, F.col("o_custkey")).alias("alias"), F.when(k % 3 == 0, F.col("o_custkey")).alias("supplied"))
+    return identity.resolved(rows, first.unionByName(then), alias="alias", supplied="supplied", period="gp", entity="entity").select("o_orderkey", "problem", "entity")
+
+
 @query("d_surrogate_keys")
 def d_surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: DuckDB can't digest the namespace's bytes. A test compares with the standard library."""
@@ -368,14 +397,14 @@ def d_surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- facts ----------------------------------------------------------------------------------------
 
 FACTS = f"WITH schedule AS ({SCHEDULE_SQL}), outs AS ({OUTCOMES_SQL}), f AS (SELECT o.era, period, entity, o.occurrence_id, kickoff, own_group, CASE own_group WHEN home THEN away WHEN away THEN home END AS counter_group, CASE own_group WHEN home THEN 'home' WHEN away THEN 'away' END AS side, exposure, outcome, CASE WHEN own_group NOT IN (home, away) THEN 'group not in occurrence' END AS problem FROM outs o JOIN schedule s ON s.era = o.era AND s.occurrence_id = o.occurrence_id)"
-SNAPSHOT_SQL = ", sn AS (SELECT DISTINCT era, period, customer AS entity, home AS own_group, cutoff, cutoff - INTERVAL 2 HOUR AS captured_at FROM schedule WHERE customer % 2 = 0)"
+SNAPSHOT_SQL = ", sn AS (SELECT DISTINCT era, period, customer AS entity, home AS own_group, cutoff, cutoff - INTERVAL 2 HOUR AS captured_at FROM schedule)"
 CONTEXT_SQL = SNAPSHOT_SQL + """, two AS (SELECT occurrence_id, era, period, kickoff, cutoff, available_at, 'home' AS side, home AS own_group, away AS counter_group, home_difficulty AS difficulty FROM schedule UNION ALL SELECT occurrence_id, era, period, kickoff, cutoff, available_at, 'away', away, home, away_difficulty FROM schedule),
  cx AS (SELECT sn.era, sn.period, sn.entity, sn.own_group, sn.cutoff, captured_at, occurrence_id, kickoff, available_at, side, counter_group, difficulty, greatest(captured_at, max(available_at) OVER (PARTITION BY sn.era, sn.period, sn.entity)) AS known_at FROM sn JOIN two ON two.era = sn.era AND two.period = sn.period AND two.own_group = sn.own_group WHERE available_at < sn.cutoff AND kickoff > sn.cutoff),
  pr AS (SELECT sn.era, sn.period, sn.entity, count(cx.entity) AS n_occurrences, count(*) FILTER (WHERE side = 'home') AS n_home, CASE WHEN count(difficulty) = count(cx.entity) THEN avg(difficulty) END AS difficulty_mean, CASE WHEN count(difficulty) = count(cx.entity) THEN min(difficulty) END AS difficulty_min, count(cx.entity) = 0 AS is_blank, coalesce(list(occurrence_id ORDER BY kickoff, occurrence_id) FILTER (WHERE occurrence_id IS NOT NULL), []) AS occurrence_ids FROM sn LEFT JOIN cx ON cx.era = sn.era AND cx.period = sn.period AND cx.entity = sn.entity GROUP BY 1, 2, 3)"""
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = schedule(spark, sf_dir).where(F.col("customer") % 2 == 0)
+    s = schedule(spark, sf_dir)
     return s.select("era", "period", F.col("customer").alias("entity"), F.col("home").cast("long").alias("own_group"), "cutoff", (F.col("cutoff") - F.expr("INTERVAL 2 HOURS")).alias("captured_at")).distinct()
 
 
@@ -394,6 +423,15 @@ def e_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contexts(spark, sf_dir).select("era", "period", "entity", "own_group", "cutoff", "captured_at", "occurrence_id", "kickoff", "available_at", "side", "counter_group", "difficulty", "known_at")
 
 
+@query(
+    "e_context_violations",
+    FACTS + CONTEXT_SQL + " SELECT rule, era, period, entity, occurrence_id FROM (SELECT sn.era, sn.period, sn.entity, occurrence_id, unnest([CASE WHEN available_at >= sn.cutoff THEN 'not announced before the cutoff' END, CASE WHEN kickoff <= sn.cutoff THEN 'starts before the cutoff' END, CASE WHEN captured_at >= sn.cutoff THEN 'captured after the cutoff' END]) AS rule FROM sn JOIN two ON two.era = sn.era AND two.period = sn.period AND two.own_group = sn.own_group) WHERE rule IS NOT NULL",
+)
+def e_context_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = schedule(spark, sf_dir).drop("cutoff", "customer").withColumns({"home": F.col("home").cast("long"), "away": F.col("away").cast("long")})
+    return facts.context_violations(_snapshots(spark, sf_dir), s)
+
+
 @query("e_period_rows", FACTS + CONTEXT_SQL + " SELECT era, period, entity, n_occurrences, n_home, round(difficulty_mean, 6) AS difficulty_mean, difficulty_min, is_blank, array_to_string(occurrence_ids, ',') AS ids FROM pr")
 def e_period_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir))
@@ -429,7 +467,8 @@ def e_label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e_reconciled",
     FACTS + LABELS_SQL + """ SELECT count(up.entity) AS fact_keys, count(pr.entity) AS row_keys, count(*) FILTER (WHERE pr.entity IS NULL) AS facts_without_row, count(*) FILTER (WHERE is_blank) AS blanks, count(*) FILTER (WHERE n_occurrences > 1) AS multis, CAST(coalesce(sum(o), 0) AS BIGINT) AS fact_outcome, CAST(coalesce(sum(CASE WHEN pr.entity IS NOT NULL THEN o END), 0) AS BIGINT) AS row_outcome, CAST(coalesce(sum(x), 0) AS BIGINT) AS fact_exposure, CAST(coalesce(sum(CASE WHEN pr.entity IS NOT NULL THEN x END), 0) AS BIGINT) AS row_exposure,
- count(*) FILTER (WHERE pr.entity IS NULL AND o <> 0) AS keys_with_other_outcome, count(*) FILTER (WHERE len(occurrence_ids) > 0 AND (ids IS NULL OR list_sort(occurrence_ids) <> ids)) AS keys_with_other_ids FROM up FULL JOIN pr ON up.era = pr.era AND up.period = pr.period AND up.entity = pr.entity""",
+ count(*) FILTER (WHERE pr.entity IS NULL AND o <> 0) AS keys_with_other_outcome, count(*) FILTER (WHERE len(occurrence_ids) > 0 AND (ids IS NULL OR list_sort(occurrence_ids) <> ids)) AS keys_with_other_ids, (SELECT count(*) FROM (SELECT 1 FROM f GROUP BY era, period, entity, occurrence_id HAVING count(*) > 1)) AS repeated_facts, (SELECT count(*) FROM (SELECT 1 FROM pr GROUP BY era, period, entity HAVING count(*) > 1)) AS repeated_rows, (SELECT count(*) FROM pr WHERE len(list_distinct(occurrence_ids)) < len(occurrence_ids)) AS rows_with_repeated_ids
+ FROM up FULL JOIN pr ON up.era = pr.era AND up.period = pr.period AND up.entity = pr.entity""",
 )
 def e_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir)).select(*facts.KEY, "is_blank", "n_occurrences", "occurrence_ids")
@@ -437,6 +476,48 @@ def e_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.reconciled(known, facts.labelled(rows, known))
 
 
+ROWS_SQL = FACTS + LABELS_SQL + """, w AS (SELECT pr.era, pr.period, pr.entity, n_occurrences, n_home, n_occurrences + CASE WHEN pr.entity % 11 = 0 THEN 1 ELSE 0 END AS moved, is_blank, occurrence_ids, coalesce(o, 0) AS o, coalesce(x, 0) AS x FROM pr LEFT JOIN up ON up.era = pr.era AND up.period = pr.period AND up.entity = pr.entity)"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled period rows: every eleventh entity's count is one too large, and every thirteenth's played flag is turned."""
+    contexts = _contexts(spark, sf_dir)
+    rows = facts.period_rows(_snapshots(spark, sf_dir), contexts).withColumn("known_at", F.col("captured_at"))
+    made = facts.labelled(rows, e_facts(spark, sf_dir))
+    wrong = F.col("n_occurrences") + F.when(F.col("entity") % 11 == 0, 1).otherwise(0)
+    return made.withColumns({"n_occurrences": wrong, "y_played": F.when(F.col("entity") % 13 == 0, 1 - F.col("y_played")).otherwise(F.col("y_played"))})
+
+
+@query(
+    "b_model_rows",
+    ROWS_SQL + """ SELECT rule, era, period, entity FROM (SELECT era, period, entity, unnest([CASE WHEN is_blank <> (moved = 0) THEN 'blank disagrees with the count' END, CASE WHEN len(occurrence_ids) <> moved THEN 'ids disagree with the count' END, CASE WHEN len(list_distinct(occurrence_ids)) < len(occurrence_ids) THEN 'repeated ids' END, CASE WHEN entity % 13 = 0 THEN 'y_played disagrees' END, CASE WHEN is_blank AND (o <> 0 OR x <> 0) THEN 'blank with an outcome' END]) AS rule FROM w) WHERE rule IS NOT NULL""",
+)
+def b_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.row_violations(_rows(spark, sf_dir))
+
+
+@query(
+    "f_inputs",
+    ROWS_SQL + " SELECT 'other number of contexts' AS rule, era, period, entity FROM w WHERE moved <> n_occurrences UNION ALL SELECT 'other number of home contexts', era, period, entity FROM w WHERE entity % 17 = 0",
+)
+def f_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("n_home", F.col("n_home") + F.when(F.col("entity") % 17 == 0, 1).otherwise(0))
+    return facts.input_violations(rows, _contexts(spark, sf_dir))
+
+
+@query(
+    "b_registry",
+    """SELECT rule, c_custkey, valid_from FROM (SELECT c_custkey, 10 AS valid_from, unnest([CASE WHEN c_custkey % 5 = 0 THEN 'inverted interval' END, CASE WHEN c_custkey % 4 = 1 AND c_custkey % 3 = 0 THEN 'no audit note' END, CASE WHEN (c_custkey % 4 = 0) <> (c_custkey % 8 = 0) THEN 'method and confidence disagree' END, CASE WHEN (c_custkey % 4 = 0) <> (c_custkey % 12 = 0) THEN 'unresolved and the id disagree' END]) AS rule FROM customer) WHERE rule IS NOT NULL""",
+)
+def b_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    method = F.when(k % 4 == 0, "unresolved").when(k % 4 == 1, "manual").otherwise("code")
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.lit(10).alias("valid_from"), F.when(k % 5 == 0, 9).when(k % 5 == 1, 12).alias("valid_to"), method.alias("method"), F.when(k % 8 == 0, "unresolved").otherwise("exact").alias("confidence"), F.when(k % 3 == 0, "").otherwise("seen").alias("note"), F.when(k % 12 != 0, k).alias("foreign_id")
+    )
+    return identity.registry_violations(rows, ["c_custkey"], foreign_id="foreign_id")
+
+
 @query(
     "e_anchors",
     f"WITH s AS ({SCHEDULE_SQL}) SELECT era, period, customer, concat_ws(',', CASE WHEN count(DISTINCT coalesce(CAST(available_at AS VARCHAR), 'null')) > 1 THEN 'available_at' END, CASE WHEN count(DISTINCT coalesce(CAST(home_difficulty AS VARCHAR), 'null')) > 1 THEN 'home_difficulty' END) AS anchors FROM s GROUP BY 1, 2, 3 HAVING anchors <> ''",

@@ -88,9 +88,11 @@ def collisions(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def table_digest(frame: DataFrame) -> DataFrame:
-    """One row: the number of rows, the column names, and a digest that doesn't depend on the order of rows."""
-    whole = F.xxhash64(*(F.col(c) for c in frame.columns))
-    return frame.agg(F.count(F.lit(1)).alias("rows"), F.lit(",".join(frame.columns)).alias("columns"), F.coalesce(F.sum(whole.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+    """One row: the number of rows, the column names, and a digest that doesn't depend on the order of rows: the sums, modulo 2^64, of the four parts of every row's SHA-256. A row is its columns as JSON, NULLs included."""
+    row = F.sha2(F.to_json(F.struct(*(F.col(c) for c in frame.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.conv(F.substring(row, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
+    sums = [F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) % F.lit(str(1 << 64)).cast("decimal(38,0)") for x in parts]
+    return frame.agg(F.count(F.lit(1)).alias("rows"), F.lit(",".join(frame.columns)).alias("columns"), F.concat_ws("-", *(x.cast("decimal(20,0)").cast("string") for x in sums)).alias("digest"))
 
 
 def write_once(frame: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
