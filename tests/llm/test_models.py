@@ -114,6 +114,43 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(read(spark, "documents").limit(0), none).count() == 0
 
 
+def plain_vector(text):
+    """FEATURES of one text by the definitions, byte by byte."""
+    raw = (text or "").encode()
+    kinds = [sum(c in own for c in raw) for own in (range(65, 91), range(48, 58))]
+    stop, space, other = (sum(c in own for c in raw) for own in (b".,;:'\"()-?", b"\t\n\x0b\x0c\r ", range(128, 256)))
+    small = sum(97 <= c <= 122 for c in raw)
+    symbol = len(raw) - sum(kinds) - stop - space - other - small
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    w, n = len(words), len(raw)
+    marks = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:'\"()-?"]
+    root = math.sqrt
+    return [
+        *(root(k / (n + 60)) for k in (*kinds, symbol, stop, space, other)),
+        math.log(n + 1), math.log(w + 1), math.log((n + 60) / (w + 10)), math.log((w + 10) / (len(lines) + 1)),
+        root((w - len(set(words))) / (w + 10)),
+        root(max(0, w - 1 - len({(a, b) for a, b in zip(words, words[1:])})) / (w + 10)),
+        root(sum(a == b for a, b in zip(words, words[1:])) / (w + 10)),
+        root((len(lines) - len(set(lines))) / (len(lines) + 3)),
+        root(sum(any(x.endswith(m) for m in marks) for x in words) / (w + 10)),
+    ]
+
+
+def test_quality_vectors_against_the_definitions(spark):
+    texts = [None, "", " ", "One two, TWO two.\nline 3\nline 3\n\n$$$ x% y& z*", "é語 ab\tcd " * 50, *(r["text"] for r in read(spark, "documents").limit(40).collect())]
+    raw = [(t or "").encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    got = quality.vectors(np.frombuffer(b"".join(raw), np.uint8), off)
+    assert np.allclose(got, [plain_vector(t) for t in texts])
+
+
+def test_quality_of_no_documents(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    assert quality.quality(docs.limit(0), labels).count() == 0 and quality.accepted(docs.limit(0), labels).count() == 0
+    clash = docs.limit(50).withColumn("label", F.lit("x")).withColumn("vector", F.lit(1)).withColumn("labelled_id", F.lit(2))
+    assert quality.accepted(clash, labels).columns == clash.columns and quality.accepted(clash, labels.limit(0)).count() == 50
+
+
 def test_quality(spark):
     docs, labels = with_odd(spark, read(spark, "documents")), read(spark, "labels")
     got = quality.quality(docs, labels).cache()
@@ -196,6 +233,37 @@ def test_filter_grows_and_is_the_same_in_spark(spark):
     assert (filled[0] == rows).all() and np.allclose(found, wrong)
 
 
+def test_languages_against_plain_sets(spark):
+    """The decision without any filter: sets of n-grams by the definition, in plain Python."""
+    rng = random.Random(21)
+    syllables = {lang: ["".join(rng.choices(letters, k=2)) for _ in range(9)] for lang, letters in (("aa", "abcde"), ("bb", "abcfg"), ("cc", "жзи語"))}
+    ids = sorted(learned_ids(90, False) + learned_ids(60, True))
+    rows = []
+    for k, i in enumerate(ids):
+        lang = "aabbcc"[2 * (k % 3) :][:2]
+        other = rng.choice(list(syllables))
+        rows.append((i, " ".join("".join(rng.choices(syllables[lang if rng.random() < 0.8 else other], k=3)) for _ in range(12)), lang if rng.random() < 0.9 else None))
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 4 == 2}
+
+    def grams(text):
+        own = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        return Counter(own[k : k + n] for n in (2, 3, 4) for k in range(len(own) - n + 1))
+
+    counts = {lang: Counter() for lang in syllables}
+    for i, text, lang in rows:
+        if i not in held and lang:
+            counts[lang] += grams(text)
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    share = {lang: {g: n / total[lang] for g, n in c.items()} for lang, c in counts.items()}
+    members = {lang: {g for g, n in c.items() if n >= 2 and share[lang][g] >= 0.5 * max(s.get(g, 0) for s in share.values())} for lang, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, text, _ in rows:
+        own = grams(text)
+        found = {lang: sum(n for g, n in own.items() if g in members[lang]) for lang in members}
+        best = min(found, key=lambda lang: (-found[lang], lang))
+        assert got[i]["held_out"] == (i in held) and got[i]["lang_pred"] == best and abs(got[i]["score"] - found[best] / sum(own.values())) < 1e-3
+
+
 @pytest.mark.parametrize("slope", [0.5, 4.0])
 def test_calibration_fit(slope):
     rng = np.random.default_rng(3)

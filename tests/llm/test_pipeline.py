@@ -90,3 +90,39 @@ def test_stages(spark, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"]) == (i, at, len(ids))
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+
+
+def test_run_applies_the_stages_in_order(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_stages_on_odd_rows_and_names(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, extra columns with names that the stages use."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{k % 977} w{k % 1013}" for k in range(100_000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, long, None, None, len(long)), (-3, "same text", "en", "s", 9), (-3, "same text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).select(odd.columns).unionByName(odd)
+    names = ["copy", "order_key", "u", "times", "spans", "items", "n_words", "dropped_id", "labelled_id", "label", "vector", "score", "node"]
+    docs = docs.withColumns({n: F.lit(n) for n in names})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, docs.limit(0), DATA)
+        assert none.count() == 0
+        out = stage(spark, docs, DATA)
+        if k < 4:
+            assert out.columns == docs.columns == none.columns
+            kept = {n: {r[0] for r in out.select(n).distinct().collect()} for n in names}
+            assert all(v <= {n} for n, v in kept.items())
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert near.where("doc_id is null").count() == 1 and near.where("doc_id = -3").count() == 2 and near.where("doc_id = -2").first()["text"] == long
+    cut = corpus_pipeline.remove_benchmark(spark, docs, DATA)
+    assert cut.where("doc_id is null and text is null").count() == 1 and cut.where("doc_id = -2").first()["text"] == long
+    tokens = corpus_pipeline.write_tokens(spark, docs, DATA)
+    assert tokens.count() == docs.count() and tokens.where("doc_id is null").first()["n_tokens"] == 1
