@@ -105,6 +105,7 @@ def test_toxicity_against_the_definitions(spark):
 def test_toxicity_reads_long_texts_in_pieces():
     text = "Aa-bb " * (toxicity.PIECE // 4)
     assert toxicity.spelled(text) == {"aa": toxicity.PIECE // 4, "bb": toxicity.PIECE // 4}
+    assert toxicity.spelled("語" * 150 + " ok") == {"語" * 64: 2, "語" * 22: 1, "ok": 1}
 
 
 def test_toxicity_without_labels(spark):

@@ -19,7 +19,8 @@ long texts would set a class's mixture of languages and topics. A fifth of the r
 Defined results: without labels of both classes every score is the same. Null text counts as empty; a text
 without words has the log-ratio 0. Rows that repeat a doc_id are scored one by one, and each counts with the
 label of that id. Equal texts have equal scores. An empty table gives no rows; columns other than doc_id
-and text (and doc_id and the label) are not read. Very long texts are read in pieces that end between words.
+and text (and doc_id and the label) are not read. Very long texts are read in pieces that end between words, and
+runs of more than ``LONGEST`` letters are cut into words of so many.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ FULL_WEIGHT, UNIT = 200, 1024
 MAX_BROADCAST = 2_000_000
 #: Words a task remembers, and characters of a text that are read at once.
 REMEMBERED, PIECE = 300_000, 1 << 21
+#: A run of more letters (a script without spaces, say) is several words.
+LONGEST = 64
 MOD, HELD_OUT = 5, 0
 
 WORD, GAP = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
@@ -59,6 +62,10 @@ def spelled(text: str | None) -> Counter[str]:
         to = gap.end() if gap else len(text)
         counts.update(WORD.findall(text[at:to].lower()))
         at = to
+    for word in [w for w in counts if len(w) > LONGEST]:
+        n = counts.pop(word)
+        for k in range(0, len(word), LONGEST):
+            counts[word[k : k + LONGEST]] += n
     return counts
 
 
