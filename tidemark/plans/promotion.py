@@ -52,7 +52,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The models' report, the range of NDCG over seeds, and the intervals of the gains on ``q``."""
+    """The models' report, the range of NDCG over seeds, and the intervals of the gains on ``q``.
+
+    The scores are a row a period, model and seed, and all three read them, so they are kept.
+    """
+    scores = scores.persist()
     means = metrics.mean_over_groups(scores, ["fold", "role", "model", "seed"], gates.RANKING)
     long = means.where("seed > 0").select("fold", "model", "seed", F.lit("ndcg").alias("metric"), F.col("ndcg").alias("value"))
     noise = compare.seed_noise(long, ["fold", "model"])
