@@ -51,6 +51,8 @@ HUB_ROUNDS = 2
 #: Lists of more members are searched with the bound on differences.
 LONG_LIST = 16
 PARTS = 16
+#: At most so many ids (8 bytes each) are broadcast to pick texts out; more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
 
 
 def _not_space() -> np.ndarray:
@@ -269,7 +271,8 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     repeated = written(postings.groupBy("token").count().where("count > 1").select("token"), "tokens")
     active = written(postings.join(repeated, "token"), "lists")
     wanted = nodes.join(active.select("node").distinct(), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
-    chosen = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = written(wanted.select("doc_id").distinct(), "ids")
+    chosen = rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
     sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), "node long, half long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = found = tested = None
