@@ -9,7 +9,9 @@ once and sent to the tasks, put on a probability scale by a logistic fit of one
 The class sums cover every labelled row outside the held-out fold; Spark adds them up, so only sums reach
 the driver. The vectors are computed in one pass over the texts and written; fitting and scoring read
 them. A fifth of the learning rows only calibrate. Without rows of both classes every score is 0.5. Null
-text counts as empty, which is an ordinary vector. Rows that repeat a doc_id are scored one by one.
+text counts as empty, which is an ordinary vector. Rows that repeat a doc_id are scored one by one. Equal
+texts have equal scores. An empty table gives no rows. Texts of any length are read whole. Only doc_id and text
+are read; ``accepted`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, steps, texts_of, written
+from .common import fold, free_names, steps, texts_of, written
 from .labelled import labelled_rows, platt, sigmoid
 
 FEATURES = (
@@ -30,6 +32,8 @@ FEATURES = (
     "repeated_words", "repeated_pairs", "repeated_neighbours", "repeated_lines", "symbol_words",
 )
 MOD, HELD_OUT, THRESHOLD = 4, 2, 0.7
+#: At most so many labelled ids (8 bytes each) are broadcast to pick their texts out; more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.1, 0.05
 
 
@@ -133,9 +137,8 @@ class Discriminant:
         return np.sign(raw) * np.log1p(np.abs(raw))
 
 
-def fitted(seen: DataFrame, labels: DataFrame, label: str) -> tuple[Discriminant | None, float, float]:
-    """The model, and slope and intercept of its probabilities, from the vectors (doc_id, vector) of labelled rows."""
-    known = labelled_rows(labels, label, mod=MOD, held_out=HELD_OUT, most=1 << 62)
+def fitted(seen: DataFrame, known: DataFrame) -> tuple[Discriminant | None, float, float]:
+    """The model, and slope and intercept of its probabilities, from vectors (doc_id, vector) and labels (doc_id, label)."""
     calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     added = seen.join(known.where(~calibrates), "doc_id").select("vector", "label").mapInArrow(_sums, "label int, at int, value double")
     sums = np.zeros((2, 1 + len(FEATURES) + len(FEATURES) ** 2))
@@ -175,7 +178,7 @@ def _vectors_of(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, log_density_difference (on a signed log scale), score, predicted."""
     seen = _vectors_of(docs)
-    model, slope, intercept = fitted(seen, labels, label)
+    model, slope, intercept = fitted(seen, labelled_rows(labels, label, mod=MOD, held_out=HELD_OUT, most=1 << 62))
     scored = seen.mapInArrow(_differences(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, x double")
     score = sigmoid(F.lit(slope) * F.col("x") + F.lit(intercept))
     return scored.select(
@@ -185,7 +188,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", thres
 
 def accepted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score of at least the threshold, all columns untouched; all rows if nothing can be learned."""
-    model, slope, intercept = fitted(_vectors_of(docs), labels, label)
+    known = written(labelled_rows(labels, label, mod=MOD, held_out=HELD_OUT, most=1 << 62), "quality-labels")
+    (name,) = free_names(docs.columns, "labelled_id")
+    ids = known.select(F.col("doc_id").alias(name))
+    learned = docs.join(F.broadcast(ids) if known.count() <= MAX_BROADCAST else ids, F.col("doc_id").cast("long") == F.col(name), "left_semi")
+    model, slope, intercept = fitted(_vectors_of(learned), known)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast((model, slope, intercept))
