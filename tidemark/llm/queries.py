@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, langid, mixing, near_dedup, quality, token_store, toxicity, url_filter
+from . import decontaminate, exact_dedup, html_text, langid, mixing, near_dedup, pivot_search, prefix_trie, quality, repair, token_store, toxicity, url_filter
 from .common import ship
 
 
@@ -142,5 +142,77 @@ g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op2_near_dedup": op2_near_dedup, "op3_html_text": op3_html_text, "op4_decontamination": op4_decontamination, "op7_token_store": op7_token_store, "op8_url_filter": op8_url_filter, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op2_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repairs(_table(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC32 = "xor(list_reduce([ord(c) FOR c IN string_split({}, '')], lambda crc, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+#: The cheapest way to each state (nothing yet, s, u, a) row by row: what it costs, its edits, its lines.
+OP12_SQL = r"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS code
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations)),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o WHERE code <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM d),
+f AS (SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM n),
+g AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+  list(struct_pack(gone := fault IN ('b', 'd'), more := CASE WHEN fault = 't' THEN 1 ELSE 0 END, first := left(role, 1), role := role, text := text) ORDER BY k) AS rows FROM g GROUP BY 1),
+w AS (SELECT *, list_reduce(rows, lambda x, r: list_transform([[
+    {{'c': x[1].c + 3, 'a': x[1].a || 'D', 't': x[1].t}},
+    list_min([{{'c': x[2].c + 3, 'a': x[2].a || 'D', 't': x[2].t}}, CASE WHEN NOT r.gone AND r.first = 's' THEN {{'c': x[1].c + r.more, 'a': x[1].a || 'K', 't': x[1].t || chr(10) || r.role || ':' || r.text}} END]),
+    list_min(list_concat([{{'c': x[3].c + 3, 'a': x[3].a || 'D', 't': x[3].t}}],
+      CASE WHEN NOT r.gone AND r.first = 'u' THEN [{{'c': y.c + r.more, 'a': y.a || 'K', 't': y.t || chr(10) || r.role || ':' || r.text}} FOR y IN [x[1], x[2], x[4]]] ELSE [] END,
+      CASE WHEN NOT r.gone THEN [{{'c': y.c + r.more + 2, 'a': y.a || 'R', 't': y.t || chr(10) || 'user:' || r.text}} FOR y IN [x[1], x[2], x[4]]] ELSE [] END)),
+    list_min([{{'c': x[4].c + 3, 'a': x[4].a || 'D', 't': x[4].t}}, CASE WHEN NOT r.gone AND r.first = 'a' THEN {{'c': x[3].c + r.more, 'a': x[3].a || 'K', 't': x[3].t || chr(10) || r.role || ':' || r.text}} END,
+      CASE WHEN NOT r.gone THEN {{'c': x[3].c + r.more + 2, 'a': x[3].a || 'R', 't': x[3].t || chr(10) || 'assistant:' || r.text}} END])]],
+  lambda z: [z[1], z[2],
+    list_min([z[3], {{'c': z[1].c + 2, 'a': z[1].a || 'I', 't': z[1].t || chr(10) || 'user:'}}, {{'c': z[2].c + 2, 'a': z[2].a || 'I', 't': z[2].t || chr(10) || 'user:'}}, {{'c': z[4].c + 2, 'a': z[4].a || 'I', 't': z[4].t || chr(10) || 'user:'}}]),
+    list_min([z[4], {{'c': z[3].c + 2, 'a': z[3].a || 'I', 't': z[3].t || chr(10) || 'assistant:'}}, {{'c': z[1].c + 4, 'a': z[1].a || 'II', 't': z[1].t || chr(10) || 'user:' || chr(10) || 'assistant:'}},
+      {{'c': z[2].c + 4, 'a': z[2].a || 'II', 't': z[2].t || chr(10) || 'user:' || chr(10) || 'assistant:'}}])])[1],
+  [{{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}}, {{'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''}}, {{'c': CAST(2 AS BIGINT), 'a': 'I', 't': chr(10) || 'user:'}}, {{'c': CAST(4 AS BIGINT), 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}}]) AS x FROM c),
+b AS (SELECT *, list_min([x[1], x[4]]) AS best FROM w)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+""".format(crc=_CRC32.format("key"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH t AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT *, {crc} % 9 AS h FROM (SELECT *, CAST(conv_id AS VARCHAR) AS key FROM t)),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS turns FROM h c LEFT JOIN h b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+m AS (SELECT conv_id, length, depth, turns[1:depth] AS path FROM p),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth) AS ends, CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(path[depth].text)) END AS bytes FROM m GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.depth = k.depth AND n.path = k.path),
+u AS (SELECT unnest(range(depth + 1)) AS depth, path AS below, n_children = 0 AS leaf, (n_convs - 1) * bytes AS saved FROM l),
+s AS (SELECT depth, below[1:depth] AS path, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved) AS saved FROM u GROUP BY 1, 2)
+SELECT l.conv_id, l.depth, up.conv_id AS parent_conv_id, l.n_convs, l.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(l.ends, '')) AS ends_sha256
+FROM l JOIN s ON l.depth = s.depth AND l.path = s.path LEFT JOIN l up ON up.depth = l.depth - 1 AND up.path = l.path[1:l.depth - 1]
+""".format(crc=_CRC32.format("key"))
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_language_id": op5_language_id, "op6_quality": op6_quality, "op2_near_dedup": op2_near_dedup, "op3_html_text": op3_html_text, "op4_decontamination": op4_decontamination, "op7_token_store": op7_token_store, "op8_url_filter": op8_url_filter, "op9_mixing": op9_mixing, "op10_exact_dedup": op10_exact_dedup, "op11_pivot_search": op11_pivot_search, "op12_repair": op12_repair, "op13_prefix_trie": op13_prefix_trie}
+ORACLE_SQL = {"op8_url_filter": OP8_SQL, "op2_near_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_pivot_search": OP11_SQL, "op12_repair": OP12_SQL, "op13_prefix_trie": OP13_SQL}
