@@ -114,15 +114,15 @@ def test_multi_and_blank(spark):
     c = facts.context(snaps, s)
     assert c.count() == 2  # the third was announced exactly at the cutoff
     assert {r["known_at"] for r in c.collect()} == {T0 - dt.timedelta(hours=2)}
-    labelled = facts.labelled(facts.period_rows(snaps, c), f)
+    labelled = facts.labelled(facts.period_rows(snaps, facts.announced(snaps, s)), f)
     got = {r["entity"]: r for r in labelled.collect()}
     assert (got["p"]["y_outcome"], got["p"]["y_exposure"], got["p"]["n_occurrences"], got["p"]["difficulty_mean"], got["p"]["occurrence_ids"]) == (12, 150, 2, 2.5, [1, 2])
     assert (got["q"]["is_blank"], got["q"]["y_outcome"], got["q"]["y_outcome_if_played"], got["q"]["y_played"]) == (True, 0, None, 0)
     one = facts.reconciled(f, labelled).first()
     assert (one["fact_outcome"], one["row_outcome"], one["blanks"], one["multis"], one["keys_with_other_ids"]) == (12, 12, 1, 1, 0)
-    assert facts.label_violations(facts.period_rows(snaps, c), f).count() == 0
+    assert facts.label_violations(facts.period_rows(snaps, facts.announced(snaps, s)), f).count() == 0
     stray = spark.createDataFrame([(9, 3, "p", 1, 1, 1)], "era int, occurrence_id int, entity string, own_group int, exposure int, outcome int")
-    assert facts.label_violations(facts.period_rows(snaps, c), facts.facts(stray, s)).first()["rule"] == "occurrence wasn't known"
+    assert facts.label_violations(facts.period_rows(snaps, facts.announced(snaps, s)), facts.facts(stray, s)).first()["rule"] == "occurrence wasn't known"
 
 
 HISTORY = "entity string, era int, occurrence_id int, kickoff timestamp, completed_at timestamp, available_at timestamp, exposure int, outcome int, stat double"

@@ -56,15 +56,24 @@ def facts(outcomes: DataFrame, schedule: DataFrame) -> DataFrame:
     return joined.select(*KEY, "occurrence_id", "kickoff", "own_group", F.when(side == "home", F.col("away")).when(side == "away", F.col("home")).alias("counter_group"), side.alias("side"), "exposure", "outcome", problem.alias("problem"))
 
 
+GROUP = ("era", "period", "own_group", "cutoff")
+
+
+def announced(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
+    """What is known before each cutoff of a group's occurrences in a period: those announced before the cutoff and starting after it. One set for all snapshots of a group, however many."""
+    marks = snapshots.select(*GROUP).distinct()
+    return marks.join(sides(schedule), ["era", "period", "own_group"]).where((F.col("available_at") < F.col("cutoff")) & (F.col("kickoff") > F.col("cutoff")))
+
+
 def context(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
-    """What a snapshot (era, period, entity, own_group, cutoff, captured_at) lets one know of its group's occurrences: those announced before the cutoff and starting after it.
+    """A row for each snapshot (era, period, entity, own_group, cutoff, captured_at) and occurrence that its group is known to have.
 
     ``known_at`` is one instant for all rows of an entity and period: the latest of the capture and the announcements.
     """
-    two = sides(schedule)
-    rows = snapshots.join(two, ["era", "period", "own_group"]).where((F.col("available_at") < F.col("cutoff")) & (F.col("kickoff") > F.col("cutoff")))
-    latest = rows.groupBy(*KEY).agg(F.max("available_at").alias("_latest"))
-    return rows.join(latest, list(KEY)).withColumn("known_at", F.greatest("captured_at", "_latest")).drop("_latest")
+    known = announced(snapshots, schedule)
+    latest = known.groupBy(*GROUP).agg(F.max("available_at").alias("_latest"))
+    rows = snapshots.join(latest, list(GROUP)).join(known, list(GROUP))
+    return rows.withColumn("known_at", F.greatest("captured_at", "_latest")).drop("_latest")
 
 
 def context_violations(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
@@ -78,21 +87,32 @@ def context_violations(snapshots: DataFrame, schedule: DataFrame) -> DataFrame:
     return rows.select(F.explode(rules).alias("rule"), *KEY, "occurrence_id").where("rule IS NOT NULL")
 
 
-def period_rows(snapshots: DataFrame, contexts: DataFrame) -> DataFrame:
-    """One row for every snapshot, also without an occurrence: counts, ordered ids, difficulty only where complete, sources."""
+def period_rows(snapshots: DataFrame, known: DataFrame, *, source: str | None = None) -> DataFrame:
+    """One row for every snapshot, also without an occurrence: counts, ordered ids, difficulty only where complete, the latest announcement.
+
+    ``known`` is what ``announced`` gives: it is summed up once for each group and cutoff, then joined, so nothing grows with snapshots times
+    occurrences. With ``source``, a column of both, ``source_ids`` are the sorted distinct sources of the snapshot and its occurrences.
+    """
     order = F.struct("kickoff", "occurrence_id")
     complete = F.count("difficulty") == F.count(F.lit(1))
-    own = contexts.groupBy(*KEY).agg(
+    sources = [F.collect_set(source).alias("_sources")] if source else []
+    own = known.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n_occurrences"),
         F.sum((F.col("side") == "home").cast("long")).alias("n_home"),
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x["occurrence_id"]).alias("occurrence_ids"),
         F.when(complete, F.avg("difficulty")).alias("difficulty_mean"),
         F.when(complete, F.min("difficulty")).alias("difficulty_min"),
+        F.max("available_at").alias("announced_at"),
+        *sources,
     )
-    joined = snapshots.join(own, list(KEY), "left")
+    joined = snapshots.join(own, list(GROUP), "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_occurrences", "n_home")}
     ids = F.coalesce("occurrence_ids", F.array().cast(own.schema["occurrence_ids"].dataType))
-    return joined.withColumns(zero | {"occurrence_ids": ids, "is_blank": F.coalesce("n_occurrences", F.lit(0)) == 0})
+    made = zero | {"occurrence_ids": ids, "is_blank": F.coalesce("n_occurrences", F.lit(0)) == 0}
+    if source:
+        mine = F.filter(F.array(F.col(source)), lambda x: x.isNotNull())
+        made["source_ids"] = F.array_sort(F.array_union(mine, F.coalesce("_sources", F.array().cast("array<string>"))))
+    return joined.withColumns(made).drop("_sources")
 
 
 def row_violations(rows: DataFrame) -> DataFrame:
@@ -157,32 +177,44 @@ def label_violations(rows: DataFrame, fact_rows: DataFrame) -> DataFrame:
 
 
 def reconciled(fact_rows: DataFrame, labelled_rows: DataFrame) -> DataFrame:
-    """One row: how many rows and keys there are, how the totals compare, and how many keys differ."""
+    """One row: how many rows and keys there are, how the totals compare, and how many keys differ.
+
+    Each input is summed up once by its key; repeated facts are those that a key's ids hold more than once.
+    """
+    zero = F.lit(0).cast("long")
     up = rolled_up(fact_rows).select(*KEY, F.col("outcome").alias("f_outcome"), F.col("exposure").alias("f_exposure"), "fact_ids")
-    rows = labelled_rows.select(*KEY, "y_outcome", "y_exposure", F.array_sort("occurrence_ids").alias("row_ids"), "is_blank", "n_occurrences")
+    ids = F.col("occurrence_ids")
+    rows = labelled_rows.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("y_outcome").alias("y_outcome"),
+        F.sum("y_exposure").alias("y_exposure"),
+        F.first(F.array_sort(ids)).alias("row_ids"),
+        F.count_if("is_blank").alias("n_blank"),
+        F.count_if(F.col("n_occurrences") > 1).alias("n_multi"),
+        F.count_if(F.size(F.array_distinct(ids)) < F.size(ids)).alias("n_listed"),
+    )
     both = up.join(rows, list(KEY), "full_outer")
-    zero = F.lit(0).cast("long")
+    repeated = F.size(F.filter(F.array_distinct("fact_ids"), lambda x: F.size(F.filter("fact_ids", lambda y: y == x)) > 1))
 
     def number(condition: Column) -> Column:
-        return F.sum(F.coalesce(condition, F.lit(False)).cast("long"))
-
-    twice = fact_rows.groupBy(*KEY, "occurrence_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_facts"))
-    again = labelled_rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_rows"))
-    listed = labelled_rows.agg(F.count_if(F.size(F.array_distinct("occurrence_ids")) < F.size("occurrence_ids")).alias("rows_with_repeated_ids"))
-    counts = both.agg(
-        number(F.col("f_outcome").isNotNull()).alias("fact_keys"),
-        number(F.col("y_outcome").isNotNull()).alias("row_keys"),
-        number(F.col("y_outcome").isNull()).alias("facts_without_row"),
-        number(F.col("is_blank")).alias("blanks"),
-        number(F.col("n_occurrences") > 1).alias("multis"),
+        return F.count_if(F.coalesce(condition, F.lit(False)))
+
+    return both.agg(
+        number(F.col("fact_ids").isNotNull()).alias("fact_keys"),
+        number(F.col("n_rows").isNotNull()).alias("row_keys"),
+        number(F.col("n_rows").isNull()).alias("facts_without_row"),
+        F.sum(F.coalesce("n_blank", zero)).alias("blanks"),
+        F.sum(F.coalesce("n_multi", zero)).alias("multis"),
         F.sum(F.coalesce("f_outcome", zero)).alias("fact_outcome"),
         F.sum(F.coalesce("y_outcome", zero)).alias("row_outcome"),
         F.sum(F.coalesce("f_exposure", zero)).alias("fact_exposure"),
         F.sum(F.coalesce("y_exposure", zero)).alias("row_exposure"),
         number(F.coalesce("f_outcome", zero) != F.coalesce("y_outcome", zero)).alias("keys_with_other_outcome"),
-        number(F.col("row_ids").isNotNull() & (F.size("row_ids") > 0) & ~F.col("row_ids").eqNullSafe(F.col("fact_ids"))).alias("keys_with_other_ids"),
+        number((F.size("row_ids") > 0) & ~F.col("row_ids").eqNullSafe(F.col("fact_ids"))).alias("keys_with_other_ids"),
+        F.sum(F.when(F.col("fact_ids").isNotNull(), repeated).otherwise(0).cast("long")).alias("repeated_facts"),
+        number(F.col("n_rows") > 1).alias("repeated_rows"),
+        F.sum(F.coalesce("n_listed", zero)).alias("rows_with_repeated_ids"),
     )
-    return counts.join(twice).join(again).join(listed)  # one row each
 
 
 def anchor_violations(contexts: DataFrame, key: Sequence[str], anchors: Sequence[str]) -> DataFrame:

@@ -405,12 +405,20 @@ CONTEXT_SQL = SNAPSHOT_SQL + """, two AS (SELECT occurrence_id, era, period, kic
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schedule(spark, sf_dir)
-    return s.select("era", "period", F.col("customer").alias("entity"), F.col("home").cast("long").alias("own_group"), "cutoff", (F.col("cutoff") - F.expr("INTERVAL 2 HOURS")).alias("captured_at")).distinct()
+    return s.select("era", "period", F.col("customer").alias("entity"), F.col("home").alias("own_group"), "cutoff", (F.col("cutoff") - F.expr("INTERVAL 2 HOURS")).alias("captured_at")).distinct()
+
+
+def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(spark, sf_dir).drop("cutoff", "customer")
 
 
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = schedule(spark, sf_dir).drop("cutoff", "customer").withColumns({"home": F.col("home").cast("long"), "away": F.col("away").cast("long")})
-    return facts.context(_snapshots(spark, sf_dir), s)
+    return facts.context(_snapshots(spark, sf_dir), _occurrences(spark, sf_dir))
+
+
+def _period_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots = _snapshots(spark, sf_dir)
+    return facts.period_rows(snapshots, facts.announced(snapshots, _occurrences(spark, sf_dir)))
 
 
 @query("e_facts", FACTS + " SELECT * FROM f")
@@ -428,14 +436,22 @@ def e_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     FACTS + CONTEXT_SQL + " SELECT rule, era, period, entity, occurrence_id FROM (SELECT sn.era, sn.period, sn.entity, occurrence_id, unnest([CASE WHEN available_at >= sn.cutoff THEN 'not announced before the cutoff' END, CASE WHEN kickoff <= sn.cutoff THEN 'starts before the cutoff' END, CASE WHEN captured_at >= sn.cutoff THEN 'captured after the cutoff' END]) AS rule FROM sn JOIN two ON two.era = sn.era AND two.period = sn.period AND two.own_group = sn.own_group) WHERE rule IS NOT NULL",
 )
 def e_context_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = schedule(spark, sf_dir).drop("cutoff", "customer").withColumns({"home": F.col("home").cast("long"), "away": F.col("away").cast("long")})
-    return facts.context_violations(_snapshots(spark, sf_dir), s)
+    return facts.context_violations(_snapshots(spark, sf_dir), _occurrences(spark, sf_dir))
 
 
-@query("e_period_rows", FACTS + CONTEXT_SQL + " SELECT era, period, entity, n_occurrences, n_home, round(difficulty_mean, 6) AS difficulty_mean, difficulty_min, is_blank, array_to_string(occurrence_ids, ',') AS ids FROM pr")
+SOURCES_SQL = ", so AS (SELECT sn.era, sn.period, sn.entity, array_to_string(list_sort(list_distinct(list_append(list('s' || occurrence_id % 7) FILTER (WHERE occurrence_id IS NOT NULL), 'c' || sn.entity % 3))), ',') AS sources FROM sn LEFT JOIN cx ON cx.era = sn.era AND cx.period = sn.period AND cx.entity = sn.entity GROUP BY 1, 2, 3)"
+
+
+@query(
+    "e_period_rows",
+    FACTS + CONTEXT_SQL + SOURCES_SQL + """ SELECT pr.era, pr.period, pr.entity, n_occurrences, n_home, round(difficulty_mean, 6) AS difficulty_mean, difficulty_min, is_blank, array_to_string(occurrence_ids, ',') AS ids, sources
+ FROM pr JOIN so ON so.era = pr.era AND so.period = pr.period AND so.entity = pr.entity""",
+)
 def e_period_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir))
-    return rounded(rows.select("era", "period", "entity", "n_occurrences", "n_home", "difficulty_mean", "difficulty_min", "is_blank", F.array_join(F.col("occurrence_ids").cast("array<string>"), ",").alias("ids")))
+    snapshots = _snapshots(spark, sf_dir).withColumn("source_id", F.concat(F.lit("c"), F.col("entity") % 3))
+    known = facts.announced(snapshots, _occurrences(spark, sf_dir)).withColumn("source_id", F.concat(F.lit("s"), F.col("occurrence_id") % 7))
+    rows = facts.period_rows(snapshots, known, source="source_id").withColumn("sources", F.array_join("source_ids", ","))
+    return rounded(rows.select("era", "period", "entity", "n_occurrences", "n_home", "difficulty_mean", "difficulty_min", "is_blank", F.array_join(F.col("occurrence_ids").cast("array<string>"), ",").alias("ids"), "sources"))
 
 
 @query("e_rolled_up", FACTS + " SELECT era, period, entity, CAST(sum(outcome) AS BIGINT) AS outcome, CAST(sum(exposure) AS BIGINT) AS exposure, array_to_string(list_sort(list(occurrence_id)), ',') AS ids FROM f GROUP BY 1, 2, 3")
@@ -452,7 +468,7 @@ LABELS_SQL = CONTEXT_SQL + ", up AS (SELECT era, period, entity, sum(outcome) AS
     FACTS + LABELS_SQL + " SELECT pr.era, pr.period, pr.entity, is_blank, CAST(coalesce(o, 0) AS BIGINT) AS y_outcome, CAST(coalesce(x, 0) AS BIGINT) AS y_exposure, CAST(coalesce(x, 0) > 0 AS INTEGER) AS y_played, CAST(coalesce(x, 0) >= 60 AS INTEGER) AS y_long, CAST(coalesce(o, 0) >= 5 AS INTEGER) AS y_high5, CAST(coalesce(o, 0) >= 10 AS INTEGER) AS y_high10, CAST(CASE WHEN x > 0 THEN o END AS BIGINT) AS y_outcome_if_played FROM pr LEFT JOIN up ON up.era = pr.era AND up.period = pr.period AND up.entity = pr.entity",
 )
 def e_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir)).select(*facts.KEY, "is_blank")
+    rows = _period_rows(spark, sf_dir).select(*facts.KEY, "is_blank")
     return facts.labelled(rows, e_facts(spark, sf_dir))
 
 
@@ -461,7 +477,7 @@ def e_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     FACTS + CONTEXT_SQL + " SELECT 'fact without a row' AS rule, era, period, entity, occurrence_id FROM f WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.era = f.era AND pr.period = f.period AND pr.entity = f.entity) UNION ALL SELECT 'occurrence wasn''t known', f.era, f.period, f.entity, occurrence_id FROM f JOIN pr ON pr.era = f.era AND pr.period = f.period AND pr.entity = f.entity WHERE NOT list_contains(occurrence_ids, occurrence_id)",
 )
 def e_label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.label_violations(facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir)), e_facts(spark, sf_dir))
+    return facts.label_violations(_period_rows(spark, sf_dir), e_facts(spark, sf_dir))
 
 
 @query(
@@ -471,7 +487,7 @@ def e_label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM up FULL JOIN pr ON up.era = pr.era AND up.period = pr.period AND up.entity = pr.entity""",
 )
 def e_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts.period_rows(_snapshots(spark, sf_dir), _contexts(spark, sf_dir)).select(*facts.KEY, "is_blank", "n_occurrences", "occurrence_ids")
+    rows = _period_rows(spark, sf_dir).select(*facts.KEY, "is_blank", "n_occurrences", "occurrence_ids")
     known = e_facts(spark, sf_dir)
     return facts.reconciled(known, facts.labelled(rows, known))
 
@@ -481,8 +497,7 @@ ROWS_SQL = FACTS + LABELS_SQL + """, w AS (SELECT pr.era, pr.period, pr.entity,
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled period rows: every eleventh entity's count is one too large, and every thirteenth's played flag is turned."""
-    contexts = _contexts(spark, sf_dir)
-    rows = facts.period_rows(_snapshots(spark, sf_dir), contexts).withColumn("known_at", F.col("captured_at"))
+    rows = _period_rows(spark, sf_dir).withColumn("known_at", F.col("captured_at"))
     made = facts.labelled(rows, e_facts(spark, sf_dir))
     wrong = F.col("n_occurrences") + F.when(F.col("entity") % 11 == 0, 1).otherwise(0)
     return made.withColumns({"n_occurrences": wrong, "y_played": F.when(F.col("entity") % 13 == 0, 1 - F.col("y_played")).otherwise(F.col("y_played"))})
