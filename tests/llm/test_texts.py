@@ -314,3 +314,79 @@ def test_other_script_beside_english():
 def test_names_that_only_contain_a_word(name):
     assert html_text.main_text(f"<main><div class='{name}'><p>{LONG}</p></div></main>") == LONG
     assert html_text.main_text(f"<main><p>{LONG_2}</p><div class='{name}'><p>see</p><p><a href=1>{LONG}</a></p></div></main>") == LONG_2
+
+
+LONGER = f"{LONG} {LONG_2} {LONG}"
+DOUBTFUL = (
+    "comment-body comment-text comment-content comments-list ad-slot ad-container cookie-bar newsletter-box sidebar-left footer-bottom related-articles subscribe-box promo-box login-form alert cc-window sponsored-content "
+    "commentBody user-comments"
+).split()
+
+
+@pytest.mark.parametrize("name", DOUBTFUL)
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<article>{}</article>", "<form>{}</form>", "<div class='page-header'>{}</div>"])
+def test_named_elements_beside_an_article_go(name, wrap):
+    page = wrap.format(f"<h1>Title</h1><p>{LONGER}</p><p>{LONG_2}</p><div class='{name}'><p>{LONG}</p></div>")
+    assert html_text.main_text(f"<body><nav><a href=1>Home</a></nav>{page}</body>") == f"Title\n{LONGER}\n{LONG_2}"
+    several = wrap.format(f"<p>{LONGER}</p>" + f"<div class='{name}'><p>{LONG_2}</p></div>" * 6)
+    assert html_text.main_text(f"<body>{several}</body>") == LONGER
+
+
+@pytest.mark.parametrize("name", ["history-of-social", "page-header", "article comments", "main sidebar", "header-top", *DOUBTFUL])
+@pytest.mark.parametrize("tag", ["div", "form", "section", "aside"])
+def test_named_elements_around_the_article_stay(name, tag):
+    page = f"<{tag} class='{name}'><h1>Title</h1><p>{LONGER}</p><p>Short.</p><p>{LONG_2}</p></{tag}>"
+    for whole in (page, f"<article>{page}</article>", f"<p>{LONG}</p><form>{page}</form>".replace(f"<p>{LONG}</p>", "")):
+        assert html_text.main_text(f"<body><nav><a href=1>Home</a></nav>{whole}<footer>(c)</footer></body>") == f"Title\n{LONGER}\nShort.\n{LONG_2}"
+
+
+def test_paragraphs_with_many_links():
+    links = "See <a href=1>the first report</a>, <a href=2>the second one</a> and <a href=3>the last of them</a> for what came of it all."
+    text = "See the first report, the second one and the last of them for what came of it all."
+    assert html_text.main_text(f"<main><p>{LONG}</p><p>{links}</p><p>{LONG_2}</p></main>") == f"{LONG}\n{text}\n{LONG_2}"
+
+
+def test_random_pages_with_names_at_random():
+    """Against the generator's own labels: an article among named parts at any place and depth, sometimes wrapped in a named element or a form."""
+    rng = random.Random(11)
+    sentences = LONGER.split(". ")
+
+    def prose(n):
+        return " ".join(rng.choice(sentences).strip(".") + "." for _ in range(n))
+
+    for _ in range(400):
+        kept, parts = [], []
+        for _ in range(rng.randint(2, 6)):
+            kept.append(prose(rng.randint(2, 5)))
+            parts.append(f"<p>{kept[-1]}</p>" if rng.random() < 0.7 else f"<div class='{rng.choice(['content', 'entry', 'has-sidebar', 'text-body'])}'><p>{kept[-1]}</p></div>")
+        for _ in range(rng.randint(0, 4)):
+            odd = f"<{{0}} class='{rng.choice(DOUBTFUL)}'>{''.join(f'<p>{prose(rng.randint(1, 2))}</p>' for _ in range(rng.randint(1, 2)))}</{{0}}>".format(rng.choice(["div", "section", "aside"]))
+            parts.insert(rng.randint(0, len(parts)), odd)
+        inner = "".join(parts)
+        for _ in range(rng.randint(0, 3)):
+            inner = rng.choice(["<div>{}</div>", "<article>{}</article>", "<main>{}</main>", "<form>{}</form>", "<div class='main sidebar'>{}</div>", "<section id=social-history>{}</section>"]).format(inner)
+        page = f"<body><nav><a href=1>Home</a></nav><header><a href=2>Site</a></header>{inner}<footer>(c) {LONG}</footer></body>"
+        assert html_text.main_text(page) == "\n".join(kept), page
+
+
+@pytest.mark.parametrize("tag", ["title", "select", "button", "head"])
+def test_raw_tags_without_an_end_are_read_in_proportion(tag):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_text.main_text(f"<{tag}>x" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_letters_whose_lower_case_is_longer():
+    assert html_text.main_text(f"<p>{'İ' * 50}</p><script>var a = 1</script><p>{LONG}</p>").endswith(LONG)
+
+
+def test_deeply_nested_names_are_weighed_in_proportion():
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        html_text.main_text("<div class=ad><p>x y z</p>" * n + f"<p>{LONG}</p>")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
