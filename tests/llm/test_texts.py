@@ -340,6 +340,10 @@ def test_named_elements_around_the_article_stay(name, tag):
         assert html_text.main_text(f"<body><nav><a href=1>Home</a></nav>{whole}<footer>(c)</footer></body>") == f"Title\n{LONGER}\nShort.\n{LONG_2}"
 
 
+def test_an_article_of_a_few_words_beside_a_footer():
+    assert html_text.main_text(f"<body><article><h1>Title here.</h1><p><b>Title here.<br></article><footer>{LONG}</footer>") == "Title here.\nTitle here."
+
+
 def test_paragraphs_with_many_links():
     links = "See <a href=1>the first report</a>, <a href=2>the second one</a> and <a href=3>the last of them</a> for what came of it all."
     text = "See the first report, the second one and the last of them for what came of it all."

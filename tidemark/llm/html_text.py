@@ -290,7 +290,7 @@ def _undoubted(found: list[Block], around: list[int]) -> list[Block]:
     good = any(b.label for b in found)
     own, inside, below = [0] * len(around), [0] * len(around), [[] for _ in around]
     for b in found:
-        weight = len(b.text) if b.label or not (good or b.linked) else 0
+        weight = len(b.text) if b.label or b.label is None and (b.main or not (good or b.linked)) else 0
         own[b.doubt] += weight
         inside[b.doubt] += weight * (b.main > 0)
     total = own[:]
