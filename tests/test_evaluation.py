@@ -344,11 +344,11 @@ def test_fits_cover_all_folds(spark, monkeypatch):
         options.append(own)
         return test.withColumn(name, F.col(label))
 
-    def classifier(train, calibration, frames, label, name, **own):
+    def classifier(train, frames, label, name, **own):
         options.append(own)
         return [x.withColumn(name, F.lit(0.5)) for x in frames]
 
     monkeypatch.setattr(evaluation.heads, "boosted_regressor", regressor)
     monkeypatch.setattr(evaluation.heads, "boosted_classifier", classifier)
     assert sorted(r["entity"] for r in QUERIES["m_boosted_heads"](spark, data).collect()) == tested
-    assert sorted(x.pop("seed") for x in options) == [7] * 8 + [42] * 8 and not any(options)
+    assert sorted(x["seed"] for x in options) == [7] * 8 + [42] * 8 and all(x["config"] == evaluation.CONFIG for x in options)
