@@ -65,6 +65,17 @@ def ranking_metrics(frame: DataFrame, by: Sequence[str], actual: str, predicted:
     return own.groupBy(*by).agg(*aggregates, *([key_hash(key).alias("key_hash")] if with_hash else []))
 
 
+def ndcg_scores(frame: DataFrame, truth: DataFrame, by: Sequence[str], shared: Sequence[str], actual: str, predicted: str, key: Sequence[str], *, k: int = 10) -> DataFrame:
+    """(by, ndcg) alone, for many variants of predictions of the same rows: only each group's first k rows are ranked, and the ideal comes from ``truth`` once for each of ``shared``."""
+
+    def gains(rows: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+        top = ranked(rows, groups, value, key, "_rank").where(F.col("_rank") <= k)
+        return top.groupBy(*groups).agg(F.sum(F.greatest(F.col(actual).cast("double"), F.lit(0.0)) / F.log2(F.col("_rank") + 1.0)).alias(name))
+
+    both = gains(frame, by, predicted, "_dcg").join(gains(truth, shared, actual, "_ideal"), list(shared))
+    return both.select(*by, F.when(F.col("_ideal") > 0, F.col("_dcg") / F.col("_ideal")).otherwise(0.0).alias("ndcg"))
+
+
 def mean_over_groups(metrics: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Unweighted mean of each metric over the groups that have it."""
     return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), *(F.avg(c).alias(c) for c in columns))

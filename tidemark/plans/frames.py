@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import facts, frame
+from ..operators import build, facts, frame
+from ..sources.scratch import stored
 from .common import HISTORY_SQL, history, rounded
 from .registry import query, table
 
@@ -169,3 +170,50 @@ def f_frame_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "forecast_state": F.when((e % 19 == 0) & (e % 2 == 0), "source_unavailable").otherwise(F.col("forecast_state")),
     })
     return frame.frame_violations(made.unionByName(again).unionByName(again), broken)
+
+
+# --- the whole build ------------------------------------------------------------------------------
+
+#: Orders as occurrences, all announced in time, between a customer's group and one that nobody is in. From 1998 on every tenth customer is in another group.
+BUILD_SQL = """o AS (SELECT o_orderkey AS occurrence_id, CAST(year(o_orderdate) AS INTEGER) AS era, CAST(month(o_orderdate) AS INTEGER) AS period, o_custkey AS customer, o_custkey + CASE WHEN o_custkey % 10 = 0 AND year(o_orderdate) >= 1998 THEN 1000000000 ELSE 0 END AS home,
+ o_orderkey * 37 % 91 AS exposure, o_orderkey % 13 - 1 AS outcome FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _build(spark: SparkSession, sf_dir: str, wrong: int | None = None) -> build.Built:
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+
+    def group(k: Column, era: Column) -> Column:
+        return k + F.when((k % 10 == 0) & (era >= 1998), 1_000_000_000).otherwise(0)
+
+    month = F.date_trunc("month", F.col("o_orderdate")).cast("timestamp_ntz")
+    s = o.select(
+        key.alias("occurrence_id"), F.year("o_orderdate").alias("era"), F.month("o_orderdate").alias("period"), month.alias("cutoff"), (F.col("o_orderdate") + F.expr("INTERVAL 12 HOURS")).alias("kickoff"), customer.alias("customer"),
+        group(customer, F.year("o_orderdate")).alias("home"), (-1 - customer).alias("away"), F.lit(1.0).alias("home_difficulty"), F.lit(2.0).alias("away_difficulty"), (month - F.make_dt_interval(days=key % 9 + 1)).alias("available_at"),
+    )
+    snapshots = s.select("era", "period", F.col("customer").alias("entity"), F.col("home").alias("own_group"), "cutoff", (F.col("cutoff") - F.expr("INTERVAL 2 HOURS")).alias("captured_at")).distinct()
+    outcomes = s.select("era", "occurrence_id", F.col("customer").alias("alias"), (F.col("occurrence_id") * 37 % 91).alias("exposure"), (F.col("occurrence_id") % 13 - 1).alias("outcome"), "period", F.lit("home").alias("side"))
+    if wrong:
+        outcomes = outcomes.withColumn("side", F.when(F.col("occurrence_id") % wrong == 0, "away").otherwise(F.col("side")))
+    eras = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("era")).distinct()
+    c = table(spark, sf_dir, "customer").join(F.broadcast(eras))  # a handful of years
+    registry = c.select("era", F.col("c_custkey").alias("alias"), F.col("c_custkey").alias("entity"), group(F.col("c_custkey"), F.col("era")).alias("own_group"), F.lit(1).alias("valid_from"), F.lit(None).cast("int").alias("valid_to"))
+    return build.build(outcomes, s.drop("cutoff", "customer"), snapshots, registry, stored)
+
+
+@query(
+    "e_build",
+    f"WITH {BUILD_SQL} SELECT era, period, customer AS entity, home AS own_group, count(*) AS n_occurrences, count(*) AS n_home, string_agg(occurrence_id, ',' ORDER BY occurrence_id) AS ids, CAST(sum(outcome) AS BIGINT) AS y_outcome, CAST(sum(exposure) AS BIGINT) AS y_exposure, CAST(sum(exposure) > 0 AS INTEGER) AS y_played FROM o GROUP BY 1, 2, 3, 4",
+)
+def e_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows if every stage holds."""
+    made = _build(spark, sf_dir)
+    if made.rows is None:
+        return made.violations
+    return made.rows.select(*facts.KEY, "own_group", "n_occurrences", "n_home", F.array_join(F.array_sort("occurrence_ids").cast("array<string>"), ",").alias("ids"), "y_outcome", "y_exposure", "y_played")
+
+
+@query("e_build_stopped", f"WITH {BUILD_SQL} SELECT 'facts' AS stage, 'side disagrees' AS rule, concat_ws('|', era, occurrence_id, customer) AS subject FROM o WHERE occurrence_id % 53 = 0")
+def e_build_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops the build if some outcomes name the wrong side."""
+    return _build(spark, sf_dir, wrong=53).violations

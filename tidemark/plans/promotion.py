@@ -1,26 +1,30 @@
 """Promotion gates over the tables: three models of an order's price in walk-forward test folds, each with seeded variants.
 
-``p`` is made of all lines of an order, ``q`` of its largest line, ``mix`` is their mean. The seeds' variants move each
+``p`` is made of all lines of an order, ``q`` of its largest line, ``mix`` is their mean, and ``near`` knows most of the price, so that one model wins. The seeds' variants move each
 prediction by up to 0.6 %, so the noise floors come from measured ranges over seeds, and the intervals from resampled
 periods.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, folds, gates, metrics
+from ..operators import compare, folds, gates, heads, metrics, reports
+from ..sources.scratch import stored
 from .common import CHANCES_SQL, SCORED_SQL, chances, rounded, scored
 from .evaluation import BY, KEY, TESTS, folded
 from .registry import query
 
-ARMS = ["p", "q", "mix"]
+ARMS = ["p", "q", "mix", "near"]
+CANDIDATES = ["p", "mix", "near"]
 SEEDS = (1, 2, 3)
 
 SCORES_SQL = f"""WITH s AS ({SCORED_SQL}),
-f AS (SELECT 'w' || (era - 1995) AS fold, CASE WHEN era < 1999 THEN 'discovery' ELSE 'confirmation' END AS role, era, period, entity, y, p, q, (p + q) / 2 AS mix FROM s WHERE era BETWEEN 1997 AND 2000),
-l AS (SELECT fold, role, era, period, entity, y, model, v FROM f UNPIVOT (v FOR model IN (p, q, mix))),
+f AS (SELECT 'w' || (era - 1995) AS fold, CASE WHEN era < 1999 THEN 'discovery' ELSE 'confirmation' END AS role, era, period, entity, y, p, q, (p + q) / 2 AS mix, (9 * y + p) / 10 AS near FROM s WHERE era BETWEEN 1997 AND 2000),
+l AS (SELECT fold, role, era, period, entity, y, model, v FROM f UNPIVOT (v FOR model IN (p, q, mix, near))),
 x AS (SELECT *, 0 AS seed FROM l UNION ALL SELECT fold, role, era, period, entity, y, model, v * (1 + ((entity * seed) % 7 - 3) / 500.0::DOUBLE), seed FROM l, (SELECT unnest([1, 2, 3]) AS seed)),
 r AS (SELECT *, row_number() OVER (g ORDER BY v DESC, entity) AS rp, row_number() OVER (g ORDER BY y DESC, entity) AS ra, least(count(*) OVER g, 10) AS k,
   rank() OVER (g ORDER BY v) + (count(*) OVER (PARTITION BY model, seed, era, period, v) - 1) / 2.0::DOUBLE AS av,
@@ -42,21 +46,19 @@ g AS (SELECT *, gains AND above_own AND spearman_holds AND error_holds AND bias_
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking metrics of every model and seed (0: the model itself) per test period."""
-    rows = folded(spark, sf_dir).where(F.col("part") == "test").withColumn("mix", (F.col("p") + F.col("q")) / 2)
-    rows = rows.withColumn("role", F.when(F.col("era") < 1999, "discovery").otherwise("confirmation"))
-    long = gates.long_predictions(rows.where(F.col("fold").isin(TESTS)), ["fold", "role", *BY, *KEY, "y"], ARMS)
+    """Ranking metrics of every model (seed 0) per test period, and the NDCG of its variants; written, as three branches read them."""
+    rows = folded(spark, sf_dir).where(F.col("part") == "test").withColumns({"mix": (F.col("p") + F.col("q")) / 2, "near": (9 * F.col("y") + F.col("p")) / 10})
+    rows = rows.withColumn("role", F.when(F.col("era") < 1999, "discovery").otherwise("confirmation")).where(F.col("fold").isin(TESTS))
+    shared = ["fold", "role", *BY]
+    long = gates.long_predictions(rows, [*shared, *KEY, "y"], ARMS)
+    own = metrics.ranking_metrics(long.withColumn("seed", F.lit(0)), [*shared, "model", "seed"], "y", "prediction", KEY)
     moved = 1 + (F.pmod(F.col("entity") * F.col("seed"), F.lit(7)) - 3) / F.lit(500.0)
-    seeded = long.withColumn("seed", F.explode(F.array(*(F.lit(k) for k in (0, *SEEDS))))).withColumn("prediction", F.when(F.col("seed") == 0, F.col("prediction")).otherwise(F.col("prediction") * moved))
-    return metrics.ranking_metrics(seeded, ["fold", "role", "model", "seed", *BY], "y", "prediction", KEY)
+    variants = long.withColumn("seed", F.explode(F.array(*(F.lit(k) for k in SEEDS)))).withColumn("prediction", F.col("prediction") * moved)
+    return stored(own.unionByName(metrics.ndcg_scores(variants, rows, [*shared, "model", "seed"], shared, "y", "prediction", KEY), allowMissingColumns=True), "scores")
 
 
 def _evidence(scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The models' report, the range of NDCG over seeds, and the intervals of the gains on ``q``.
-
-    The scores are a row a period, model and seed, and all three read them, so they are kept.
-    """
-    scores = scores.persist()
+    """The models' report, the range of NDCG over seeds, and the intervals of the gains on ``q``."""
     means = metrics.mean_over_groups(scores, ["fold", "role", "model", "seed"], gates.RANKING)
     long = means.where("seed > 0").select("fold", "model", "seed", F.lit("ndcg").alias("metric"), F.col("ndcg").alias("value"))
     noise = compare.seed_noise(long, ["fold", "model"])
@@ -68,7 +70,7 @@ def _evidence(scores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _checks(spark: SparkSession, sf_dir: str, *, intervals: bool = False, **options) -> DataFrame:
     report, noise, found = _evidence(_scores(spark, sf_dir))
-    return gates.fold_checks(report, noise, "q", ["p", "mix"], intervals=found if intervals else None, **options)
+    return gates.fold_checks(report, noise, "q", CANDIDATES, intervals=found if intervals else None, **options)
 
 
 @query(
@@ -88,8 +90,8 @@ def n_fold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def n_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _checks(spark, sf_dir)
-    each = [gates.promotion(checks.where(F.col("model") == m)).select(F.lit(m).alias("model"), "*") for m in ("p", "mix")]
-    return each[0].unionByName(each[1])
+    checks = stored(checks, "checks")  # a row a model and fold, read once a model
+    return reduce(DataFrame.unionByName, [gates.promotion(checks.where(F.col("model") == m)).select(F.lit(m).alias("model"), "*") for m in CANDIDATES])
 
 
 HEADS_SQL = f"""WITH s AS ({CHANCES_SQL}), g AS (SELECT era, period, avg((p - y) * (p - y)) AS p, avg((q - y) * (q - y)) AS q, avg((0.5::DOUBLE - y) * (0.5::DOUBLE - y)) AS base FROM s WHERE era BETWEEN 1997 AND 2000 GROUP BY 1, 2),
@@ -128,7 +130,7 @@ def n_head_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT model AS selected, round(mean, 6) AS mean_gain, coalesce(again, 'not_applicable') AS confirmation, CASE WHEN again = 'passed' THEN 'PROMOTE_' || upper(model) ELSE 'KEEP_BASE' END AS decision FROM k""",
 )
 def n_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gates.confirmed_selection(_checks(spark, sf_dir)))
+    return rounded(gates.confirmed_selection(_checks(spark, sf_dir, unknown_noise=0.0)))
 
 
 #: What ``p`` loses on the rows that have both signals if ``q`` takes its place: the exact-source guardrail of the arm ``mix``.
@@ -137,7 +139,7 @@ EXACT_SQL = ", e AS (SELECT fold, avg(CASE WHEN model = 'p' THEN ndcg END) - avg
 
 def _arm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, noise, found = _evidence(_scores(spark, sf_dir))
-    checks = gates.fold_checks(report.where("role = 'discovery'"), noise, "q", ["p", "mix"], intervals=found, noise_of_both=True)
+    checks = gates.fold_checks(report.where("role = 'discovery'"), noise, "q", CANDIDATES, intervals=found, noise_of_both=True)
     wide = report.where("role = 'discovery'").groupBy("fold").agg(*(F.max(F.when(F.col("model") == m, F.col("ndcg"))).alias(m) for m in ("p", "mix")))
     return gates.candidate_gate(checks, wide.select(F.lit("mix").alias("arm"), (F.col("p") - F.col("mix")).alias("delta")))
 
@@ -149,15 +151,15 @@ def o_arm_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o_verdicts", SCORES_SQL + EXACT_SQL + " SELECT arm, round(mean_gain, 6) AS mean_gain, round(noise_floor, 6) AS noise_floor, passed, CASE WHEN arm = selected THEN 'SELECTED' WHEN passed THEN 'NOT_SELECTED' WHEN mean_gain <= 0 THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS verdict FROM a, w")
 def o_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = _arm_gate(spark, sf_dir)
+    gate = stored(_arm_gate(spark, sf_dir), "gate")
     return rounded(gates.ablation_verdicts(gate, gates.selected_arm(gate, "q")))
 
 
 @query("o_base_gate", SCORES_SQL + " SELECT model, bool_and(passed_own) AS passed FROM g WHERE role = 'discovery' GROUP BY 1")
 def o_base_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = _checks(spark, sf_dir, intervals=True).where("role = 'discovery'")
-    each = [gates.base_gate(checks.where(F.col("model") == m)).select(F.lit(m).alias("model"), "passed") for m in ("p", "mix")]
-    return each[0].unionByName(each[1])
+    checks = stored(checks, "checks")
+    return reduce(DataFrame.unionByName, [gates.base_gate(checks.where(F.col("model") == m)).select(F.lit(m).alias("model"), "passed") for m in CANDIDATES])
 
 
 CHECKS = ["selected_on_discovery_only", "discovery_passed", "confirmation_above_noise", "confirmation_interval_holds", "confirmation_spearman_holds", "confirmation_error_holds", "confirmation_bias_holds", "calibrated", "reproducible"]
@@ -172,7 +174,7 @@ CHECKS = ["selected_on_discovery_only", "discovery_passed", "confirmation_above_
  SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN NOT {c} THEN '{c}' END" for c in CHECKS)}], lambda x: x IS NOT NULL), ',') AS failed, CASE WHEN {" AND ".join(CHECKS)} THEN 'PROMOTE' ELSE 'HOLD' END AS decision FROM k""",
 )
 def o_confirmation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _checks(spark, sf_dir, intervals=True).where("model = 'mix'")
+    checks = stored(_checks(spark, sf_dir, intervals=True).where("model = 'mix'"), "checks")
     used = folds.in_windows(scored(spark, sf_dir).withColumn("ord", F.col("era") * 12 + F.col("period") - 1), WINDOWS_OF_DISCOVERY, "ord")
     selection = used.agg((F.count_if(~F.col("may_select")) > 0).alias("confirmation_observed"))
     tested = folded(spark, sf_dir).where(F.col("part") == "test")
@@ -182,3 +184,57 @@ def o_confirmation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WINDOWS_OF_DISCOVERY = [folds.EvalWindow(f"w{k}", (1995 + k) * 12, (1995 + k) * 12 + 11, "discovery") for k in (2, 3)]
+
+
+# --- written reports ------------------------------------------------------------------------------
+
+
+def _object(table: str, outer: str, inner: str, values: dict[str, str]) -> str:
+    """SQL for a JSON object of objects of objects, as ``reports.nested`` writes them."""
+    one = " || ',' || ".join(f"'\"{n}\":' || coalesce('\"' || printf('%.4f', {v}) || '\"', 'null')" for n, v in sorted(values.items()))
+    return f"(SELECT coalesce('{{' || string_agg('\"' || o || '\":{{' || x || '}}', ',' ORDER BY o) || '}}', '{{}}') FROM (SELECT {outer} AS o, string_agg('\"' || {inner} || '\":{{' || {one} || '}}', ',' ORDER BY {inner}) AS x FROM {table} GROUP BY 1))"
+
+
+_RANKED = {"bias": "bias", "mae": "mae", "ndcg": "ndcg", "spearman": "sp"}
+DIRECT_SQL = (
+    SCORES_SQL
+    + ", r0 AS (SELECT * FROM rep WHERE seed = 0), go AS (SELECT CASE WHEN bool_and(a.ndcg >= b.ndcg OR a.mae <= b.mae) THEN 'GO' ELSE 'STOP' END AS d FROM r0 a JOIN r0 b ON a.fold = b.fold AND a.model = 'near' AND b.model = 'q') SELECT 'direct' AS report, '{\"comparisons\":' || "
+    + _object("c JOIN (SELECT fold, model, low FROM i) USING (fold, model)", "fold", "model", {"gain": "gain", "low": "low", "noise": "own_floor"})
+    + " || ',\"decision\":\"' || (SELECT d FROM go) || '\",\"folds\":' || "
+    + _object("r0", "fold", "model", _RANKED)
+    + " || '}' AS document"
+)
+
+
+@query("n_direct_report", DIRECT_SQL)
+def n_direct_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document: every model's metrics by fold, each candidate's gain on ``q`` with its interval and noise, and go or stop for ``near``."""
+    report, noise, found = _evidence(_scores(spark, sf_dir))
+    report = report.select("fold", "role", "model", "ndcg", "spearman", "mae", "mean_bias")
+    checks = gates.fold_checks(report, noise, "q", CANDIDATES)
+    gains = checks.select("fold", "model", F.col("ndcg_gain").alias("gain"), F.col("noise_floor").alias("noise")).join(found.select("fold", "model", "low"), ["fold", "model"])
+    parts = {
+        "comparisons": reports.nested(gains, "fold", "model", ["gain", "low", "noise"]),
+        "decision": gates.go_or_stop(report, better="near", base="q").select("recommendation"),
+        "folds": reports.nested(report.withColumnRenamed("mean_bias", "bias"), "fold", "model", ["bias", "mae", "ndcg", "spearman"]),
+    }
+    return reports.document("direct", parts)
+
+
+HEADS_REPORT_SQL = (
+    HEADS_SQL
+    + f", k AS (SELECT count(*) FILTER (WHERE entity % 3 = 0 AND p > 0) AS blank_played, count(*) FILTER (WHERE q > p + 1e-12) AS long_above_played FROM ({CHANCES_SQL})), v AS (SELECT head, fold, candidate, base, low, high FROM f JOIN i USING (head, fold)), t AS (SELECT head, CASE WHEN bool_and(passed) THEN 'KEEP' ELSE 'REJECT' END AS d FROM f GROUP BY 1)"
+    + """ SELECT 'heads' AS report, '{"coherence":{"blank_played":' || (SELECT blank_played FROM k) || ',"long_above_played":' || (SELECT long_above_played FROM k) || '},"decisions":{' || (SELECT string_agg('"' || head || '":"' || d || '"', ',' ORDER BY head) FROM t) || '},"heads":' || """
+    + _object("v", "head", "fold", {"base": "base", "candidate": "candidate", "high": "high", "low": "low"})
+    + " || '}' AS document"
+)
+
+
+@query("n_heads_report", HEADS_REPORT_SQL)
+def n_heads_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document: both heads' Brier scores by fold against the constant with their intervals, the decisions, and how often the raw heads contradict one another."""
+    gate = stored(_head_gate(spark, sf_dir, "p").unionByName(_head_gate(spark, sf_dir, "q")), "heads")
+    p, q, k = F.col("p"), F.col("q"), F.col("entity") % 3
+    counts = chances(spark, sf_dir).agg(*heads.coherence_counts(p_played=p, p_long=q, exposure=50 * p, n_occurrences=k)).select(F.struct("blank_played", "long_above_played").alias("coherence"))
+    parts = {"coherence": counts, "decisions": reports.mapped(gates.head_decisions(gate), "head", "decision"), "heads": reports.nested(gate, "head", "fold", ["base", "candidate", "high", "low"])}
+    return reports.document("heads", parts)
