@@ -185,3 +185,15 @@ def spot_checks(frame: DataFrame, cases: DataFrame, key: Sequence[str]) -> DataF
     found = cases.join(frame.withColumn("_present", F.lit(1)), list(key), "left")
     rest = [c for c in frame.columns if c not in key]
     return found.groupBy("case", *key).agg(F.count("_present").alias("matches"), *(F.first(c, ignorenulls=True).alias(c) for c in rest))
+
+
+#: Cases that a report of spot checks has to hold.
+REQUIRED_CASES = ("single", "multi", "new", "flagged", "moved")
+
+
+def spot_check_violations(found: DataFrame, required: Sequence[str] = REQUIRED_CASES) -> DataFrame:
+    """(case, problem) of ``spot_checks``: required cases that are absent, and cases that match no row or several."""
+    names = found.sparkSession.createDataFrame([(c,) for c in required], "case string")
+    absent = names.join(found.select("case").distinct(), "case", "left_anti").select("case", F.lit("absent").alias("problem"))
+    odd = F.when(F.col("matches") == 0, "no row").when(F.col("matches") > 1, "several rows")
+    return absent.unionByName(found.select("case", odd.alias("problem")).where("problem IS NOT NULL"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .compare import bootstrap
-from .metrics import mean_over_groups, probability_metrics, ranking_metrics
+from .metrics import calibration_error, calibration_line, calibration_table, mean_over_groups, probability_metrics, ranking_metrics
 
 RANKING = ("ndcg", "spearman", "mae", "rmse", "mean_bias", "top_overlap", "top1_hit")
 
@@ -174,6 +174,24 @@ def complete_rows(frame: DataFrame, signals: Sequence[str]) -> Column:
     return out
 
 
+def flag_violations(frame: DataFrame, key: Sequence[str], signals: Sequence[str], flag: str) -> DataFrame:
+    """(key, problem): rows whose supplied flag of completeness is NULL, or says other than the signals do."""
+    problem = F.when(F.col(flag).isNull(), "no flag").when(F.col(flag) & ~complete_rows(frame, signals), "flagged though a signal is missing").when(~F.col(flag) & complete_rows(frame, signals), "not flagged though all signals are there")
+    return frame.select(*key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def probability_evidence(frame: DataFrame, heads: Mapping[str, tuple[str, str, str]], key: Sequence[str]) -> DataFrame:
+    """A row for each head (name: target, model's and base's probability): both Brier scores, their difference, whether the model's is at most the base's, and how well it is calibrated (error, intercept and slope; the line is NULL with one class only)."""
+    found = []
+    for name, (target, model, base) in heads.items():
+        report = probability_report(frame.withColumn("_all", F.lit(0)), ["_all"], [model, base], target, key)
+        wide = report.agg(*(F.max(F.when(F.col("model") == m, F.col("brier"))).alias(n) for m, n in ((model, "brier"), (base, "base_brier"))))
+        error = calibration_error(calibration_table(frame.withColumn("_all", F.lit(0)), ["_all"], target, model), ["_all"]).drop("_all")
+        line = calibration_line(frame, target, model) or (None, None)
+        found.append(wide.join(error).select(F.lit(name).alias("head"), "brier", "base_brier", (F.col("brier") - F.col("base_brier")).alias("delta"), (F.col("brier") <= F.col("base_brier")).alias("passed"), "calibration_error", *(F.lit(v).cast("double").alias(n) for n, v in zip(("intercept", "slope"), line))))
+    return reduce(DataFrame.unionByName, found)
+
+
 def arm_differences(arms: DataFrame, key: Sequence[str], target: str) -> DataFrame:
     """Keys that some arm lacks, or where the target differs between arms."""
     n = arms.agg(F.count_distinct("arm").alias("arms"))

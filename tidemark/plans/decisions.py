@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import regret, select
 from ..sources import files
+from ..sources.scratch import scratch_path
 from .common import PORTFOLIOS_SQL, portfolios, rounded
 from .registry import query, table
 
@@ -150,6 +151,36 @@ def a_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.new_artifacts(new, new.where(F.col("path").cast("long") % 2 == 0)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a_digest", "SELECT count(*) AS rows, 'n_nationkey,n_name,n_regionkey' AS columns FROM nation")
+_NATION = "sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}')"
+
+
+@query(
+    "a_digest",
+    f"SELECT count(*) AS rows, 'n_nationkey,n_name,n_regionkey' AS columns, concat_ws('-', {', '.join(f'sum(CAST((chr(48) || chr(120) || substr(h, {1 + 16 * k}, 16)) AS UBIGINT)::HUGEINT) % 18446744073709551616' for k in range(4))}) AS digest FROM (SELECT {_NATION} AS h FROM nation)",
+)
 def a_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.table_digest(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")).select("rows", "columns")
+    return files.table_digest(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("a_set", "SELECT o_orderpriority AS arm, count(*) AS rows, 'ok' AS state FROM orders GROUP BY 1 UNION ALL SELECT 'all', count(*), 'ok' FROM orders")
+def a_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a folder for each priority, indexed, verified and read back."""
+    path = scratch_path(spark, "set")
+    index = files.write_set(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "arm"), path, "arm")
+    bad = files.set_violations(spark, path, "arm")
+    each = index.join(bad, "arm", "left").select("arm", "rows", F.coalesce("problem", F.lit("ok")).alias("state"))
+    return each.unionByName(files.read_set(spark, path, "arm").agg(F.lit("all").alias("arm"), F.count(F.lit(1)).alias("rows"), F.lit("ok").alias("state")))
+
+
+@query(
+    "a_elements",
+    "SELECT 'nation' AS list, CAST(n_nationkey + 1 AS INTEGER) AS ordinal, unnest(CASE WHEN n_nationkey % 7 = 3 THEN ['no id', 'no name'] WHEN n_nationkey % 4 = 0 THEN ['no name'] ELSE [] END) AS problem FROM nation UNION ALL SELECT 'region', CAST(r_regionkey + 1 AS INTEGER), 'no id' FROM region WHERE r_regionkey = 2",
+)
+def a_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload of two lists of objects, some of which lack fields."""
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    nations = table(spark, sf_dir, "nation").select(F.struct(n.alias("k"), F.when(n % 7 != 3, n).alias("id"), F.when((n % 4 != 0) & (n % 7 != 3), F.col("n_name")).alias("name")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("nation"))
+    regions = table(spark, sf_dir, "region").select(F.struct(r.alias("k"), F.when(r != 2, r).alias("id"), F.col("r_name").alias("name")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("region"))
+    kind = "nation array<struct<id:int,name:string>>, region array<struct<id:int,name:string>>"
+    payload = nations.join(regions).select(F.lit("p").alias("path"), F.from_json(F.to_json(F.struct("nation", "region")), kind).alias("payload"))  # one row each
+    return files.element_violations(payload, {"nation": ["id", "name"], "region": ["id", "name"]}).drop("path")

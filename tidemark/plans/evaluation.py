@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import baselines, cohorts, compare, folds, gates, heads, metrics, study
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from .common import CHANCES_SQL, SCORED_SQL, chances, rounded, scored
 from .registry import query, table
 
@@ -416,16 +416,41 @@ def l_forecast_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "o_source_comparison",
-    f"WITH s AS ({SCORED_SQL}), c AS (SELECT *, entity % 4 <> 0 AND entity % 3 <> 0 AS complete FROM s), r AS (SELECT 'all' AS rows_used, * FROM c UNION ALL SELECT 'complete', * FROM c WHERE complete), g AS (SELECT rows_used, era, period, count(*) AS n, avg(abs(p - y)) - avg(abs(q - y)) AS d FROM r GROUP BY 1, 2, 3) SELECT rows_used, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, round(avg(d) + 1.3e-6, 4) AS mean_delta FROM g GROUP BY 1",
+    f"""WITH s AS ({SCORED_SQL}), c AS (SELECT *, entity % 4 <> 0 AND entity % 3 <> 0 AS complete FROM s), r AS (SELECT 'all' AS rows_used, * FROM c UNION ALL SELECT 'complete', * FROM c WHERE complete), g AS (SELECT rows_used, era, period, count(*) AS n, avg(abs(p - y)) - avg(abs(q - y)) AS d FROM r GROUP BY 1, 2, 3),
+ k AS (SELECT *, row_number() OVER (PARTITION BY rows_used ORDER BY era, period) - 1 AS place, count(*) OVER (PARTITION BY rows_used) AS m FROM g), b AS (SELECT k.rows_used, x, avg(o.d) AS mean FROM k, (SELECT unnest(range(0, 2000)) AS x) JOIN k o ON o.rows_used = k.rows_used AND o.place = ('0x' || substr(md5('42|' || x || '|' || k.place), 1, 8))::BIGINT % k.m GROUP BY 1, 2),
+ i AS (SELECT rows_used, stddev_samp(mean) AS deviation, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM b GROUP BY 1)
+ SELECT rows_used, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows, round(CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM s), 6) AS coverage, round(avg(d) + 1.3e-6, 4) AS mean_delta, round(max(deviation) + 1.3e-6, 4) AS deviation, round(max(low) + 1.3e-6, 4) AS low, round(max(high) + 1.3e-6, 4) AS high FROM g JOIN i USING (rows_used) GROUP BY 1""",
 )
 def o_source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources compared on all rows and on those that have both, each set with its coverage and an interval from the same drawn periods."""
     rows = scored(spark, sf_dir)
     marked = rows.withColumns({"a": F.when(F.col("entity") % 4 != 0, F.col("p")), "b": F.when(F.col("entity") % 3 != 0, F.col("q"))})
     complete = rows.join(marked.where(gates.complete_rows(marked, ["a", "b"])).select("entity"), "entity", "left_semi")
     both = rows.withColumn("rows_used", F.lit("all")).unionByName(complete.withColumn("rows_used", F.lit("complete")))
     a, b = (metrics.ranking_metrics(both, ["rows_used", *BY], "y", c, KEY, with_hash=True) for c in ("p", "q"))
-    deltas = compare.paired_deltas(a, b, ["rows_used", *BY], "mae").where("same_rows").join(a.select("rows_used", *BY, "rows"), ["rows_used", *BY])
-    return deltas.groupBy("rows_used").agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows"), F.round(F.avg("delta") + 1.3e-6, 4).alias("mean_delta"))
+    deltas = stored(compare.paired_deltas(a, b, ["rows_used", *BY], "mae").where("same_rows").join(a.select("rows_used", *BY, "rows"), ["rows_used", *BY]), "deltas")
+    counts = deltas.groupBy("rows_used").agg(F.sum("rows").alias("rows"))
+    whole = F.max(F.when(F.col("rows_used") == "all", F.col("rows"))).over(Window.partitionBy())  # two rows
+    found = compare.bootstrap(deltas, BY, by=["rows_used"]).join(counts.withColumn("coverage", F.round(F.col("rows") / whole, 6)), "rows_used")
+    return found.select("rows_used", "groups", "rows", "coverage", *(F.round(F.col(c) + 1.3e-6, 4).alias(n) for c, n in (("mean", "mean_delta"), ("deviation", "deviation"), ("low", "low"), ("high", "high"))))
+
+
+@query(
+    "o_flag_violations",
+    f"WITH s AS ({SCORED_SQL}) SELECT entity, CASE WHEN entity % 50 = 0 THEN 'no flag' WHEN entity % 60 = 1 THEN 'not flagged though all signals are there' ELSE 'flagged though a signal is missing' END AS problem FROM s WHERE entity % 50 = 0 OR (entity % 60 = 1 AND entity % 4 <> 0 AND entity % 3 <> 0) OR (entity % 60 = 3 AND (entity % 4 = 0 OR entity % 3 = 0))",
+)
+def o_flag_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("entity")
+    rows = scored(spark, sf_dir).withColumns({"a": F.when(k % 4 != 0, F.col("p")), "b": F.when(k % 3 != 0, F.col("q"))})
+    flag = F.when(k % 50 == 0, None).when(k % 60 == 1, False).when(k % 60 == 3, True).otherwise((k % 4 != 0) & (k % 3 != 0))
+    return gates.flag_violations(rows.withColumn("flag", flag), KEY, ["a", "b"], "flag")
+
+
+@query("o_probability_evidence")
+def o_probability_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two heads against a constant, with their calibration. No SQL: the line is a fit."""
+    rows = chances(spark, sf_dir).withColumn("half", F.lit(0.5))
+    return rounded(gates.probability_evidence(rows, {"p": ("y", "p", "half"), "q": ("y", "q", "half")}, KEY))
 
 
 @query(

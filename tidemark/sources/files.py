@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,16 @@ def payload_problem(payload: Column, lists: Sequence[str]) -> Column:
     return problem
 
 
+def element_violations(parsed: DataFrame, fields: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(path, list, ordinal, problem) of elements of a payload's lists that lack one of their fields; ordinals count from 1, and an element that isn't an object lacks all."""
+    found = []
+    for name, wanted in fields.items():
+        each = parsed.select("path", F.posexplode(F.col("payload")[name]).alias("ordinal", "x"))
+        lacks = F.array(*(F.when(F.col("x").isNull() | F.col("x")[f].isNull(), f"no {f}") for f in wanted))
+        found.append(each.select("path", F.lit(name).alias("list"), (F.col("ordinal") + 1).alias("ordinal"), F.explode(lacks).alias("problem")).where("problem IS NOT NULL"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def picks_violations(squads: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, problem) of payloads (picks: array of element, position, is_lead, is_deputy): 15 different elements in slots 1..15, one lead, another deputy."""
     picks = squads.select(*by, F.explode_outer("picks").alias("p")).select(*by, "p.*")
@@ -87,12 +98,44 @@ def collisions(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.join(old, "artifact_id").where(F.col("sha256") != F.col("_sha")).drop("_sha")
 
 
-def table_digest(frame: DataFrame) -> DataFrame:
-    """One row: the number of rows, the column names, and a digest that doesn't depend on the order of rows: the sums, modulo 2^64, of the four parts of every row's SHA-256. A row is its columns as JSON, NULLs included."""
+def table_digest(frame: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row (for each ``by``): the number of rows, the column names, and a digest that doesn't depend on the order of rows: the sums, modulo 2^64, of the four parts of every row's SHA-256. A row is its columns as JSON, NULLs included."""
     row = F.sha2(F.to_json(F.struct(*(F.col(c) for c in frame.columns)), {"ignoreNullFields": "false"}), 256)
     parts = [F.conv(F.substring(row, 1 + 16 * k, 16), 16, 10).cast("decimal(20,0)") for k in range(4)]
     sums = [F.coalesce(F.sum(x.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) % F.lit(str(1 << 64)).cast("decimal(38,0)") for x in parts]
-    return frame.agg(F.count(F.lit(1)).alias("rows"), F.lit(",".join(frame.columns)).alias("columns"), F.concat_ws("-", *(x.cast("decimal(20,0)").cast("string") for x in sums)).alias("digest"))
+    counts = [F.count(F.lit(1)).alias("rows"), F.lit(",".join(frame.columns)).alias("columns"), F.concat_ws("-", *(x.cast("decimal(20,0)").cast("string") for x in sums)).alias("digest")]
+    return frame.groupBy(*by).agg(*counts) if by else frame.agg(*counts)
+
+
+def write_set(frame: DataFrame, path: str, by: str) -> DataFrame:
+    """One folder for each value of ``by`` (a study's arms, say), and an index of them with rows and digest, made of what was written. An existing set is an error. Gives the index."""
+    frame.write.mode("errorifexists").partitionBy(by).parquet(f"{path}/data")
+    index = table_digest(_set_rows(frame.sparkSession, path, frame.columns, frame.schema[by].dataType, by), [by])
+    index.coalesce(1).write.mode("errorifexists").parquet(f"{path}/index")
+    return frame.sparkSession.read.parquet(f"{path}/index")
+
+
+def _set_rows(spark: SparkSession, path: str, columns: Sequence[str], kind: T.DataType, by: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data").withColumn(by, F.col(by).cast(kind)).select(*columns)
+
+
+def set_violations(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(by, problem) of a set's parts: missing, not in the index, or with other rows than when they were written."""
+    index = spark.read.parquet(f"{path}/index")
+    columns = index.first()["columns"].split(",")
+    now = table_digest(_set_rows(spark, path, columns, index.schema[by].dataType, by), [by])
+    both = index.select(by, F.col("rows").alias("_rows"), F.col("digest").alias("_digest")).join(now, by, "full_outer")
+    problem = F.when(F.col("rows").isNull(), "missing").when(F.col("_rows").isNull(), "not in the index").when(F.col("rows") != F.col("_rows"), "other number of rows").when(F.col("digest") != F.col("_digest"), "other content")
+    return both.select(by, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def read_set(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """The whole set, after each part was compared with the index."""
+    bad = set_violations(spark, path, by).orderBy(by).take(5)
+    if bad:
+        raise ValueError(f"{path} isn't what was written: " + "; ".join(f"{r[0]} is {r[1]}" if r[1] in ("missing", "not in the index") else f"{r[0]} has {r[1]}" for r in bad))
+    index = spark.read.parquet(f"{path}/index")
+    return _set_rows(spark, path, index.first()["columns"].split(","), index.schema[by].dataType, by)
 
 
 def write_once(frame: DataFrame, path: str, *, partition_by: Sequence[str] = ()) -> None:
