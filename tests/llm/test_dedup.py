@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 
 import pytest
@@ -227,3 +228,13 @@ def test_decontaminated_text(spark):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.decontaminated(df, none).count() == 4
     assert decontaminate.decontaminated(df.limit(0), none).count() == 0 and decontaminate.contamination(df.limit(0), none).count() == 0
+
+
+def test_items_of_equal_words_are_read_in_proportion():
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        automaton = decontaminate.SuffixAutomaton([("a", [b"x"] * n)], 10)
+        assert automaton.hits([0] * n) == ([(0, n)], {"a"})
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5

@@ -272,3 +272,14 @@ def test_calibration_fit(slope):
     y = (rng.random(20_000) < 1 / (1 + np.exp(-(slope * x - 1)))).astype(float)
     a, b = fit_sigmoid(x, y, np.ones(20_000))
     assert abs(a - slope) < 0.25 and abs(b + 1) < 0.15
+
+
+def test_a_filter_kept_as_a_table_decides_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(900001, None, "en"), (900002, "", None), (900003, "123 !?", "de"), (900004, "a", None), (900005, "word " * 50_000, "en"), (None, "the river and the town", "fr"), (900005, "x", "zz")], docs.schema)
+    both = docs.unionByName(odd)
+    many = both.unionByName(docs.where("doc_id < 70").selectExpr("doc_id + 800000 AS doc_id", "text", "concat('l', doc_id) AS lang"))  # more than 64 languages
+    for table in (both, many, docs.where("lang IS NULL"), docs.limit(0)):
+        one, two = (sorted(map(tuple, langid.languages(table, min_count=1, max_words=w).collect()), key=str) for w in (1 << 24, 1))
+        assert [r[:3] for r in one] == [r[:3] for r in two]
+        assert np.allclose([r[3] for r in one], [r[3] for r in two], atol=1e-12)

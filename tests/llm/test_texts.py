@@ -272,8 +272,9 @@ def test_mixing(spark):
             assert times.get(k, 0) == sum(c <= u for c in cdf)
     again = mixing.mixed(df.repartition(7), weights, total=8000.0, seed=5)
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
-    with pytest.raises(ValueError):
-        mixing.mixed(df, weights, total=1e7)
+    few = mixing.mixed(df.where("doc_id < 30"), weights, total=30_000.0, seed=5)  # some 750 copies a document
+    n = {r["source"]: r["count"] for r in few.groupBy("source").count().collect()}
+    assert abs(n["big"] - 7500) < 500 and abs(n["a"] - 15_000) < 700 and abs(n[None] - 7500) < 500
     assert mixing.mixed(df.limit(0), weights).count() == 0
 
 

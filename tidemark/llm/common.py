@@ -23,12 +23,14 @@ def fold(doc_id: str, mod: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share. The session's setting wins; only where it is unset (tests) is one made here."""
+    """The folder all executors share. The session's setting wins; only where it is unset and the master is local (tests) is one made here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     kept = spark.sparkContext.getCheckpointDir()
     if kept is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: there is no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         kept = spark.sparkContext.getCheckpointDir()
     return kept.rstrip("/")

@@ -70,6 +70,12 @@ class SuffixAutomaton:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        # The last state up the links, itself included, that is still as long as a window: it stands for the window that ends there.
+        self.holder = array("i", range(len(self.link)))
+        for state in by_length:
+            if self.length[self.link[state]] >= window:
+                self.holder[state] = self.holder[self.link[state]]
         self.owner = array("i", [-1]) * len(self.link)  # the item of a state's windows, and the others if there are several
         self.owners: dict[int, set[int]] = {}
         self.whole: dict[int, list[tuple[int, int]]] = {}
@@ -78,7 +84,7 @@ class SuffixAutomaton:
             for word in sequence:
                 state, length = self.step(state, length, word)
                 if length >= window:
-                    holder = self._holder(state)
+                    holder = self.holder[state]
                     if self.owner[holder] < 0:
                         self.owner[holder] = name
                     elif self.owner[holder] != name:
@@ -87,7 +93,7 @@ class SuffixAutomaton:
                 self.whole.setdefault(state, []).append((len(sequence), name))
         # The nearest state up the links, itself included, at which a short item ends; 0 if there is none.
         self.nearest = array("i", [0]) * len(self.link)
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+        for state in by_length:
             self.nearest[state] = state if state in self.whole else self.nearest[self.link[state]]
         self.shortest = min((len(s) for _, s in sequences), default=window)
 
@@ -142,11 +148,6 @@ class SuffixAutomaton:
             length = self.length[state]
         return after, length + 1
 
-    def _holder(self, state: int) -> int:
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
-
     def hits(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [from, to) that windows cover, merged, and the items with windows there."""
         state = length = 0
@@ -157,7 +158,7 @@ class SuffixAutomaton:
             reach = 0
             if length >= self.window:
                 reach = length
-                holder = self._holder(state)
+                holder = self.holder[state]
                 found.add(self.owner[holder])
                 found |= self.owners.get(holder, set())
             short = self.nearest[state]

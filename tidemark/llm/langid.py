@@ -9,9 +9,12 @@ language: quotations and mixed pages bring every n-gram into every language soon
 behind this cover all documents with a language outside the held-out fold, summed by Spark. Every member
 and every language enters the filter: it has ``ROOM`` rows for each n-gram of the largest language (``ROWS``
 at least), and a mask word of 8 bytes a row for each 64 languages. Spark sets the bits and ORs them by row.
+A filter of up to ``MAX_WORDS`` mask words is broadcast. A larger one stays a table: the n-grams of all different texts
+are counted, each different one is joined to its rows, and the masks to the counts; decisions and scores are the same.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0. Ties go to the language
-that sorts first. Rows that repeat a doc_id are decided one by one. With nothing learned all are ``und``.
+that sorts first. Rows that repeat a doc_id are decided one by one. With nothing learned all are ``und``. No
+documents: no rows. Texts are read whole, whatever their length, some at a time. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, steps, written
@@ -31,6 +34,8 @@ ROOM = 14
 HASHES = 3
 #: Bits of a mask word, and filter rows fetched at once.
 WORD, FETCHED = 64, 1 << 21
+#: A larger filter (128 MB) isn't fetched or broadcast.
+MAX_WORDS = 1 << 24
 ORDERS = (2, 3, 4)
 MOD, HELD_OUT = 4, 2
 
@@ -129,17 +134,88 @@ def _bits(size: int):
     return run
 
 
-def summed_filter(members: DataFrame, languages: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of (k, code) rows, one array of rows a mask word, and each language's false positive rate."""
+def filter_masks(members: DataFrame, size: int) -> DataFrame:
+    """(word, row, mask) of the filter of (k, code) rows: those rows that have a bit."""
     masks = members.select("k", "code").mapInArrow(_bits(size), "word int, row long, mask long").groupBy("word", "row").agg(F.bit_or("mask").alias("mask"))
-    masks = written(masks, "filter-rows")
+    return written(masks, "filter-rows")
+
+
+def false_positives(masks: DataFrame, languages: int, size: int) -> np.ndarray:
+    """The false positive rate of each language."""
+    bits = [F.sum(F.shiftrightunsigned("mask", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(WORD)]
+    fill = np.zeros(max(1, -(-languages // WORD)) * WORD)
+    for r in masks.groupBy("word").agg(*bits).collect():  # a row for each 64 languages
+        fill[r["word"] * WORD : (r["word"] + 1) * WORD] = r[1:]
+    return (fill[:languages] / size) ** HASHES
+
+
+def fetched_filter(masks: DataFrame, languages: int, size: int) -> np.ndarray:
+    """The filter, one array of rows a mask word."""
     filled = np.zeros((max(1, -(-languages // WORD)), size), np.uint64)
     at_once = max(1, FETCHED // len(filled))
     for at in range(0, size, at_once):
         table = masks.where((F.col("row") >= at) & (F.col("row") < at + at_once)).toArrow()
         filled[table.column("word").to_numpy(), table.column("row").to_numpy()] = table.column("mask").to_numpy().view(np.uint64)
-    fill = np.array([((filled[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(languages)])
-    return filled, fill**HASHES
+    return filled
+
+
+def summed_filter(members: DataFrame, languages: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of (k, code) rows, one array of rows a mask word, and each language's false positive rate."""
+    masks = filter_masks(members, size)
+    return fetched_filter(masks, languages, size), false_positives(masks, languages, size)
+
+
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, code, n) of each text, and one row without a code for its letters."""
+    for part, _, _ in steps(batches, "text"):
+        keys = np.array(part.column("key").to_pylist(), object)
+        points, owner, letters = characters(part)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.nulls(len(keys), pa.int64()), pa.array(letters.astype(np.int64))], ["key", "code", "n"])
+        for codes, own in grams(points, owner):
+            order = np.lexsort((codes, own))
+            codes, own = codes[order], own[order]
+            new = np.ones(len(codes), bool)
+            new[1:] = (codes[1:] != codes[:-1]) | (own[1:] != own[:-1])
+            at = np.flatnonzero(new)
+            n = np.diff(np.append(at, len(codes)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own[at]], pa.string()), pa.array(codes[at].view(np.int64)), pa.array(n)], ["key", "code", "n"])
+
+
+def _code_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for place in places(part.column("code").to_numpy().view(np.uint64), size):
+                yield pa.RecordBatch.from_arrays([part.column("code"), pa.array(place)], ["code", "row"])
+
+    return run
+
+
+def _joined(rows: DataFrame, masks: DataFrame, names: list[str], wrong: np.ndarray, size: int) -> DataFrame:
+    """The decisions by joins: an n-gram's languages are the AND of its rows' masks."""
+    keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    counts = written(keyed.dropDuplicates(["key"]).select("key", "text").mapInArrow(_text_grams, "key string, code long, n long"), "text-grams")
+    own = counts.where("code IS NOT NULL")
+    placed = own.select("code").distinct().mapInArrow(_code_rows(size), "code long, row long")
+    met = placed.join(masks, "row").groupBy("code", "word").agg(F.count(F.lit(1)).alias("rows"), F.bit_and("mask").alias("mask"))
+    met = met.where((F.col("rows") == HASHES) & (F.col("mask") != 0)).drop("rows")
+    bits = [F.sum(F.col("n") * F.shiftrightunsigned("mask", k).bitwiseAND(F.lit(1))).cast("double").alias(f"b{k}") for k in range(WORD)]
+    found = own.join(met, "code").groupBy("key", "word").agg(*bits)
+    texts = counts.groupBy("key").agg(F.sum(F.when(F.col("code").isNull(), F.col("n"))).alias("letters"), F.sum(F.when(F.col("code").isNotNull(), F.col("n")).otherwise(0)).cast("double").alias("total"))
+    rates = [F.lit(float(x)) for x in np.append(wrong, np.zeros(-len(wrong) % WORD))]
+
+    def right(k: int, total: Column) -> Column:
+        """Of language k of a word."""
+        rate = F.element_at(F.array(*rates), F.col("word") * WORD + k + 1)
+        return F.struct((F.greatest(F.col(f"b{k}") - rate * total, F.lit(0.0)) / (1 - rate)).alias("right"), (-(F.col("word") * WORD + k)).alias("k"))
+
+    best = found.join(texts, "key").select("key", F.array_max(F.array(*(right(k, F.col("total")) for k in range(min(WORD, len(names)))))).alias("best"))
+    best = best.groupBy("key").agg(F.max("best").alias("best"))
+    said = texts.join(best, "key", "left")
+    first = F.when(F.coalesce(F.col("best.right"), F.lit(0.0)) > 0, -F.col("best.k")).otherwise(0)
+    known = F.col("letters") > 0
+    score = F.when(known, F.coalesce("best.right", F.lit(0.0)) / F.greatest("total", F.lit(1.0))).otherwise(0.0)
+    said = said.select("key", F.when(known, F.element_at(F.array(*map(F.lit, names)), (first + 1).cast("int"))).otherwise("und").alias("lang_pred"), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return keyed.select("doc_id", "key").join(said, "key").drop("key")
 
 
 def _decide(model):
@@ -173,7 +249,7 @@ def _decide(model):
     return run
 
 
-def languages(docs: DataFrame, *, min_share: float = 0.5, min_count: int = 2) -> DataFrame:
+def languages(docs: DataFrame, *, min_share: float = 0.5, min_count: int = 2, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (the share of its n-grams that the language has, corrected)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
@@ -187,7 +263,12 @@ def languages(docs: DataFrame, *, min_share: float = 0.5, min_count: int = 2) ->
     order = spark.createDataFrame(list(enumerate(names)), "k long, lang string")
     kept = written(members.join(F.broadcast(order), "lang").select("k", "code"), "members")
     most = max((x["count"] for x in kept.groupBy("k").count().collect()), default=0)
-    filled, wrong = summed_filter(kept, len(names), filter_size(most))
-    model = spark.sparkContext.broadcast((names, filled, wrong))
-    found = rows.select("doc_id", "text").mapInArrow(_decide(model), "doc_id long, lang_pred string, score double")
+    size = filter_size(most)
+    masks = filter_masks(kept, size)
+    wrong = false_positives(masks, len(names), size)
+    if names and size * -(-len(names) // WORD) > max_words:
+        found = _joined(rows.select("doc_id", "text"), masks, names, wrong, size)
+    else:
+        model = spark.sparkContext.broadcast((names, fetched_filter(masks, len(names), size), wrong))
+        found = rows.select("doc_id", "text").mapInArrow(_decide(model), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (fold("doc_id", MOD) == HELD_OUT).alias("held_out"), "lang_pred", "score")

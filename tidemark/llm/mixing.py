@@ -12,7 +12,7 @@ shuffling, where adaptive execution splits a large source.
 
 Defined results: null is a source of its own; a source without a weight, or with a null or negative one,
 has weight 0 and goes; a weight without documents doesn't count. A rate may be any number if the mixture is as
-large as the input; a ``total`` that asks for a rate above MAX_RATE is refused. Rows that repeat a doc_id get the same
+large as the input; a ``total`` may ask for any rate. Rows that repeat a doc_id get the same
 number. A null doc_id counts as the empty string.
 """
 
@@ -80,11 +80,8 @@ def mixed(docs: DataFrame, weights: DataFrame, *, source: str = "source", doc_id
     """The columns of ``docs`` and ``copy`` (1, 2, ...) and ``order_key`` (underscores before these if ``docs`` has such columns); partitions are in the order of the key."""
     copy, order_key, u, times, key, low, below = free_names(docs.columns, "copy", "order_key", "u", "times", "mix_source", "low", "below")
     found = rates(docs, weights, source=source, total=total)
-    top = found.agg(F.max("rate").alias("rate"), F.count(F.lit(1)).alias("sources")).first()
-    if total is not None and top["rate"] is not None and top["rate"] > MAX_RATE:
-        raise ValueError(f"a source's documents would be repeated {top['rate']:.0f} times on average; the limit is {MAX_RATE:.0f}")
     table = found.where("rate > 0").select(F.col("source").alias(key), lowest(F.col("rate")).alias(low), distribution(F.col("rate")).alias(below))
-    if top["sources"] <= MAX_BROADCAST_SOURCES:
+    if found.count() <= MAX_BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     placed = docs.join(table, F.col(source).eqNullSafe(F.col(key))).withColumn(u, uniform(F.lit(str(seed)), name))

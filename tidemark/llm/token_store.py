@@ -150,8 +150,10 @@ class Codebook:
 def encode_bits(ids: np.ndarray, book: Codebook) -> tuple[bytes, np.ndarray]:
     """The bit stream and the bit offsets of the check points."""
     n = book.bits_of[ids]
-    end = np.cumsum(n)
+    end = np.cumsum(n, dtype=np.int64)
     start = end - n
+    if len(ids) and end[-1] >= 1 << 32:
+        raise ValueError("a block's codes don't fit the 32 bits of its check points")
     words = np.zeros((int(end[-1]) + 31) // 32 + 2 if len(ids) else 1, np.uint64)
     if len(ids):
         word, room = start >> 5, 64 - (start & 31) - n
