@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. ``run`` writes each stage's result as Parquet into the shared folder and reads it back as the
 next one's ``docs``.
+
+Defined results, stage by stage: a null text counts as empty; empty texts have a score like any other, are near
+duplicates of nothing and hold no benchmark passage; texts may be of any length. Rows that repeat stay repeated until
+the near-duplicates, of which the smallest doc_id stays; ties in scores fall to the same side. A null source is a source.
+No documents, labels or benchmark: no rows, all accepted, nothing cut. Columns of documents beyond the known ones pass
+through all stages but the last; none of the stages' own columns can clash with them.
 """
 
 from __future__ import annotations
