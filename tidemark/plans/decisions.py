@@ -90,18 +90,55 @@ def q_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regret.lead_points(select.decided(portfolios(spark, sf_dir), BY), BY)
 
 
-@query("q_backtest")
+def _legal_sql(p: str) -> str:
+    """Whether one count of the formation is in range if reserve r takes the place of the absent starter a."""
+    low, high = select.RANGES[p]
+    return f"s.{p} - CAST(a.position = '{p}' AS INTEGER) + CAST(r.position = '{p}' AS INTEGER) BETWEEN {low} AND {high}"
+
+
+def _moved_sql(p: str) -> str:
+    return f"'{p}': s.{p} - CAST(gone.position = '{p}' AS INTEGER) + CAST(r.position = '{p}' AS INTEGER)"
+
+
+#: Every order of three reserves; each reserve takes the first absent starter's place that keeps the formation legal, one after the other.
+BACKTEST = f"""WITH pf AS ({PORTFOLIOS_SQL}), pp AS (SELECT portfolio, entity, position, p_played, p_long, actual, actual_exposure > 0 AS played, policy, v AS score FROM pf UNPIVOT (v FOR policy IN (score, rival))),
+ lr AS (SELECT *, row_number() OVER (PARTITION BY portfolio, policy, position ORDER BY score DESC, entity) AS k FROM pp),
+ lt AS (SELECT portfolio, policy, d, m, f, round(sum(score), 9) AS total, list_sort(list(entity)) AS line_up FROM lr, (VALUES {FORMS}) t(d, m, f) WHERE k <= CASE position WHEN 'G' THEN 1 WHEN 'D' THEN d WHEN 'M' THEN m ELSE f END GROUP BY ALL),
+ best AS (SELECT portfolio, policy, arg_min(line_up, (-total, line_up)) AS line_up FROM lt GROUP BY 1, 2), s AS (SELECT pp.*, list_contains(line_up, entity) AS starter FROM pp JOIN best USING (portfolio, policy)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY portfolio, policy, starter ORDER BY score DESC, p_long DESC, p_played DESC, entity) AS place, row_number() OVER (PARTITION BY portfolio, policy, starter ORDER BY CASE WHEN position = 'G' THEN 1 ELSE 0 END, score * p_played DESC, score DESC, p_played DESC, entity) AS ord FROM s),
+ l AS (SELECT *, starter AND place = 1 AS lead, (1 - max(CASE WHEN starter AND place = 1 THEN p_played END) OVER (PARTITION BY portfolio, policy)) * p_played * score AS dv FROM k),
+ z AS (SELECT *, row_number() OVER (PARTITION BY portfolio, policy ORDER BY (starter AND NOT lead) DESC, dv DESC, score DESC, p_played DESC, p_long DESC, entity) = 1 AS deputy FROM l),
+ g AS (SELECT portfolio, policy, sum(CASE WHEN starter THEN actual ELSE 0 END) AS line_up_points, sum(CASE WHEN starter AND played THEN actual ELSE 0 END) + CASE WHEN bool_or(starter AND position = 'G' AND NOT played) THEN sum(CASE WHEN NOT starter AND position = 'G' AND played THEN actual ELSE 0 END) ELSE 0 END AS base,
+  coalesce(list(struct_pack(entity := entity, position := position) ORDER BY entity) FILTER (WHERE starter AND position <> 'G' AND NOT played), []) AS absent, coalesce(list(struct_pack(ord := ord, position := position, actual := actual)) FILTER (WHERE NOT starter AND position <> 'G' AND played), []) AS reserves,
+  count(*) FILTER (WHERE starter AND position = 'D') AS D, count(*) FILTER (WHERE starter AND position = 'M') AS M, count(*) FILTER (WHERE starter AND position = 'F') AS F,
+  max(actual) FILTER (WHERE lead AND played) AS own_lead, max(actual) FILTER (WHERE deputy AND played) AS own_deputy, coalesce(max(actual) FILTER (WHERE starter AND played), 0) AS best_lead_bonus FROM z GROUP BY 1, 2),
+ t AS (SELECT g.*, o, list_sort([{{'o': o[r.ord], 'position': r.position, 'actual': r.actual}} FOR r IN reserves]) AS turn FROM g, (SELECT unnest([[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]]) AS o)),
+ w AS (SELECT *, base + list_reduce(turn, lambda s, r: list_transform([list_filter(s.absent, lambda a: {" AND ".join(map(_legal_sql, "DMF"))})[1]],
+   lambda gone: CASE WHEN gone IS NULL THEN s ELSE {{'absent': list_filter(s.absent, lambda x: x.entity <> gone.entity), {", ".join(map(_moved_sql, "DMF"))}, 'points': s.points + r.actual}} END)[1], {{'absent': absent, 'D': D, 'M': M, 'F': F, 'points': 0.0::DOUBLE}}).points AS points FROM t),
+ hr AS (SELECT *, row_number() OVER (PARTITION BY portfolio, position ORDER BY actual DESC, entity) AS k FROM pf), ht AS (SELECT portfolio, d, m, f, sum(actual) AS total FROM hr, (VALUES {FORMS}) t(d, m, f) WHERE k <= CASE position WHEN 'G' THEN 1 WHEN 'D' THEN d WHEN 'M' THEN m ELSE f END GROUP BY ALL),
+ hind AS (SELECT portfolio, max(total) AS hindsight_points FROM ht GROUP BY 1),
+ bt AS (SELECT portfolio, policy, max(line_up_points) AS line_up_points, max(points) FILTER (WHERE o = [1, 2, 3]) AS points, max(points) AS best_points, max(coalesce(own_lead, own_deputy, 0)) AS lead_bonus, max(best_lead_bonus) AS best_lead_bonus, bool_and(own_lead IS NULL) AS deputy_needed, bool_and(own_lead IS NULL AND own_deputy IS NOT NULL) AS deputy_covered FROM w GROUP BY 1, 2),
+ res AS (SELECT bt.*, hindsight_points, hindsight_points - line_up_points AS line_up_regret, best_points - points AS reserve_regret, best_lead_bonus - lead_bonus AS lead_regret FROM bt JOIN hind USING (portfolio))"""
+_MEASURES = ("points", "line_up_regret", "reserve_regret", "lead_regret")
+
+
+@query("q_backtest", BACKTEST + " SELECT * FROM res")
 def q_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: substitutions depend on one another. A test compares them with a loop over the rules."""
     return rounded(_policies(spark, sf_dir))
 
 
-@query("q_policy_summary")
+@query(
+    "q_policy_summary",
+    BACKTEST + f" SELECT policy, count(*) AS decisions, {', '.join(f'round(avg({c}), 6) AS mean_{c}' for c in ('points', 'lead_bonus', *_MEASURES[1:]))}, round(avg(CASE WHEN deputy_needed THEN CAST(deputy_covered AS DOUBLE) END), 6) AS deputy_coverage FROM res GROUP BY 1",
+)
 def q_policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regret.policy_summary(_policies(spark, sf_dir)))
 
 
-@query("q_paired_policies")
+@query(
+    "q_paired_policies",
+    BACKTEST + f" SELECT policy, measure, count(*) AS pairs, round(avg(delta), 6) AS mean_delta FROM (SELECT o.policy, {', '.join(f'c.{m} - o.{m} AS {m}' for m in _MEASURES)} FROM res o JOIN res c ON c.portfolio = o.portfolio AND c.policy = 'score' AND o.policy <> 'score') UNPIVOT (delta FOR measure IN ({', '.join(_MEASURES)})) GROUP BY 1, 2",
+)
 def q_paired_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regret.paired_with_champion(_policies(spark, sf_dir), BY, "score"))
 
