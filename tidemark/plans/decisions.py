@@ -188,6 +188,14 @@ def a_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.new_artifacts(new, new.where(F.col("path").cast("long") % 2 == 0)).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("a_collisions", "SELECT CAST(page_id AS VARCHAR) AS path FROM pages WHERE page_id % 3 = 0 AND sha256(html) IN (SELECT sha256(html) FROM pages WHERE page_id % 3 = 0)")
+def a_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts whose id is known with another content: every third page's stored digest is reversed."""
+    new = a_manifest(spark, sf_dir)
+    known = new.where(F.col("path").cast("long") % 3 == 0).select("artifact_id", F.reverse("sha256").alias("sha256")).distinct()
+    return files.collisions(new.where(F.col("path").cast("long") % 3 == 0), known).select("path")
+
+
 _NATION = "sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}')"
 
 

@@ -7,6 +7,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import period_ordinal
 from ..operators import baselines, cohorts, compare, folds, gates, heads, metrics, study
 from ..sources.scratch import scratch_path, stored
 from .common import CHANCES_SQL, SCORED_SQL, chances, rounded, scored
@@ -16,8 +17,8 @@ KEY = ["entity"]
 BY = ["era", "period"]
 
 
-def _ordinal(era: str = "era", period: str = "period"):
-    return F.col(era) * 12 + F.col(period) - 1
+def _ordinal():
+    return period_ordinal(F.col("era"), F.col("period"), 12)
 
 
 WINDOWS = [folds.EvalWindow(f"w{k}", (1995 + k) * 12, (1995 + k) * 12 + 11, "discovery" if k < 4 else "confirmation") for k in range(6)]
@@ -462,3 +463,15 @@ def n_cohort_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohorts.with_cohorts(chances(spark, sf_dir), names)
     own = metrics.probability_metrics(rows, ["cohort", *BY], "y", "p", KEY)
     return metrics.mean_over_groups(own, ["cohort"], ["brier"]).select("cohort", "groups", F.round(F.col("brier") + 1.3e-9, 6).alias("brier"))
+
+
+@query(
+    "h_retained_violations",
+    f"WITH s AS ({SCORED_SQL}), r AS (SELECT entity, 'w' AS fold, k AS seed, CASE WHEN entity % 37 = 0 AND k = 2 THEN NULL ELSE true END AS eligible FROM s, (SELECT unnest([1, 2]) AS k) UNION ALL SELECT entity, 'w', 1, true FROM s WHERE entity % 41 = 0) SELECT entity, fold, seed, 'repeated' AS problem FROM r GROUP BY 1, 2, 3 HAVING count(*) > 1 UNION ALL SELECT entity, fold, seed, 'no eligibility' FROM r WHERE eligible IS NULL",
+)
+def h_retained_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retained predictions of two seeds, some of them twice or without eligibility."""
+    k = F.col("entity")
+    rows = scored(spark, sf_dir).select("entity", F.lit("w").alias("fold"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seed")).withColumn("eligible", F.when(~((k % 37 == 0) & (F.col("seed") == 2)), True))
+    again = scored(spark, sf_dir).where(k % 41 == 0).select("entity", F.lit("w").alias("fold"), F.lit(1).alias("seed"), F.lit(True).alias("eligible"))
+    return folds.retained_violations(rows.unionByName(again), KEY, "eligible")

@@ -397,6 +397,17 @@ def d_surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.uuid5(SPACE, F.concat(F.lit("customer:"), F.col("c_custkey").cast("string"))).alias("entity_key"))
 
 
+@query(
+    "b_instants",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate END AS strict, CASE WHEN o_orderkey % 4 < 2 THEN o_orderdate WHEN o_orderkey % 4 = 2 THEN o_orderdate - INTERVAL 2 HOUR END AS converted FROM orders",
+)
+def b_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text in UTC, in another offset, and without one."""
+    k = F.col("o_orderkey") % 4
+    text = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(k == 0, "Z").when(k == 1, "+00:00").when(k == 2, "+02:00").otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.utc_instant(text).cast("timestamp_ntz").alias("strict"), scalars.utc_instant(text, convert=True).cast("timestamp_ntz").alias("converted"))
+
+
 # --- facts ----------------------------------------------------------------------------------------
 
 FACTS = f"WITH schedule AS ({SCHEDULE_SQL}), outs AS ({OUTCOMES_SQL}), f AS (SELECT o.era, period, entity, o.occurrence_id, kickoff, own_group, CASE own_group WHEN home THEN away WHEN away THEN home END AS counter_group, CASE own_group WHEN home THEN 'home' WHEN away THEN 'away' END AS side, exposure, outcome, CASE WHEN own_group NOT IN (home, away) THEN 'group not in occurrence' END AS problem FROM outs o JOIN schedule s ON s.era = o.era AND s.occurrence_id = o.occurrence_id)"
