@@ -267,3 +267,32 @@ def test_digest_sees_nulls_and_not_order(spark):
     digest = lambda made: files.table_digest(spark.createDataFrame(made, kind)).first()["digest"]
     assert digest([(None, "a")]) != digest([("a", None)]) and digest([("a", "b"), ("c", None)]) == digest([("c", None), ("a", "b")])
     assert digest([("a", "b")]) != digest([("a", "b"), ("a", "b")]) and digest([]) == "0-0-0-0"
+
+
+@pytest.mark.parametrize("name", ["e_context", "e_context_violations", "e_reconciled", "b_model_rows"])
+def test_contexts_of_whole_nations(name):
+    from tidemark import plans
+
+    assert "600" not in plans.ORACLE_SQL[name] and "600" in plans.ORACLE_SQL["e_labelled"]
+
+
+def test_groups_of_a_nation_are_one(spark):
+    from tidemark.plans import histories
+
+    groups = [r[0] for r in histories._snapshots(spark, "/root/testdata/sf0.01", nations=True).select("own_group").distinct().collect()]
+    assert sorted(groups) == list(range(25))  # 1,500 customers: 75 groups if they were in blocks of 600
+
+
+def test_reconciled_without_carrying_ids(spark):
+    """Ids that are missing, more than the facts, repeated, or those of nobody: the numbers are those of the lists."""
+    day, hour = dt.timedelta(days=1), dt.timedelta(hours=1)
+    snaps = spark.createDataFrame([(2026, p, e, g, T0, T0 - hour) for p in (1, 2) for e, g in ((1, 5), (2, 6), (3, 7), (4, 8))], "era int, period int, entity long, own_group long, cutoff timestamp_ntz, captured_at timestamp_ntz")
+    games = [(2026, 1, k, T0 + k * day, h, a, 1.0, 2.0, T0 - day) for k, h, a in ((1, 5, 6), (2, 5, 7), (3, 7, 7), (4, 6, 5))]
+    s = spark.createDataFrame(games, "era int, period int, occurrence_id long, kickoff timestamp_ntz, home long, away long, home_difficulty double, away_difficulty double, available_at timestamp_ntz")
+    outs = [(2026, 1, 1, 5), (2026, 2, 1, 5), (2026, 4, 1, 5), (2026, 1, 2, 6), (2026, 1, 2, 6), (2026, 3, 3, 7), (2026, 4, 9, 6)]
+    f = facts.facts(spark.createDataFrame([(e, o, k, g, 30, 3) for e, o, k, g in outs], "era int, occurrence_id long, entity long, own_group long, exposure long, outcome long"), s)
+    known = facts.announced(snaps, s)
+    whole, short = (facts.labelled(facts.period_rows(snaps, known, listed=listed), f) for listed in (True, False))
+    one, two = facts.reconciled(f, whole).first(), facts.reconciled(f, short, known).first()
+    assert "occurrence_ids" not in short.columns and one == two
+    assert (one["keys_with_other_ids"], one["rows_with_repeated_ids"], one["facts_without_row"]) == (2, 1, 1)
