@@ -352,3 +352,30 @@ def test_fits_cover_all_folds(spark, monkeypatch):
     monkeypatch.setattr(evaluation.heads, "boosted_classifier", classifier)
     assert sorted(r["entity"] for r in QUERIES["m_boosted_heads"](spark, data).collect()) == tested
     assert sorted(x["seed"] for x in options) == [7] * 8 + [42] * 8 and all(x["config"] == evaluation.CONFIG for x in options)
+
+
+@pytest.mark.parametrize("slices", [2, 7, 64])
+def test_ranks_of_slices_are_those_of_the_group(spark, slices):
+    import random
+
+    from tidemark.operators import metrics
+
+    rng = random.Random(slices)
+    data = [(g, float(rng.choice([1, 2, 3, rng.randrange(90), rng.random()]))) for g in ("a", "b", None) for _ in range(120)] + [("one", 1.0)] * 5
+    got = {(r["g"], r["v"]): (r["rank"], r["n"]) for r in metrics.average_ranks(spark.createDataFrame(data, "g string, v double"), ["g"], "v", slices).collect()}
+    want = {}
+    for g in {x[0] for x in data}:
+        own = sorted(v for h, v in data if h == g)
+        want |= {(g, v): (own.index(v) + (own.count(v) + 1) / 2, own.count(v)) for v in own}
+    assert got == want
+
+
+def test_no_window_holds_all_rows_of_a_group(spark):
+    from tidemark.operators import heads, metrics
+
+    rows = spark.range(50).selectExpr("int(2000 + id % 2) AS era", "int(id % 3) AS period", "id AS entity", "double(id % 7) AS y", "double(id % 5) AS p", "double(id % 3) AS q", "int(id % 2) AS z")
+    by = ["era", "period"]
+    for frame in (metrics.ranking_metrics(rows, by, "y", "p", ["entity"]), metrics.probability_metrics(rows, by, "z", "p", ["entity"]), heads.blend_weight(rows, ["era"], ["entity"], "y", "p", "q")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        ranks = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
+        assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") == len(ranks) and "Window [rank(" not in plan
