@@ -238,3 +238,14 @@ def test_items_of_equal_words_are_read_in_proportion():
         assert automaton.hits([0] * n) == ([(0, n)], {"a"})
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.5
+
+
+def test_near_copies_give_a_link_a_node(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [base[:at] + [f"x{at}"] + base[at + 1 :] for at in range(0, 400, 2)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = []
+    monkeypatch.setattr(near_dedup, "components", lambda links, own=near_dedup.components: counts.append(links.count()) or own(links))
+    assert near_dedup.near_groups(docs).where("component_id = 0").count() == 200
+    assert counts and max(counts) <= 200  # several hubs a node gave several times that

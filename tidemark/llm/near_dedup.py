@@ -8,8 +8,9 @@
    as asked share at least ``match_threshold`` tokens except with probability ``MISS``; so among each
    node's rarest coordinates - ``match_threshold`` + 1 tokens there is a common one (prefix), and only those
    are posted. Tokens that one node alone has are never posted.
-3. Posting lists are merged round by round. A round pairs each list's members with one hub of the list,
-   leaving out (skip) members that the components found so far already join to it and sizes that can't
+3. Posting lists are merged round by round. The first round pairs each node with one hub, the commonest of its
+   lists' hubs, so that a group of near copies gives one link a node and not one a list. The next rounds pair
+   each list's members with one hub of the list, leaving out (skip) members that the components found so far already join to it and sizes that can't
    reach the similarity. Pairs that collide in at least ``match_threshold`` coordinates are confirmed on the
    full sets, and the components grow. The hub is the member whose tokens are the commonest, as an original
    among its edited copies is; then the same outside of the list's main component.
@@ -47,6 +48,7 @@ from .common import free_names, shingle_hashes, steps, word_hashes, written
 
 COORDINATES = 32
 MISS = 1e-6
+#: Rounds of one hub a list, after the first, of one hub a node.
 HUB_ROUNDS = 2
 #: Lists of more members are searched with the bound on differences.
 LONG_LIST = 16
@@ -158,6 +160,14 @@ def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _first_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of each node and, of the hubs of its lists with sizes near enough, the one with the commonest tokens."""
+    hubs = hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("weight").alias("hub_weight"))
+    met = members.join(hubs, "token").where((F.col("node") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent))
+    one = met.groupBy("node").agg(F.max(F.struct("hub_weight", "hub"))["hub"].alias("hub"))
+    return one.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _main(lists: DataFrame) -> DataFrame:
     """(token, main): the component with most members of a list."""
     return lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
@@ -165,7 +175,7 @@ def _main(lists: DataFrame) -> DataFrame:
 
 def _central(lists: DataFrame) -> DataFrame:
     """(token, hub fields) of the member with the commonest tokens."""
-    return lists.groupBy("token").agg(F.max_by(F.struct("node", "n", "component"), F.struct("weight", "node")).alias("hub")).select("token", "hub.*")
+    return lists.groupBy("token").agg(F.max_by(F.struct("node", "n", "component", "weight"), F.struct("weight", "node")).alias("hub")).select("token", "hub.*")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,7 +286,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), "node long, half long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     links = found = tested = None
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(HUB_ROUNDS + 2):
         lists = active.withColumn("component", F.col("node")) if found is None else active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if found is not None:
             apart = written(lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens-apart")
@@ -284,8 +294,10 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             if not lists.limit(1).count():
                 break
         if turn == 0:
+            pairs = _first_pairs(lists, written(_central(lists), "hubs"), percent)
+        elif turn == 1:
             pairs = _pairs(lists, written(_central(lists), "hubs"), percent)
-        elif turn < HUB_ROUNDS:
+        elif turn <= HUB_ROUNDS:
             outside = lists.join(written(_main(lists), "lists-main"), "token").where("component != main")
             pairs = _pairs(lists, written(_central(outside), "hubs"), percent)
         else:
