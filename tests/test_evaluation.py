@@ -379,3 +379,10 @@ def test_no_window_holds_all_rows_of_a_group(spark):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         ranks = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
         assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") == len(ranks) and "Window [rank(" not in plan
+
+
+def test_walk_forward_joins_orders_once(spark):
+    from tidemark import plans
+
+    plan = plans.QUERIES["h_walk_forward"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "l_orderkey" not in plan  # eight fits read a written table
