@@ -97,6 +97,26 @@ def test_matches_are_never_accepted(spark):
     assert got == {1: ([7, 8], "ambiguous"), 2: ([], "unmatched")}
 
 
+def test_matches_as_text(spark):
+    left = spark.createDataFrame([(1, "Joao Pedro"), (2, "Nobody"), (3, None), (4, "x")], "id int, name string")
+    right = spark.createDataFrame([(10, "João Pedro"), (9, "JOAO  PEDRO"), (None, "x"), (5, None)], "rid int, rname string")
+    ids = {"left_id": "id", "left_name": "name", "right_id": "rid", "right_name": "rname"}
+    got = {r["id"]: (r["candidates"], r["status"]) for r in identity.match_proposals(left, right, **ids, separator=",").collect()}
+    assert got == {1: ("9,10", "ambiguous"), 2: ("", "unmatched"), 3: ("", "unmatched"), 4: ("", "unmatched")}
+    lists = {r["id"]: (",".join(map(str, r["candidates"])), r["status"]) for r in identity.match_proposals(left, right, **ids).collect()}
+    assert got == lists
+
+
+def test_matches_as_text(spark):
+    left = spark.createDataFrame([(1, "Joao Pedro"), (2, "Nobody"), (3, None), (4, "x")], "id int, name string")
+    right = spark.createDataFrame([(10, "João Pedro"), (9, "JOAO  PEDRO"), (None, "x"), (5, None)], "rid int, rname string")
+    ids = {"left_id": "id", "left_name": "name", "right_id": "rid", "right_name": "rname"}
+    got = {r["id"]: (r["candidates"], r["status"]) for r in identity.match_proposals(left, right, **ids, separator=",").collect()}
+    assert got == {1: ("9,10", "ambiguous"), 2: ("", "unmatched"), 3: ("", "unmatched"), 4: ("", "unmatched")}
+    lists = {r["id"]: (",".join(map(str, r["candidates"])), r["status"]) for r in identity.match_proposals(left, right, **ids).collect()}
+    assert got == lists
+
+
 def make_facts(spark):
     s = spark.createDataFrame(
         [(1, 9, 3, T0 + dt.timedelta(hours=2), 1, 2, 2.0, 4.0, T0 - dt.timedelta(days=1)), (2, 9, 3, T0 + dt.timedelta(hours=9), 3, 1, 5.0, 3.0, T0 - dt.timedelta(days=2)), (3, 9, 3, T0 + dt.timedelta(hours=9), 1, 4, 1.0, 1.0, T0)],

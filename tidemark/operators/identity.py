@@ -77,13 +77,19 @@ def resolved(rows: DataFrame, aliases: DataFrame, *, alias: str, supplied: str,
     return found.withColumn("problem", problem).select(*rows.columns, "problem", F.when(F.col("problem").isNull(), F.coalesce(supplied, by_alias)).alias(entity))
 
 
-def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
-    """(left_id, candidates, status): unmatched, candidate or ambiguous by normalised name. Nothing is accepted here."""
-    names = right.groupBy(plain_name(F.col(right_name)).alias("_name")).agg(F.array_sort(F.collect_set(right_id)).alias("_found"))
+def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_name: str, right_id: str, right_name: str, separator: str | None = None) -> DataFrame:
+    """(left_id, candidates, status): unmatched, candidate or ambiguous by normalised name. Nothing is accepted here.
+
+    With a separator the candidates are one text of their ids, which is made once for each name and not for each row.
+    """
+    names = right.groupBy(plain_name(F.col(right_name)).alias("_name")).agg(F.array_sort(F.collect_set(right_id)).alias("_found")).withColumn("_n", F.size("_found"))
+    if separator is not None:
+        names = names.withColumn("_found", F.array_join(F.col("_found").cast("array<string>"), separator))
     joined = left.withColumn("_name", plain_name(F.col(left_name))).join(names, "_name", "left")
-    found = F.coalesce("_found", F.array().cast(names.schema["_found"].dataType))
-    status = F.when(F.size(found) == 0, "unmatched").when(F.size(found) == 1, "candidate").otherwise("ambiguous")
-    return joined.select(left_id, found.alias("candidates"), status.alias("status"))
+    none = F.array().cast(names.schema["_found"].dataType) if separator is None else F.lit("")
+    n = F.coalesce("_n", F.lit(0))
+    status = F.when(n == 0, "unmatched").when(n == 1, "candidate").otherwise("ambiguous")
+    return joined.select(left_id, F.coalesce("_found", none).alias("candidates"), status.alias("status"))
 
 
 def registry_violations(registry: DataFrame, key: Sequence[str], *, foreign_id: str, audited: Sequence[str] = ("manual", "audited")) -> DataFrame:
