@@ -249,3 +249,32 @@ def test_near_copies_give_a_link_a_node(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "components", lambda links, own=near_dedup.components: counts.append(links.count()) or own(links))
     assert near_dedup.near_groups(docs).where("component_id = 0").count() == 200
     assert counts and max(counts) <= 200  # several hubs a node gave several times that
+
+
+def test_components_leave_out_settled_links(spark, monkeypatch):
+    rng = random.Random(4)
+    star = [(min(500, k), max(500, k)) for k in range(1000) if k != 500]
+    way = rng.sample(range(2000, 3000), 40)  # as nodes are digests, in no order
+    path = [tuple(sorted(x)) for x in zip(way, way[1:])]
+    loose = [tuple(sorted(rng.sample(range(3000, 3060), 2))) for _ in range(40)] + [(4000, 4000)]
+    at = {}
+
+    def root(k):
+        while at.setdefault(k, k) != k:
+            k = at[k]
+        return k
+
+    for a, b in star + path + loose:
+        x, y = sorted((root(a), root(b)))
+        at[y] = x
+    gone = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, own=near_dedup.written: (made := own(df, name), gone.append((name, made.count())))[0])
+    table_ = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    found = near_dedup.components(table_(star + path + loose))
+    assert dict(map(tuple, found.collect())) == {k: root(k) for k in at}
+    links = [n for name, n in gone if name == "links"]
+    assert len(links) < 9
+    assert links == sorted(links, reverse=True) and links[-1] == 0 and sum(links) < len(star + path + loose)
+    grown = near_dedup._grown(near_dedup.components(table_(star + path)), table_([*star, (7, way[9]), (8, 9), (5000, 6000), (999, 5000)]))
+    want = {k: 0 for a, b in star + path for k in (a, b)} | {5000: 0, 6000: 0}
+    assert dict(map(tuple, grown.collect())) == want

@@ -254,18 +254,43 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: i
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of a link (a, b). Each turn takes neighbours' components and then jumps to the component's own."""
-    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")), "links")
-    found = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "components")
+    """(node, component): the smallest node reachable, for every node of a link (a, b).
+
+    Each turn names every node by its smallest neighbour, if that is smaller, and links by the names of their ends; links inside one name are
+    gone, so what a turn reads shrinks. Nodes are digests: their order has nothing to do with links, and chains of falling names are short.
+    Names are followed from the last turn back.
+    """
+    turns = []
     while True:
-        near = both.join(found.select(F.col("node").alias("other"), F.col("component").alias("reached")), "other").groupBy("node").agg(F.min("reached").alias("reached"))
-        joined = found.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "reached").alias("component"))
-        jump = found.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        turned = written(joined.join(jump, "component", "left").select("node", "old", F.least("component", "further").alias("component")), "components")
-        changed = turned.where("component != old").limit(1).count()
-        found = turned.select("node", "component")
-        if not changed:
-            return found
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+        named = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "components")
+        turns.append(named)
+        one, two = (named.select(F.col("node").alias(c), F.col("component").alias(f"name_{c}")) for c in ("a", "b"))
+        met = links.join(one, "a").join(two, "b").where("name_a != name_b")
+        links = written(met.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct(), "links")
+        if not links.limit(1).count():
+            break
+    found = turns.pop()
+    while turns:
+        found = written(_renamed(turns.pop(), found), "components")
+    return found
+
+
+def _renamed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """``found`` (node, component) with each component by its own name, if it has one."""
+    further = names.select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return found.join(further, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+
+
+def _grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with further links, of which only those between components are gone through."""
+    if found is None:
+        return components(links)
+    one, two = (found.select(F.col("node").alias(c), F.col("component").alias(f"name_{c}")) for c in ("a", "b"))
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("name_a", "a").alias("a"), F.coalesce("name_b", "b").alias("b"))
+    names = components(written(between.where("a != b").distinct(), "links"))
+    new = names.join(found.select("node"), "node", "left_anti")
+    return written(_renamed(found, names).unionByName(new), "components")
 
 
 def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -285,7 +310,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     chosen = rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
     sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), "node long, half long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    links = found = tested = None
+    found = tested = None
     for turn in range(HUB_ROUNDS + 2):
         lists = active.withColumn("component", F.col("node")) if found is None else active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if found is not None:
@@ -308,9 +333,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if turn and not pairs.limit(1).count():
             continue  # the last round finds pairs that no hub has
         tested = pairs if tested is None else tested.union(pairs)
-        new = _confirmed(pairs, nodes, sets, threshold, percent)
-        links = written(new if links is None else links.union(new), "confirmed")
-        found = components(links)
+        found = _grown(found, written(_confirmed(pairs, nodes, sets, threshold, percent), "confirmed"))
 
     named = nodes.select("node", "first_id").join(found, "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("name"))
