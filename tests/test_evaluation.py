@@ -386,3 +386,23 @@ def test_walk_forward_joins_orders_once(spark):
 
     plan = plans.QUERIES["h_walk_forward"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "l_orderkey" not in plan  # eight fits read a written table
+
+
+@pytest.mark.parametrize("key", [["id"], ["id", "half"]])
+def test_first_rows_of_large_groups(spark, key, monkeypatch):
+    """No group's rows are sorted to find its first ones, and ties, nulls and NaN stand where a sort puts them."""
+    monkeypatch.setattr(metrics, "LARGE", 100)
+    n = F.col("n")
+    rows = spark.range(30_000).withColumnRenamed("id", "n").select(
+        F.when(n < 29_000, n % 3).otherwise(F.when(n < 29_990, F.lit(None)).otherwise(7)).alias("g"),  # two groups of all sizes, a null one, a small one
+        F.when(n % 3 == 0, F.lit(0.5)).when(n % 3 == 1, (n * 7919 % 10_007) / 100).when(n % 3 == 2, F.when(n < 400, 2.0).when(n % 2 == 0, 1.0)).alias("v"),
+        F.when(n % 9_001 != 0, n * 104_729 % 30_011).alias("id"), (n % 2).alias("half"),
+    )
+    rows = rows.withColumn("v", F.when(F.col("id") % 9_999 == 5, float("nan")).otherwise(F.col("v")))
+    for k in (1, 10, 20):
+        got = metrics.first_rows(rows, ["g"], "v", key, k, "r").collect()
+        want = metrics.ranked(rows, ["g"], "v", key, "r").where(F.col("r") <= k).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    large = metrics.contenders(rows, ["g"], "v", key, 10)
+    assert 40 <= large.count() < 600
+    assert metrics.first_rows(rows.drop("g"), [], "v", key, 3, "r").count() == 3
