@@ -10,7 +10,7 @@ from tidemark.operators import build
 T0 = datetime(2025, 1, 10)
 
 
-def tables(spark, **change):
+def tables(spark, kept=None, **change):
     rows = {
         "schedule": [(2024, 9, 901, T0 + timedelta(1), T0 - timedelta(5), 1, 2, 2.0, 3.0), (2024, 10, 902, T0 + timedelta(8), T0 - timedelta(4), 8, 3, 2.0, 4.0)],
         "snapshots": [(2024, 9, 7, 1, T0, T0 - timedelta(hours=2)), (2024, 10, 7, 8, T0 + timedelta(7), T0 + timedelta(6))],
@@ -24,7 +24,13 @@ def tables(spark, **change):
         "outcomes": "era int, occurrence_id long, alias long, exposure long, outcome long, period int, side string",
     }
     made = {n: spark.createDataFrame(rows[n], schemas[n]) for n in rows}
-    return build.build(made["outcomes"], made["schedule"], made["snapshots"], made["registry"], lambda df, name: df.cache())
+    return build.build(made["outcomes"], made["schedule"], made["snapshots"], made["registry"], lambda df, name: ([] if kept is None else kept).append(name) or df.cache())
+
+
+def test_what_stages_share_is_written_once(spark):
+    kept = []
+    tables(spark, kept)
+    assert "snapshots" in kept and len(set(kept)) == len(kept)
 
 
 def test_a_transfer_gives_each_period_its_group(spark):

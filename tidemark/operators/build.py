@@ -77,10 +77,11 @@ def reconciliation_violations(report: DataFrame) -> DataFrame:
 def build(outcomes: DataFrame, schedule: DataFrame, snapshots: DataFrame, registry: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> Built:
     """Schedule, snapshots, contexts, period rows, facts, labels, reconciliation, each checked before the next is made.
 
-    ``keep(table, name)`` writes what several stages read (facts and period rows) and gives it back. Asking whether a stage has
+    ``keep(table, name)`` writes what several stages read (snapshots, facts and period rows) and gives it back. Asking whether a stage has
     violations is a job that ends with the first row found; nothing is collected.
     """
     made: dict[str, DataFrame] = {}
+    snapshots = keep(snapshots, "snapshots")
 
     def rows_checked() -> DataFrame:
         made["rows"] = keep(facts.period_rows(snapshots, facts.announced(snapshots, schedule)), "period-rows")

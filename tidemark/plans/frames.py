@@ -191,6 +191,7 @@ def _build(spark: SparkSession, sf_dir: str, wrong: int | None = None) -> build.
         key.alias("occurrence_id"), F.year("o_orderdate").alias("era"), F.month("o_orderdate").alias("period"), month.alias("cutoff"), (F.col("o_orderdate") + F.expr("INTERVAL 12 HOURS")).alias("kickoff"), customer.alias("customer"),
         group(customer, F.year("o_orderdate")).alias("home"), (-1 - customer).alias("away"), F.lit(1.0).alias("home_difficulty"), F.lit(2.0).alias("away_difficulty"), (month - F.make_dt_interval(days=key % 9 + 1)).alias("available_at"),
     )
+    s = stored(s, "schedule")  # orders meet customers once for all stages
     snapshots = s.select("era", "period", F.col("customer").alias("entity"), F.col("home").alias("own_group"), "cutoff", (F.col("cutoff") - F.expr("INTERVAL 2 HOURS")).alias("captured_at")).distinct()
     outcomes = s.select("era", "occurrence_id", F.col("customer").alias("alias"), (F.col("occurrence_id") * 37 % 91).alias("exposure"), (F.col("occurrence_id") % 13 - 1).alias("outcome"), "period", F.lit("home").alias("side"))
     if wrong:
