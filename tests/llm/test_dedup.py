@@ -278,3 +278,28 @@ def test_components_leave_out_settled_links(spark, monkeypatch):
     grown = near_dedup._grown(near_dedup.components(table_(star + path)), table_([*star, (7, way[9]), (8, 9), (5000, 6000), (999, 5000)]))
     want = {k: 0 for a, b in star + path for k in (a, b)} | {5000: 0, 6000: 0}
     assert dict(map(tuple, grown.collect())) == want
+
+
+def test_texts_that_share_a_half_are_no_pairs(spark, monkeypatch):
+    rng = random.Random(14)
+    core = [f"c{k}" for k in range(104)]  # two sets share 100 of 100 + 2 * 50: enough for their lists, far from linked
+    texts = [core + [f"o{k}x{j}" for j in range(50)] for k in range(60)]
+    texts += [edited(rng, texts[0], 1).split(" ") for _ in range(3)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    made = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, own=near_dedup.written: (out := own(df, name), made.append((name, out.count())))[0])
+    got = near_dedup.near_groups(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == near_by_force(rows, 5, 80)
+    assert sum(n for name, n in made if name == "pairs") < 60
+
+
+def test_sketches_miss_less_than_promised():
+    rng = near_dedup.np.random.default_rng(5)
+    for percent in (80, 85):
+        n, least = 1000, near_dedup.sketch_threshold(percent)
+        own = 2 * percent * n // (100 + percent) + 1  # of two sets of n
+        for _ in range(40):
+            codes = rng.integers(0, 1 << 63, 2 * n - own, dtype="uint64")
+            one, two = near_dedup._sketches(near_dedup.np.concatenate([codes[:n], codes[n - own :]]), near_dedup.np.array([0, n]))
+            differ = sum(int(x).bit_count() for x in (one ^ two).view("uint64"))
+            assert near_dedup.SKETCH - differ >= least

@@ -11,8 +11,8 @@
 3. Posting lists are merged round by round. The first round pairs each node with one hub, the commonest of its
    lists' hubs, so that a group of near copies gives one link a node and not one a list. The next rounds pair
    each list's members with one hub of the list, leaving out (skip) members that the components found so far already join to it and sizes that can't
-   reach the similarity. Pairs that collide in at least ``match_threshold`` coordinates are confirmed on the
-   full sets, and the components grow. The hub is the member whose tokens are the commonest, as an original
+   reach the similarity. Of the posted sets a sketch of ``SKETCH`` bits is made, one of each of as many further minima, and goes into the lists: members
+   whose sketches differ too much aren't paired at all. Pairs are confirmed on the full sets, and the components grow. The hub is the member whose tokens are the commonest, as an original
    among its edited copies is; then the same outside of the list's main component.
 4. The last round pairs what is still apart: every list's members outside its main component with all
    members of other components, so no link between components goes untested. In a long list a pair is
@@ -23,7 +23,7 @@
    Hubs are searched in bands of sizes and of distances from the hub, which differ too much in sets that
    can't be linked; a set with too many shingles of its own is left out altogether.
 
-Collisions are counted on the signatures of the pairs that the posting lists bring together. Hot lists and
+Sketches are compared where members and hubs of a list meet, so what can't be linked is no row of any later step. Hot lists and
 hubs are joined by plain equi-joins with written tables, whose large keys adaptive execution splits; counts
 are aggregated before the shuffle. Tables that several steps read are written to the shared folder.
 
@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,9 @@ from .common import free_names, shingle_hashes, steps, word_hashes, written
 
 COORDINATES = 32
 MISS = 1e-6
+#: Bits of a sketch; the longs that hold them.
+SKETCH = 256
+SKETCHED = [f"sketch_{k}" for k in range(SKETCH // 64)]
 #: Rounds of one hub a list, after the first, of one hub a node.
 HUB_ROUNDS = 2
 #: Lists of more members are searched with the bound on differences.
@@ -65,9 +69,10 @@ def _not_space() -> np.ndarray:
 
 INSIDE = _not_space()
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+def match_threshold(percent: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
     """The most collisions that sets of exactly the asked similarity fall short of with at most the probability ``miss``."""
     p, below, t = percent / 100, 0.0, 0
     while t < coordinates:
@@ -78,6 +83,13 @@ def match_threshold(percent: int, coordinates: int = COORDINATES, miss: float =
     return max(1, t)
 
 
+def sketch_threshold(percent: int) -> int:
+    """The most equal bits that sketches of sets of exactly the asked similarity fall short of with what ``match_threshold`` leaves of ``MISS``: two minima are the same as often as sets are similar, and bits of different ones are equal by half."""
+    p = percent / 100
+    missed = sum(math.comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t) for t in range(match_threshold(percent)))
+    return match_threshold((100 + percent) / 2, SKETCH, MISS - missed)
+
+
 def _sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(*word_hashes(data, off, INSIDE), size)
 
@@ -109,6 +121,14 @@ def _sign(size: int):
     return run
 
 
+def _sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of longs for each set, none of them empty."""
+    bits = np.empty((len(starts), SKETCH), np.uint8)
+    for k in range(SKETCH) if len(starts) else ():
+        bits[:, k] = (np.minimum.reduceat((flat ^ _SKETCH_SEEDS[0, k]) * _SKETCH_SEEDS[1, k], starts) >> np.uint64(32)) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in steps(batches, "text"):
@@ -116,9 +136,11 @@ def _full_sets(size: int):
             own = [np.unique(codes[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
             own = [x for x in own if len(x)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-            flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            flat = np.concatenate(own) if own else np.empty(0, np.uint64)
+            sketches = _sketches(flat, offsets[:-1])
             nodes = [_node(x) for x in own]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "half", "shingles"])
+            columns = [*(pa.array([x[k] for x in nodes], pa.int64()) for k in (0, 1)), *(pa.array(np.ascontiguousarray(x)) for x in sketches.T)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], ["node", "half", *SKETCHED, "shingles"])
 
     return run
 
@@ -153,29 +175,38 @@ def _postings(nodes: DataFrame, prefix: int) -> DataFrame:
     return ranked.where(room > 0).select("node", "n", "weight", F.explode(F.slice("own", F.lit(1), room)).alias("own")).select(F.col("own.token").alias("token"), "node", "n", "weight")
 
 
+def _alike(prefix: str, percent: int) -> Column:
+    """The sketch of a row and that whose columns begin with the prefix may be those of linked sets."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(prefix + c))) for c in SKETCHED))
+    return differ <= SKETCH - sketch_threshold(percent)
+
+
+def _hubs(hubs: DataFrame) -> DataFrame:
+    return hubs.select("token", F.col("node").alias("hub"), *(F.col(c).alias(f"hub_{c}") for c in ("n", "component", "weight", *SKETCHED)))
+
+
 def _pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of members and hubs of a list in different components with sizes near enough."""
-    hubs = hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    met = members.join(hubs, "token").where((F.col("component") != F.col("hub_component")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent))
+    """Distinct (a, b), a < b, of members and hubs of a list in different components with sizes and sketches near enough."""
+    met = members.join(_hubs(hubs), "token").where((F.col("component") != F.col("hub_component")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent) & _alike("hub_", percent))
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _first_pairs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of each node and, of the hubs of its lists with sizes near enough, the one with the commonest tokens."""
-    hubs = hubs.select("token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("weight").alias("hub_weight"))
-    met = members.join(hubs, "token").where((F.col("node") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent))
+    """Distinct (a, b), a < b, of each node and, of the hubs of its lists with sizes and sketches near enough, the one with the commonest tokens."""
+    met = members.join(_hubs(hubs), "token").where((F.col("node") != F.col("hub")) & _similar_sizes(F.col("n"), F.col("hub_n"), percent) & _alike("hub_", percent))
     one = met.groupBy("node").agg(F.max(F.struct("hub_weight", "hub"))["hub"].alias("hub"))
     return one.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _main(lists: DataFrame) -> DataFrame:
-    """(token, main): the component with most members of a list."""
-    return lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    """(token, main, members): the component with most members of a list, and how many members it has; lists of one component are left out."""
+    counts = lists.groupBy("token", "component").count().groupBy("token")
+    return counts.agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
 
 
-def _central(lists: DataFrame) -> DataFrame:
-    """(token, hub fields) of the member with the commonest tokens."""
-    return lists.groupBy("token").agg(F.max_by(F.struct("node", "n", "component", "weight"), F.struct("weight", "node")).alias("hub")).select("token", "hub.*")
+def _central(lists: DataFrame, parts: int = 2) -> DataFrame:
+    """(token, hub fields) of the member with the commonest tokens, of the lists with members of several components (with ``parts`` 1 of all)."""
+    return lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("node", "n", "component", "weight", *SKETCHED), F.struct("weight", "node")).alias("hub")).where("low < high" if parts > 1 else "true").select("token", "hub.*")
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,20 +219,19 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return lost.select("node", "hub", (F.col("size") - F.col("hub_size") + removed).alias("added"), removed.alias("removed"), missing.alias("missing"))
 
 
-def _banded(rows: DataFrame, percent: int, spread: bool) -> DataFrame:
-    """The rows under every (low, high, place) in which a set that may be linked can stand.
+def _banded(rows: DataFrame, percent: int, first: bool) -> DataFrame:
+    """The rows under every (band_one, band_two, place) in which a set that may be linked can stand, as the first or the second of a pair.
 
-    Linked sets are in the same band of sizes or in bands next to each other (low, high), and what they add
+    Linked sets are in the same band of sizes or in bands next to each other, and what they add
     to the hub and lack of it, taken together, differs by at most the largest difference of two linked sets of
-    these bands: so they have the same place in steps of that width, or places next to each other (``spread``).
+    these bands: so they have the same place in steps of that width, or places next to each other (so the first stands in three). A pair meets once at most.
     """
     grows = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / grows))
-    pair = F.explode(F.array(*(F.struct(F.least(F.col("band"), F.col("band") + d).alias("low"), F.greatest(F.col("band"), F.col("band") + d).alias("high")) for d in (-1, 0, 1))))
-    rows = rows.withColumn("_pair", pair).withColumns({"low": F.col("_pair.low"), "high": F.col("_pair.high")}).drop("_pair")
-    width = F.floor(2 * (100 - percent) / (100 + percent) * F.exp((F.col("high") + 1) * grows)) + 1
+    own, other = ("band_one", "band_two") if first else ("band_two", "band_one")
+    rows = rows.withColumn(own, F.floor(F.log(F.col("n").cast("double")) / grows)).withColumn(other, F.explode(F.array(*(F.col(own) + d for d in (-1, 0, 1)))))
+    width = F.floor(2 * (100 - percent) / (100 + percent) * F.exp((F.greatest("band_one", "band_two") + 1) * grows)) + 1
     place = F.floor((F.col("added") + F.col("alone") + F.col("removed")) / width)
-    return rows.withColumn("place", F.explode(F.array(place - 1, place, place + 1)) if spread else place)
+    return rows.withColumn("place", F.explode(F.array(place - 1, place, place + 1)) if first else place)
 
 
 def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,8 +239,7 @@ def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Long lists are searched by their hub, so members that meet in many lists of one hub meet once.
     """
-    of_list = written(lists.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("members")), "lists-main")
-    sized = written(lists.join(of_list, "token"), "lists-sized")
+    sized = written(lists.join(written(_main(lists), "lists-main"), "token"), "lists-sized")
     short = sized.where(F.col("members") <= LONG_LIST)
     pairs = _pairs(short.where("component != main"), short, percent)
     long = sized.where(F.col("members") > LONG_LIST)
@@ -219,38 +248,33 @@ def _apart_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = written(sets.join(long.select("node").distinct(), "node", "left_semi"), "sets-apart")
     single = own.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
     alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    hubbed = long.join(written(_central(long).select("token", F.col("node").alias("hub")), "lists-hubs"), "token").groupBy("hub", "node", "n", "component").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart"))
+    hubbed = long.join(written(_central(long).select("token", F.col("node").alias("hub")), "lists-hubs"), "token").groupBy("hub", "node", "n", "component", *SKETCHED).agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart"))
     near = _distances(hubbed.select("node", "hub"), own)
     placed = hubbed.join(near, ["node", "hub"]).join(alone, "node", "left")
     # A hub's own single shingles are among what the others lack, so they don't count again.
     is_hub = F.col("node") == F.col("hub")
     known = placed.withColumn("alone", F.when(is_hub, 0).otherwise(F.coalesce("alone", F.lit(0)))).withColumn("added", F.col("added") - F.col("alone"))
-    known = written(known.select("hub", "node", "n", "component", "apart", "alone", "added", "removed", "missing"), "lists-placed")
+    known = written(known.select("hub", "node", "n", "component", *SKETCHED, "apart", "alone", "added", "removed", "missing"), "lists-placed")
     # What no other set has is in the difference to any set: too much of it, and the node has no partner at all.
     largest = F.col("n") * (1 + 100 / percent)
     known = known.where(is_hub | ((100 + percent) * F.col("alone") <= (100 - percent) * largest + 1))
     one, two = _banded(known.where("apart = 1"), percent, True), _banded(known, percent, False)
-    two = two.select("hub", "low", "high", "place", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", "apart", "alone", "added", "removed", "missing", "band")))
+    two = two.select("hub", "band_one", "band_two", "place", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "component", *SKETCHED, "apart", "alone", "added", "removed", "missing")))
     least = F.col("alone") + F.col("other_alone") + F.abs(F.col("added") - F.col("other_added"))
-    by_parts = F.aggregate(F.zip_with("missing", "other_missing", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    by_parts = reduce(lambda x, y: x + y, (F.abs(F.get("missing", F.lit(k)) - F.get("other_missing", F.lit(k))) for k in range(PARTS)))
     room = (100 - percent) * (F.col("n") + F.col("other_n"))
     may = ((100 + percent) * (least + F.abs(F.col("removed") - F.col("other_removed"))) <= room) & ((100 + percent) * (least + by_parts) <= room)
     once = (F.col("other_apart") == 0) | (F.col("node") < F.col("other_node"))
-    banded = (F.least("band", "other_band") == F.col("low")) & (F.greatest("band", "other_band") == F.col("high"))
-    met = one.join(two, ["hub", "low", "high", "place"]).where(banded & (F.col("component") != F.col("other_component")) & once & _similar_sizes(F.col("n"), F.col("other_n"), percent) & may)
+    met = one.join(two, ["hub", "band_one", "band_two", "place"]).where((F.col("component") != F.col("other_component")) & once & _similar_sizes(F.col("n"), F.col("other_n"), percent) & _alike("other_", percent) & may)
     return pairs.union(met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))).distinct()
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: int, percent: int) -> DataFrame:
-    """The pairs that collide often enough and whose full sets are as similar as asked."""
-    one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
-    collisions = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    retained = pairs.join(one, "a").join(two, "b").where(collisions >= threshold).select("a", "b")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are as similar as asked."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return retained.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,30 +325,27 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     signed = _told_apart(signed, clashes)
     known = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    threshold = match_threshold(percent)
-    postings = written(_postings(nodes, COORDINATES - threshold + 1), "postings")
+    postings = written(_postings(nodes, COORDINATES - match_threshold(percent) + 1), "postings")
     repeated = written(postings.groupBy("token").count().where("count > 1").select("token"), "tokens")
-    active = written(postings.join(repeated, "token"), "lists")
+    active = postings.join(repeated, "token")
     wanted = nodes.join(active.select("node").distinct(), "node", "left_semi").select("node", F.col("first_id").alias("doc_id"))
     ids = written(wanted.select("doc_id").distinct(), "ids")
     chosen = rows.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids, "doc_id", "left_semi")
-    sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), "node long, half long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(_told_apart(chosen.mapInArrow(_full_sets(shingle), f"node long, half long, {' long, '.join(SKETCHED)} long, shingles array<long>"), clashes).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
+    active = written(active.join(sets.select("node", *SKETCHED), "node"), "lists")
     found = tested = None
     for turn in range(HUB_ROUNDS + 2):
-        lists = active.withColumn("component", F.col("node")) if found is None else active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if found is not None:
-            apart = written(lists.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens-apart")
-            lists = written(lists.join(apart, "token"), "lists-apart")
-            if not lists.limit(1).count():
-                break
-        if turn == 0:
-            pairs = _first_pairs(lists, written(_central(lists), "hubs"), percent)
-        elif turn == 1:
-            pairs = _pairs(lists, written(_central(lists), "hubs"), percent)
-        elif turn <= HUB_ROUNDS:
-            outside = lists.join(written(_main(lists), "lists-main"), "token").where("component != main")
-            pairs = _pairs(lists, written(_central(outside), "hubs"), percent)
+        if found is None:
+            lists = active.withColumn("component", F.col("node"))
+        else:
+            lists = written(active.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "lists-named")
+        if turn <= HUB_ROUNDS:
+            outside = lists if turn < 2 else lists.join(written(_main(lists), "lists-main"), "token").where("component != main")
+            hubs = written(_central(outside, 2 if turn < 2 else 1), "hubs")
+            if turn == 1 and not hubs.limit(1).count():
+                break  # no list has members of several components
+            pairs = _pairs(lists, hubs, percent) if turn else _first_pairs(lists, hubs, percent)
         else:
             pairs = _apart_pairs(lists, sets, percent)
         if tested is not None:
@@ -333,7 +354,7 @@ def near_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if turn and not pairs.limit(1).count():
             continue  # the last round finds pairs that no hub has
         tested = pairs if tested is None else tested.union(pairs)
-        found = _grown(found, written(_confirmed(pairs, nodes, sets, threshold, percent), "confirmed"))
+        found = _grown(found, written(_confirmed(pairs, sets, percent), "confirmed"))
 
     named = nodes.select("node", "first_id").join(found, "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("name"))
