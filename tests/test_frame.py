@@ -1,11 +1,12 @@
 """The feature frame on small histories with known values."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import facts, frame
+from tidemark.operators import facts, features, frame
 
 CUTOFF = datetime(2025, 3, 1)
 ROWS = "era int, period int, entity long, own_group long, cutoff timestamp_ntz, captured_at timestamp_ntz, position string, price long, status string, status_state string, chance double, chance_state string, forecast double, forecast_state string, foreign_id long, source_id string"
@@ -112,3 +113,25 @@ def test_histories(spark):
     assert (row["scored"], row["conceded"], row["expected"], row["expected_conceded"], row["available_at"]) == (2.0, 1.0, 0.5, None, CUTOFF + timedelta(hours=3))
     two = {r["own_group"]: (r["scored"], r["conceded"], r["expected"], r["expected_conceded"]) for r in frame.two_sided(spark.createDataFrame(result_rows()[:1], RESULTS)).collect()}
     assert two == {1: (1.0, 2.0, 0.5, None), 2: (2.0, 1.0, None, 0.5)}
+
+
+def test_numbers_are_not_read_as_text(spark):
+    text, number = (spark.createDataFrame([(2024, 1, 1, CUTOFF, "home", x, 1.0)], f"era int, entity long, occurrence_id long, kickoff timestamp_ntz, side string, exposure {t}, outcome double") for t, x in (("string", "90"), ("double", 90.0)))
+    plans = [frame.entity_history(rows)._jdf.queryExecution().toString().lower() for rows in (text, number)]
+    assert ["rlike" in p for p in plans] == [True, False]
+    odd = [float("nan"), float("inf"), float("-inf"), None, -0.0, 1e300, 5e-324, 2.5]
+    rows = spark.createDataFrame([(2024, 1, k, CUTOFF, "home", x, 1.0) for k, x in enumerate(odd)], number.schema)
+    assert [r["exposure"] for r in frame.entity_history(rows).orderBy("occurrence_id").collect()] == [None] * 4 + odd[4:]
+
+
+@pytest.mark.parametrize("most", [1, 5])
+def test_last_rows_of_a_long_history_are_bounded_before_they_meet_the_cutoffs(spark, most):
+    rng = random.Random(11)
+    rows = [(rng.choice([2024, 2025]), g, k, day(rng.randint(-30, 10)), day(rng.randint(-30, 10)), rng.choice([None, day(rng.randint(-30, 12))])) for g in (1, 2, None) for k in range(300)]
+    history = spark.createDataFrame(rows, "era int, own_group long, occurrence_id long, kickoff timestamp_ntz, completed_at timestamp_ntz, available_at timestamp_ntz")
+    marks = spark.createDataFrame([(2024, g, day(d)) for g in (1, 2, 3) for d in range(-28, 12, 4)] + [(2025, 1, day(0)), (2025, 1, None)], "era int, own_group long, cutoff timestamp_ntz")
+    by, order = ["own_group", "era", "cutoff"], ["kickoff", "occurrence_id"]
+    columns = [*by, "occurrence_id", "recency"]
+    want = features.last_rows(features.eligible(history, marks, entity="own_group"), by, order, most).select(columns).collect()
+    got = features.last_known(history, marks, order, most, entity="own_group").select(columns).collect()
+    assert len(got) > 15 and sorted(got) == sorted(want)

@@ -39,6 +39,18 @@ def last_rows(rows: DataFrame, by: Sequence[str], order: Sequence[str], most: in
     return rows.withColumn("recency", F.row_number().over(window)).where(F.col("recency") <= most)
 
 
+def last_known(history: DataFrame, cutoffs: DataFrame, order: Sequence[str], most: int, *, entity: str = "entity", era: str = "era") -> DataFrame:
+    """``last_rows`` of ``eligible`` for entities with long histories: rows aren't repeated for each cutoff before they are ranked.
+
+    All rows that become known between two cutoffs count for the same ones, so only the last of them do. These meet the cutoffs.
+    """
+    marks = cutoffs.groupBy(entity, era).agg(F.sort_array(F.collect_set("cutoff")).alias("_cutoffs"))
+    since = F.get(F.filter("_cutoffs", lambda c: c > F.greatest("completed_at", "available_at")), F.lit(0))
+    placed = history.join(marks, [entity, era]).withColumn("_since", since).where("_since IS NOT NULL").drop("_cutoffs")
+    few = last_rows(placed, [entity, era, "_since"], order, most).drop("_since", "recency")
+    return last_rows(eligible(few, cutoffs, entity=entity, era=era), [entity, era, "cutoff"], order, most)
+
+
 def _in(x: Column, n: int) -> Column:
     return F.when(F.col("recency") <= n, x)
 
@@ -118,7 +130,7 @@ def side_matched_mean(history: DataFrame, wanted: DataFrame, n: int = 5) -> Data
 def group_features(results: DataFrame, cutoffs: DataFrame, prefix: str = "own", n: int = 5) -> DataFrame:
     """Last-n features of groups from results (own_group, era, kickoff, occurrence_id, scored, conceded, completed_at, available_at), once for each distinct (group, era, cutoff)."""
     by = ["own_group", "era", "cutoff"]
-    rows = last_rows(eligible(results, cutoffs, entity="own_group"), by, ["kickoff", "occurrence_id"], n)
+    rows = last_known(results, cutoffs, ["kickoff", "occurrence_id"], n, entity="own_group")
     scored, conceded = F.col("scored"), F.col("conceded")
     return rows.groupBy(*by).agg(
         whole_mean(scored, n).alias(f"{prefix}_scored_mean"),

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import STATES, strict_number, unreadable
+from ..functions.scalars import STATES, is_finite, strict_number, unreadable
 from .facts import GROUP, KEY, sides
-from .features import RESTS, completed_at, context_features, days_between, eligible, interactions, last_rows, last_where, official_forecast, per_90, whole_deviation, whole_mean, whole_rate
+from .features import RESTS, completed_at, context_features, days_between, eligible, interactions, last_known, last_where, official_forecast, per_90, whole_deviation, whole_mean, whole_rate
 
 VERSION = "1"
 
@@ -112,8 +112,10 @@ def _require(rows: DataFrame, names: Sequence[str], what: str) -> None:
 
 def _number(rows: DataFrame, name: str) -> Column:
     """A column as a nullable double: text is parsed strictly, numbers are taken if finite."""
-    column = F.col(name).cast("string") if isinstance(rows.schema[name].dataType, T.StringType) else F.col(name).cast("double").cast("string")
-    return strict_number(column)
+    if isinstance(rows.schema[name].dataType, T.StringType):
+        return strict_number(F.col(name).cast("string"))
+    number = F.col(name).cast("double")
+    return F.when(is_finite(number), number)
 
 
 def _first_number(rows: DataFrame, names: Sequence[str]) -> Column:
@@ -172,10 +174,12 @@ def _sources(rows: DataFrame) -> list[Column]:
 
 
 def entity_part(history: DataFrame, marks: DataFrame) -> DataFrame:
-    """All features of an entity's own history for each (entity, era, cutoff), from one ranking over its rows known before the cutoff."""
+    """All features of an entity's own history for each (entity, era, cutoff), from one ranking over its rows known before the cutoff; a row's place on its side is counted in the same order."""
     by = ["entity", "era", "cutoff"]
-    late = [F.col("kickoff").desc(), F.col("occurrence_id").desc()]
-    rows = eligible(history, marks).withColumns({"recency": F.row_number().over(Window.partitionBy(*by).orderBy(*late)), "_side": F.row_number().over(Window.partitionBy(*by, "side").orderBy(*late))})
+    late = Window.partitionBy(*by).orderBy(F.col("kickoff").desc(), F.col("occurrence_id").desc())
+    upto = late.rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(F.col("side") == "home", F.count_if(F.col("side") == "home").over(upto)).when(F.col("side") == "away", F.count_if(F.col("side") == "away").over(upto))
+    rows = eligible(history, marks).withColumns({"recency": F.row_number().over(late), "_side": place})
     played, order = F.col("exposure") > 0, F.struct("kickoff", "occurrence_id")
     exposure, outcome = F.col("exposure"), F.col("outcome")
     return rows.groupBy(*by).agg(
@@ -203,7 +207,7 @@ def entity_part(history: DataFrame, marks: DataFrame) -> DataFrame:
 def group_part(results: DataFrame, marks: DataFrame) -> DataFrame:
     """Features of each (own_group, era, cutoff) from its last five results known before the cutoff."""
     by = ["own_group", "era", "cutoff"]
-    rows = last_rows(eligible(results, marks, entity="own_group"), by, ["kickoff", "occurrence_id"], 5)
+    rows = last_known(results, marks, ["kickoff", "occurrence_id"], 5, entity="own_group")
     scored, conceded = F.col("scored"), F.col("conceded")
     return rows.groupBy(*by).agg(
         whole_mean(scored, 5).alias("scored_mean"),
