@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import baselines, compare, folds, gates, heads, metrics, regret, select
+from tidemark.plans import common
 from tidemark.sources import files
 
 
@@ -406,3 +407,21 @@ def test_first_rows_of_large_groups(spark, key, monkeypatch):
     large = metrics.contenders(rows, ["g"], "v", key, 10)
     assert 40 <= large.count() < 600
     assert metrics.first_rows(rows.drop("g"), [], "v", key, 3, "r").count() == 3
+
+
+def test_tasks_grow_in_number_with_the_lines(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+
+    def rows(made):
+        return {(r["era"], r["period"], r["entity"]): (r["y"], r["p"], r["q"]) for r in made.collect()}
+
+    made = (common.scored, common.chances)
+    want = [rows(f(spark, data)) for f in made]
+    assert common.tasks(spark.read.parquet(f"{data}/lineitem.parquet")) is None  # a small table stays as it is
+    monkeypatch.setattr(common, "TASK_ROWS", 500)
+    n = -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+    for f, own in zip(made, want):
+        dealt = f(spark, data)
+        assert dealt.rdd.getNumPartitions() == n > 4
+        got = rows(dealt)
+        assert got.keys() == own.keys() and all(got[k] == pytest.approx(own[k]) for k in own)
