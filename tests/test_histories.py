@@ -322,3 +322,22 @@ def test_reconciled_without_carrying_ids(spark):
     one, two = facts.reconciled(f, whole).first(), facts.reconciled(f, short, known).first()
     assert "occurrence_ids" not in short.columns and one == two
     assert (one["keys_with_other_ids"], one["rows_with_repeated_ids"], one["facts_without_row"]) == (2, 1, 1)
+
+
+def _whole_group(spark, n, m):
+    """n snapshots of a group, the first captured at its cutoff, and m occurrences, the first announced then."""
+    day, hour = dt.timedelta(days=1), dt.timedelta(hours=1)
+    made = [(k, 1, 1, T0 + day, 7, 8, T0 - (day if k else dt.timedelta(0)), 2, 2) for k in range(m)]
+    schedule = spark.createDataFrame(made, "occurrence_id int, era int, period int, kickoff timestamp, home int, away int, available_at timestamp, home_difficulty int, away_difficulty int")
+    return spark.createDataFrame([(1, 1, e, 7, T0, T0 - (hour if e else dt.timedelta(0))) for e in range(n)], "era int, period int, entity int, own_group int, cutoff timestamp, captured_at timestamp"), schedule
+
+
+def test_contexts_come_occurrence_by_occurrence(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = facts.context(*_whole_group(spark, 20, 30)).select("occurrence_id", F.spark_partition_id().alias("task"))
+        ids = [r["occurrence_id"] for r in found.collect()]
+        assert found.rdd.getNumPartitions() == 4  # as many as the session's shuffles have, however few rows they read
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(ids) == 20 * 29 and sum(a != b for a, b in zip(ids, ids[1:])) == 28
