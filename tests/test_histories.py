@@ -332,6 +332,22 @@ def _whole_group(spark, n, m):
     return spark.createDataFrame([(1, 1, e, 7, T0, T0 - (hour if e else dt.timedelta(0))) for e in range(n)], "era int, period int, entity int, own_group int, cutoff timestamp, captured_at timestamp"), schedule
 
 
+def test_only_what_breaks_a_rule_is_paired(spark):
+    def joined(plan):
+        own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+        return own + [n for k in range(plan.children().size()) for n in joined(plan.children().apply(k))]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = facts.context_violations(*_whole_group(spark, 20, 30))
+        got = sorted((r["rule"], r["entity"], r["occurrence_id"]) for r in found.collect())
+        made = joined(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == sorted([("not announced before the cutoff", e, 0) for e in range(20)] + [("captured after the cutoff", 0, k) for k in range(30)])
+    assert len(made) == 2 and max(made) == 50  # not the 600 pairs of the group
+
+
 def test_contexts_come_occurrence_by_occurrence(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
