@@ -357,3 +357,13 @@ def test_contexts_come_occurrence_by_occurrence(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(ids) == 20 * 29 and sum(a != b for a, b in zip(ids, ids[1:])) == 28
+
+
+def test_candidates_as_text_are_written_once_a_name(spark, tmp_path):
+    """More text than a dictionary of Parquet holds (1 MB), if all names are in one file; far less if they aren't."""
+    parts = spark.range(9600).selectExpr("id", "CAST(id % 32 AS STRING) AS name", "id + 1000000000000000000 AS other")
+    found = identity.match_proposals(parts, parts, left_id="id", left_name="name", right_id="other", right_name="name", separator=99 * ",")
+    texts = {r["n"] for r in found.select(F.length("candidates").alias("n")).collect()}
+    found.write.parquet(f"{tmp_path}/out")
+    assert len(texts) == 1 and texts.pop() * 32 > 2**20
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 4e6

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import plain_name
 
 OPEN = 2**31 - 1
+#: Names whose candidates are texts are dealt to so many tasks at least, so that a file holds few of these texts.
+NAME_TASKS = 128
 
 
 def versions(observed: DataFrame, key: Sequence[str], period: str, attribute: str) -> DataFrame:
@@ -80,12 +82,17 @@ def resolved(rows: DataFrame, aliases: DataFrame, *, alias: str, supplied: str,
 def match_proposals(left: DataFrame, right: DataFrame, *, left_id: str, left_name: str, right_id: str, right_name: str, separator: str | None = None) -> DataFrame:
     """(left_id, candidates, status): unmatched, candidate or ambiguous by normalised name. Nothing is accepted here.
 
-    With a separator the candidates are one text of their ids, which is made once for each name and not for each row.
+    With a separator the candidates are one text of their ids, which is made once for each name and not for each row. A name's
+    rows then lie in one task with few others: a file's dictionary holds each text once, where rows in the order of ``left`` would write it for each.
     """
     names = right.groupBy(plain_name(F.col(right_name)).alias("_name")).agg(F.array_sort(F.collect_set(right_id)).alias("_found")).withColumn("_n", F.size("_found"))
     if separator is not None:
         names = names.withColumn("_found", F.array_join(F.col("_found").cast("array<string>"), separator))
-    joined = left.withColumn("_name", plain_name(F.col(left_name))).join(names, "_name", "left")
+    rows = left.select(left_id, plain_name(F.col(left_name)).alias("_name"))
+    if separator is not None:
+        n = max(NAME_TASKS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(n, "_name")
+    joined = rows.join(names, "_name", "left")
     none = F.array().cast(names.schema["_found"].dataType) if separator is None else F.lit("")
     n = F.coalesce("_n", F.lit(0))
     status = F.when(n == 0, "unmatched").when(n == 1, "candidate").otherwise("ambiguous")
